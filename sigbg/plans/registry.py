@@ -37,5 +37,6 @@ def register(name: str, sql: str | None = None, headline: bool = False):
 
 def load_all() -> dict[str, Entry]:
     # Importing the plan modules fills the registry.
-    from . import classify, histograms, selection, scaling, sampling, arrays, models, streams, io  # noqa: F401
+    from . import (arrays, classify, histograms, hist2d, io, models, sampling, scaling,  # noqa: F401
+                   selection, streams, working)
     return REGISTRY
