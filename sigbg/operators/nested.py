@@ -93,6 +93,15 @@ def class_from_one_hot(y) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 
+def split_chars(text: Column) -> Column:
+    """Whole text -> array of its characters (code points), linear time.
+
+    (Indexing with ``substring(text, i, 1)`` would rescan the UTF-8 bytes for
+    every position: quadratic in the text length.)
+    """
+    return F.regexp_extract_all(text, F.lit("(?s)."), 0)
+
+
 def char_dictionary(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """Character -> index (dense, by code point order) with occurrence counts.
 
@@ -101,8 +110,7 @@ def char_dictionary(texts: DataFrame, text_col: str = "text") -> DataFrame:
     distinct characters only -- a table bounded by the alphabet.
     """
     t = texts.select(F.col(text_col).alias("_t")).filter(F.col("_t").isNotNull() & (F.length("_t") > 0))
-    chars = t.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("_t")),
-                                           lambda i: F.substring("_t", i, 1))).alias("ch"))
+    chars = t.select(F.explode(split_chars(F.col("_t"))).alias("ch"))
     counts = chars.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
     # UTF-8 byte order (Spark's default string order) is code point order.
     w = Window.orderBy("ch")
@@ -118,5 +126,4 @@ def encode_text(texts: DataFrame, dictionary: DataFrame, text_col: str = "text",
     t = F.col(text_col)
     # The map is first bound to a column: subqueries may not sit inside a lambda.
     return texts.withColumn("_m", m).withColumn(
-        out, F.transform(F.sequence(F.lit(1), F.length(t)),
-                         lambda i: F.element_at(F.col("_m"), F.substring(t, i, 1)))).drop("_m")
+        out, F.transform(split_chars(t), lambda ch: F.element_at(F.col("_m"), ch))).drop("_m")
