@@ -34,9 +34,9 @@ def _with_totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     if by:
         tot = counts.groupBy(*by).agg(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"))
         return counts.join(tot, list(by), "inner")
-    P = counts.select(F.sum("tp_s")).scalar()
-    N = counts.select(F.sum("fp_s")).scalar()
-    return counts.withColumn("P", P).withColumn("N", N)
+    t = counts.agg(F.struct(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N")).alias("t")).scalar()
+    return counts.withColumn("_tot", t).withColumn("P", F.col("_tot.P")).withColumn("N", F.col("_tot.N")) \
+                 .drop("_tot")
 
 
 PROB_KEY_RANGE = (0, 10 ** SCORE_PLACES)

@@ -24,14 +24,18 @@ def _valid(x: Column) -> Column:
 
 
 def edge_stats(d: DataFrame, by: Sequence[str], shared: bool, lo=None, hi=None) -> DataFrame | tuple:
-    """Return (L, H) columns (scalar) or a per-group DataFrame (by..., L, H)."""
+    """Edges of a histogram.
+
+    Fixed range -> (L, H) literal columns; shared edges -> (struct scalar
+    subquery with L0/H0, None), to be bound to a column once; per-group
+    edges -> a DataFrame (by..., _L, _H) joined back (one row per group).
+    """
     if lo is not None and hi is not None:
         return F.lit(float(lo)), F.lit(float(hi))
     if shared or not by:
-        L0 = d.select(F.min("_x")).scalar()
-        H0 = d.select(F.max("_x")).scalar()
-        return (F.when(H0 == L0, L0 - F.lit(0.5)).otherwise(L0),
-                F.when(H0 == L0, H0 + F.lit(0.5)).otherwise(H0))
+        # One struct-valued scalar subquery, bound once per frame by the caller.
+        st = d.agg(F.struct(F.min("_x").alias("L0"), F.max("_x").alias("H0")).alias("s")).scalar()
+        return st, None
     st = d.groupBy(*by).agg(F.min("_x").alias("_L0"), F.max("_x").alias("_H0"))
     return st.select(*by,
                      F.when(F.col("_H0") == F.col("_L0"), F.col("_L0") - 0.5).otherwise(F.col("_L0")).alias("_L"),
@@ -58,14 +62,20 @@ def histogram(df: DataFrame, x, nbins: int = 50, by: Sequence[str] = (), shared:
         d = d.filter((F.col("_x") >= lo) & (F.col("_x") <= hi))
     st = edge_stats(d, by, shared, lo, hi)
     if isinstance(st, tuple):
-        L, H = st
+        sub, _ = st
+        if _ is None:
+            L0, H0 = F.col("_st.L0"), F.col("_st.H0")
+            L = F.when(H0 == L0, L0 - F.lit(0.5)).otherwise(L0)
+            H = F.when(H0 == L0, H0 + F.lit(0.5)).otherwise(H0)
+            d = d.withColumn("_st", sub)
+        else:
+            L, H = st
         binned = d.select(*by, bin_index(F.col("_x"), L, H, nbins).alias("bin"))
-        groups = d.select(*by).distinct() if by else d.sparkSession.range(1).select()
+        groups = d.select(*by).distinct() if by else d.agg(F.count(F.lit(1)).alias("_c")).filter("_c > 0")
+        if _ is None:
+            groups = groups.withColumn("_st", sub)
         grid = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(nbins - 1))).alias("bin"),
                              L.alias("_L"), H.alias("_H"))
-        if not by:
-            # The single-group grid only exists when there is data.
-            grid = grid.filter(L.isNotNull())
     else:
         binned = d.join(st, by, "inner").select(*by, bin_index(F.col("_x"), F.col("_L"), F.col("_H"), nbins)
                                                 .alias("bin"))
@@ -93,12 +103,13 @@ def truncate_tails(df: DataFrame, x: str, nsigma: float = 5.0, by: Sequence[str]
     by = list(by)
     xc = F.col(x)
     if not by:
-        m0 = df.select(F.avg(x)).scalar()
-        s0 = df.select(F.stddev_pop(x)).scalar()
-        t1 = df.filter(xc > m0 - F.lit(float(nsigma)) * s0)
-        m1 = t1.select(F.avg(x)).scalar()
-        s1 = t1.select(F.stddev_pop(x)).scalar()
-        return t1.filter(xc < m1 + F.lit(float(nsigma)) * s1)
+        cols = df.columns
+        st0 = df.agg(F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).alias("s")).scalar()
+        t1 = df.withColumn("_m0", st0).filter(xc > F.col("_m0.m") - F.lit(float(nsigma)) * F.col("_m0.s")) \
+               .select(*cols)
+        st1 = t1.agg(F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).alias("s")).scalar()
+        return t1.withColumn("_m1", st1).filter(xc < F.col("_m1.m") + F.lit(float(nsigma)) * F.col("_m1.s")) \
+                 .select(*cols)
     st0 = df.groupBy(*by).agg(F.avg(x).alias("_m0"), F.stddev_pop(x).alias("_s0"))
     t1 = df.join(st0, by, "inner").filter(xc > F.col("_m0") - F.lit(float(nsigma)) * F.col("_s0")) \
            .drop("_m0", "_s0")
@@ -117,7 +128,11 @@ def profile(df: DataFrame, x, y, nbins: int = 69, places: int = 6) -> DataFrame:
     """H6: per equal-width x bin, n, mean(y), population variance and standard error of y."""
     d = df.select(_c(x).cast("double").alias("_x"), _c(y).cast("double").alias("_y")) \
           .filter(_valid(F.col("_x")) & F.col("_y").isNotNull())
-    L, H = edge_stats(d, [], True)
+    sub, _ = edge_stats(d, [], True)
+    d = d.withColumn("_st", sub)
+    L0, H0 = F.col("_st.L0"), F.col("_st.H0")
+    L = F.when(H0 == L0, L0 - F.lit(0.5)).otherwise(L0)
+    H = F.when(H0 == L0, H0 + F.lit(0.5)).otherwise(H0)
     b = d.select(bin_index(F.col("_x"), L, H, nbins).alias("bin"), "_y", L.alias("_L"), H.alias("_H"))
     g = b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("_m"), F.var_pop("_y").alias("_v"),
                              F.first("_L").alias("_L"), F.first("_H").alias("_H"))

@@ -82,8 +82,9 @@ def oversample(df: DataFrame, label: str, seed, key) -> DataFrame:
     slot picks a row index by md5 and is joined back on (class, rank).
     """
     sizes = class_sizes(df, label)
-    M = sizes.select(F.max("_n")).scalar()
-    r = ranked(df, seed, key, partition_by=[label]).join(sizes, label, "inner")
+    r = ranked(df, seed, key, partition_by=[label]).join(sizes, label, "inner") \
+        .withColumn("_M", sizes.select(F.max("_n")).scalar())
+    M = F.col("_M")
     reps = F.ceil(M / F.col("_n")).cast("int")
     slots = r.select(label, "_n", F.explode(F.sequence(F.lit(0), reps - 1)).alias("_k"), "rn") \
              .select(label, "_n", ((F.col("rn") - 1) + F.col("_k") * F.col("_n")).alias("draw")) \

@@ -23,11 +23,11 @@ def _stats(df: DataFrame, cols: Sequence[str], fns: dict) -> "F.Column":
 
 def standardise_pop(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """M4: (x - mean) / std_pop per column (scikit-learn StandardScaler semantics)."""
-    s = _stats(df, cols, {"mu": F.avg, "sd": F.stddev_pop})
-    out = df
+    out = df.withColumn("_st", _stats(df, cols, {"mu": F.avg, "sd": F.stddev_pop}))
+    s = F.col("_st")
     for c in cols:
         out = out.withColumn(c, (F.col(c).cast("double") - s[f"mu__{c}"]) / s[f"sd__{c}"])
-    return out
+    return out.drop("_st")
 
 
 def standardise_fit(train: DataFrame, cols: Sequence[str]):
@@ -39,21 +39,20 @@ def standardise_fit(train: DataFrame, cols: Sequence[str]):
     s = _stats(train, cols, {"mu": F.avg, "sd": F.stddev_samp})
 
     def apply(df: DataFrame) -> DataFrame:
-        out = df
+        out = df.withColumn("_st", s)
         for c in cols:
-            out = out.withColumn(c, (F.col(c).cast("double") - s[f"mu__{c}"]) / s[f"sd__{c}"])
-        return out
+            out = out.withColumn(c, (F.col(c).cast("double") - F.col("_st")[f"mu__{c}"]) / F.col("_st")[f"sd__{c}"])
+        return out.drop("_st")
     return apply
 
 
 def centre_maxabs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """M6: subtract the mean, then divide by the max |x - mean| (range [-1, 1])."""
-    s = _stats(df, cols, {"mu": F.avg})
-    centred = df
+    centred = df.withColumn("_st", _stats(df, cols, {"mu": F.avg}))
     for c in cols:
-        centred = centred.withColumn(c, F.col(c).cast("double") - s[f"mu__{c}"])
-    m = _stats(centred, cols, {"ma": lambda x: F.max(F.abs(x))})
-    out = centred
+        centred = centred.withColumn(c, F.col(c).cast("double") - F.col("_st")[f"mu__{c}"])
+    centred = centred.drop("_st")
+    out = centred.withColumn("_sm", _stats(centred, cols, {"ma": lambda x: F.max(F.abs(x))}))
     for c in cols:
-        out = out.withColumn(c, F.col(c) / m[f"ma__{c}"])
-    return out
+        out = out.withColumn(c, F.col(c) / F.col("_sm")[f"ma__{c}"])
+    return out.drop("_sm")

@@ -35,15 +35,21 @@ def rejection_working_point(df: DataFrame, key: str, label: str = "labels", scor
     return post, thr
 
 
+def _bind(df: DataFrame, name: str, sub: Column) -> tuple[DataFrame, Column]:
+    """Bind a scalar subquery to a column once (one subquery in the plan)."""
+    return df.withColumn(name, sub), F.col(name)
+
+
 def working_point_summary(df: DataFrame, key: str, label: str = "labels", score: str = "score",
                           rejection: float = 0.995) -> DataFrame:
     """K1 summary row: threshold, background kept, signal kept (score > threshold), efficiencies."""
-    post, thr = rejection_working_point(df, key, label, score, rejection)
+    post, thr_sub = rejection_working_point(df, key, label, score, rejection)
+    df, thr = _bind(df, "_thr", thr_sub)
     y = F.col(label)
-    s = df.agg(F.sum((y < 0.5).cast("bigint")).alias("n_bkg"), F.sum((y == 1).cast("bigint")).alias("n_sig"),
+    s = df.agg(F.first("_thr").alias("_thr"), F.sum((y < 0.5).cast("bigint")).alias("n_bkg"), F.sum((y == 1).cast("bigint")).alias("n_sig"),
                F.sum(((y == 1) & (F.col(score) > thr)).cast("bigint")).alias("n_sig_kept"))
     n_post = post.select(F.count(F.lit(1))).scalar()
-    return s.select(F.round(thr, 9).alias("threshold"), "n_bkg", n_post.alias("n_bkg_kept"), "n_sig", "n_sig_kept",
+    return s.select(F.round("_thr", 9).alias("threshold"), "n_bkg", n_post.alias("n_bkg_kept"), "n_sig", "n_sig_kept",
                     F.round(F.col("n_sig_kept") / F.col("n_sig"), 9).alias("sig_eff"))
 
 
@@ -52,13 +58,14 @@ def sculpting_table(df: DataFrame, key: str, variable: str, label: str = "labels
     """Density histograms of a pivot for background, background after the
     working-point cut and (optionally) signal before / after; each sample has
     its own edges, as each distribution is binned separately."""
-    post, thr = rejection_working_point(df, key, label, score, rejection)
+    post, thr_sub = rejection_working_point(df, key, label, score, rejection)
     parts = [df.filter(F.col(label) < 0.5).select(F.lit("bkg").alias("sample"), variable),
              post.select(F.lit("bkg_post").alias("sample"), variable)]
     if signal:
         sig = df.filter(F.col(label) == 1)
+        sig_b, thr = _bind(sig, "_thr", thr_sub)
         parts += [sig.select(F.lit("sig").alias("sample"), variable),
-                  sig.filter(F.col(score) > thr).select(F.lit("sig_post").alias("sample"), variable)]
+                  sig_b.filter(F.col(score) > thr).select(F.lit("sig_post").alias("sample"), variable)]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
@@ -103,7 +110,8 @@ def quantile_bins(df: DataFrame, x: str, q: int = 10, name: str | None = None) -
     e = exact_quantile_edges(df, x, probs)
     edges = e.agg(F.array_sort(F.collect_list(F.struct("p", "q"))).alias("_e")) \
              .select(F.transform("_e", lambda s: s["q"]).alias("_e"))
-    arr = edges.select("_e").scalar()
+    df = df.withColumn("_qe", edges.select("_e").scalar())
+    arr = F.col("_qe")
     dup = F.size(F.array_distinct(arr)) < F.size(arr)
     # Count of inner edges below x, written as q-1 comparisons (a scalar
     # subquery may not appear inside a higher-order function).
@@ -112,7 +120,7 @@ def quantile_bins(df: DataFrame, x: str, q: int = 10, name: str | None = None) -
     for i in range(2, q + 1):
         b = b + (F.element_at(arr, i) < xv).cast("int")
     out = F.when(dup, F.raise_error(F.lit("quantile bin edges are not unique"))).otherwise(b).cast("int")
-    return df.withColumn(name or f"{x}_bin", F.when(F.col(x).isNotNull(), out))
+    return df.withColumn(name or f"{x}_bin", F.when(F.col(x).isNotNull(), out)).drop("_qe")
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
