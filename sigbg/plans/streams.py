@@ -1 +1,61 @@
-"""Placeholder."""
+"""Structured Streaming studies: incremental ingest, running metrics, stream scoring."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import models as mdl
+from ..sources.fixtures import EVT_SQL, evt_view, vec, with_views
+from ..streaming import stream as st
+from .registry import register
+
+EVT = with_views(EVT_SQL)
+
+
+def _events_stream(spark, sf):
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return st.file_stream(spark, f"{sf}/events*.parquet", schema)
+
+
+@register("t1_stream_ingest", "SELECT event_id, event_type, value FROM events")
+def t1_stream_ingest(spark, sf):
+    out, ck = st.fresh_paths(spark, "t1-ingest")
+    st.ingest(_events_stream(spark, sf), out, ck)
+    return spark.read.parquet(out).select("event_id", "event_type", "value")
+
+
+@register("t2_stream_metrics", EVT + """,
+s AS (SELECT strftime(ts, '%Y-%m-%d') AS day, LEAST(CAST(floor(score * 1000.0) AS INTEGER), 999) AS bin,
+             SUM(labels) AS tp_b, SUM(1 - labels) AS fp_b,
+             SUM(CAST(CAST(score > 0.5 AS INTEGER) = labels AS BIGINT)) AS correct
+      FROM evt GROUP BY ALL),
+c AS (SELECT *, SUM(tp_b) OVER (PARTITION BY day ORDER BY bin DESC ROWS UNBOUNDED PRECEDING) AS tp FROM s)
+SELECT day, CAST(SUM(tp_b) + SUM(fp_b) AS BIGINT) AS n, round(SUM(correct) / (SUM(tp_b) + SUM(fp_b)), 9) AS accuracy,
+       round(SUM(fp_b * (tp - tp_b / 2.0)) / (SUM(tp_b) * SUM(fp_b)), 9) AS auc_binned
+FROM c GROUP BY day""")
+def t2_stream_metrics(spark, sf):
+    out, ck = st.fresh_paths(spark, "t2-metrics")
+    state = st.run_update(st.windowed_confusion(evt_view(_events_stream(spark, sf))), ["day", "bin"], out, ck)
+    return st.metrics_from_state(state)
+
+
+@register("t3_stream_pearson", EVT + """
+SELECT strftime(ts, '%Y-%m-%d') AS day, COUNT(*) AS n,
+       round(corr(ln(score / (1.0 - score + 1e-8) + 1e-8), mbc), 6) AS r
+FROM evt GROUP BY 1""")
+def t3_stream_pearson(spark, sf):
+    out, ck = st.fresh_paths(spark, "t3-pearson")
+    state = st.run_update(st.windowed_pearson(evt_view(_events_stream(spark, sf)), "mbc"), ["day"], out, ck)
+    return state.select("day", "n", F.round("r", 6).alias("r"))
+
+
+@register("t4_stream_scoring")
+def t4_stream_scoring(spark, sf):
+    v = mdl.with_vector(vec(spark, sf).withColumnRenamed("embedding", "features"))
+    model = mdl.gbt({"maxIter": 10, "maxDepth": 3}).fit(v)
+    schema = spark.read.parquet(f"{sf}/embeddings.parquet").schema
+    s = st.file_stream(spark, f"{sf}/embeddings*.parquet", schema)
+    s = mdl.with_vector(s.withColumnRenamed("embedding", "features"))
+    out, ck = st.fresh_paths(spark, "t4-score")
+    st.score_stream(model, s, out, ck, keep=["vec_id"])
+    return spark.read.parquet(out).select("vec_id", F.round("score", 9).alias("score"))

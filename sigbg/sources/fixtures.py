@@ -36,7 +36,11 @@ def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a unique key: label purchase/signup, score value/(1+value)."""
-    ev = read_table(spark, sf_dir, "events")
+    return evt_view(read_table(spark, sf_dir, "events"))
+
+
+def evt_view(ev: DataFrame) -> DataFrame:
+    """The ``evt`` columns over an events frame (batch or streaming)."""
     return ev.select(
         F.col("event_id"), F.col("ts"),
         F.col("event_type").isin(*SIGNAL_EVENT_TYPES).cast("int").alias("labels"),
