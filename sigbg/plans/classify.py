@@ -178,3 +178,31 @@ def p8_p10(spark, sf):
     return (both.withColumn("pred", decision("score", 0.5))
                 .groupBy("labels", "pred").agg(F.count(F.lit(1)).alias("n"),
                                                F.round(F.sum("mbc"), 6).alias("sum_mbc")))
+
+
+_DESCRIBE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("g1_describe", CAND + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", COUNT({c}) AS count, round(avg({c}), 9) AS mean, round(stddev_samp({c}), 9) AS std, "
+    f"round(min({c}), 9) AS min, round(max({c}), 9) AS max FROM cand" for c in _DESCRIBE_COLS))
+def g1_describe(spark, sf):
+    # 9 places: means of 2-decimal data sit exactly on a 6-place rounding tie too often.
+    return metrics.describe(cand(spark, sf), _DESCRIBE_COLS, places=9)
+
+
+@register("g10_extents", CAND + """
+SELECT min(mbc) AS mbc_min, max(mbc) AS mbc_max, min(deltae) AS deltae_min, max(deltae) AS deltae_max FROM cand""")
+def g10_extents(spark, sf):
+    return metrics.extents(cand(spark, sf), ["mbc", "deltae"])
+
+
+@register("g11_per_channel", EVT + """
+SELECT channel, COUNT(*) AS n, round(avg(value), 6) AS mean_value, round(stddev_pop(value), 6) AS std_value,
+       round(avg(score), 9) AS mean_score, CAST(SUM(labels) AS BIGINT) AS n_signal
+FROM evt GROUP BY channel""")
+def g11_per_channel(spark, sf):
+    return metrics.per_channel(evt(spark, sf), "channel", [
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"),
+        F.round(F.stddev_pop("value"), 6).alias("std_value"), F.round(F.avg("score"), 9).alias("mean_score"),
+        F.sum("labels").cast("bigint").alias("n_signal")])

@@ -1 +1,93 @@
-"""Placeholder."""
+"""Source / sink studies: scans, conversion, shards, stores, registries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import curves
+from ..operators import models as mdl
+from ..operators.select import Roles, role_split
+from ..session import scratch_path
+from ..sources import io, shards
+from ..sources.fixtures import CAND_SQL, EVT_SQL, VEC_SQL, cand, evt, vec, with_views
+from ..sources.tables import read_head, read_pruned, read_table
+from .registry import register
+
+CAND = with_views(CAND_SQL)
+EVT = with_views(EVT_SQL)
+VEC = with_views(VEC_SQL)
+
+
+@register("s1_s3_column_scan", "SELECT l_orderkey, l_quantity, l_returnflag FROM lineitem WHERE l_quantity > 45")
+def s1_s3_column_scan(spark, sf):
+    li = read_table(spark, sf, "lineitem", ["l_orderkey", "l_quantity", "l_returnflag"])
+    return li.filter(F.col("l_quantity") > 45)
+
+
+@register("s2_pruned_scan", "SELECT o_orderstatus, o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders")
+def s2_pruned_scan(spark, sf):
+    return read_pruned(spark, sf, "orders", ["key", "price", "date"], first="o_orderstatus")
+
+
+@register("s4_head_rows", "SELECT event_id, event_type, value FROM events ORDER BY event_id LIMIT 2500")
+def s4_head_rows(spark, sf):
+    return read_head(read_table(spark, sf, "events", ["event_id", "event_type", "value"]), 2500, ["event_id"])
+
+
+@register("s5_s6_pinned_convert", "SELECT event_id, user_id, event_type, value, props FROM events")
+def s5_s6_pinned_convert(spark, sf):
+    out = scratch_path(spark, "s5-convert")
+    df = io.convert(spark, f"{sf}/events.parquet", out)
+    return df.select("event_id", "user_id", "event_type", "value", "props")
+
+
+@register("s7_s8_shard_roundtrip", VEC + """
+SELECT CAST(embedding AS FLOAT[]) AS features, CAST(labels AS FLOAT) AS labels FROM vec""")
+def s7_s8_shard_roundtrip(spark, sf):
+    v = vec(spark, sf).select(F.col("embedding").alias("features"), F.col("labels").cast("float").alias("labels"))
+    path = scratch_path(spark, "s7-shards")
+    shards.write_shards(v.repartition(4, "features"), path)
+    return shards.read_shards(spark, path, 64)
+
+
+@register("s9_prepared_cache", CAND + """
+SELECT labels, CAST(mbc AS FLOAT) AS mbc, CAST(deltae AS FLOAT) AS deltae,
+       [CAST(l_quantity AS FLOAT), CAST(l_discount AS FLOAT), CAST(l_tax AS FLOAT)] AS features FROM cand""")
+def s9_prepared_cache(spark, sf):
+    c = cand(spark, sf)
+    prep = role_split(c, Roles(), features=["l_quantity", "l_discount", "l_tax"])
+    return io.materialise(prep, scratch_path(spark, "s9-cache"))
+
+
+@register("s10_named_store", EVT + """
+SELECT event_id, value, 'sig' AS dataset FROM evt WHERE labels = 1""")
+def s10_named_store(spark, sf):
+    e = evt(spark, sf).select("event_id", "value", "labels")
+    path = scratch_path(spark, "s10-store")
+    io.store_frames({"sig": e.filter("labels = 1").drop("labels"), "bkg": e.filter("labels = 0").drop("labels")},
+                    path)
+    return io.load_frame(spark, path, "sig").select("event_id", "value", "dataset")
+
+
+@register("s11_prediction_sink")
+def s11_prediction_sink(spark, sf):
+    v = mdl.with_vector(vec(spark, sf).withColumnRenamed("embedding", "features"))
+    m = mdl.gbt({"maxIter": 10, "maxDepth": 3}).fit(v)
+    scored = mdl.score(m, v).select("vec_id", "labels", "score")
+    return io.write_predictions(scored, scratch_path(spark, "s11-pred"))
+
+
+@register("s12_run_registry", CAND + """,
+c AS (SELECT channel, score_key, SUM(labels)::BIGINT AS tp_s, SUM(1 - labels)::BIGINT AS fp_s FROM cand_k GROUP BY ALL),
+r AS (SELECT channel, tp_s, fp_s,
+             SUM(tp_s) OVER (PARTITION BY channel ORDER BY score_key DESC ROWS UNBOUNDED PRECEDING) AS tp FROM c)
+SELECT channel AS run, CAST(SUM(tp_s) + SUM(fp_s) AS BIGINT) AS n,
+       round(SUM(fp_s * (tp - tp_s / 2.0)) / (CAST(SUM(tp_s) AS DOUBLE) * SUM(fp_s)), 9) AS auc
+FROM r GROUP BY channel""")
+def s12_run_registry(spark, sf):
+    a = curves.auc(cand(spark, sf), key="score_key", by=["channel"])
+    rec = a.select(F.col("channel").alias("run"), (F.col("n_pos") + F.col("n_neg")).alias("n"), "auc",
+                   F.create_map(F.lit("score"), F.lit("fixed")).alias("params"))
+    path = scratch_path(spark, "s12-runs")
+    io.append_runs(rec, path)
+    return io.read_runs(spark, path).select("run", "n", "auc")
