@@ -148,3 +148,19 @@ def p1_p3_p4_p5(spark, sf):
     c = sel.drop_suffix(sel.drop_containing(c))
     roles = sel.Roles(exclude=("channel", "l_orderkey", "l_linenumber", "score", "score_key"))
     return sel.role_split(c, roles)
+
+
+@register("j5_j6_pair_membership", _LONG + """,
+hit AS (SELECT * FROM long WHERE abs(r) > 0.6),
+lefts AS (SELECT DISTINCT a AS feature FROM hit),
+rights AS (SELECT DISTINCT b AS feature FROM hit)
+SELECT feature, CAST(feature IN (SELECT feature FROM rights) AS INTEGER) AS also_right FROM lefts""")
+def j5_j6_pair_membership(spark, sf):
+    """J6 (upper-triangle column pairs, generated from the schema) + J5 (semi / anti joins)."""
+    long = sel.corr_long(_feat(spark, sf), FEATURES)
+    hit = long.filter(F.abs("r") > SELECT_THRESHOLD)
+    lefts = hit.select(F.col("a").alias("feature")).distinct()
+    rights = hit.select(F.col("b").alias("feature")).distinct()
+    both = lefts.join(rights, "feature", "left_semi").withColumn("also_right", F.lit(1))
+    only = lefts.join(rights, "feature", "left_anti").withColumn("also_right", F.lit(0))
+    return both.unionByName(only)

@@ -108,3 +108,19 @@ def k8_running_best(spark, sf):
     runs = curves.auc(e, key="score_key", by=["day"]).select("day", "auc")
     return wp.running_best(runs, "day", "auc").select("day", "auc", "best_so_far",
                                                      F.col("leader").cast("int").alias("leader"))
+
+
+@register("g8_bin_accuracy", EVT.rstrip() + ",\n" + _qedges_sql("evt", "mbc", "qm") + f""",
+st AS (SELECT min(mbc) AS L0, max(mbc) AS H0 FROM evt),
+b AS (SELECT {_K2_BIN.format(last=10, x='mbc').replace('e[', 'qm_arr.e[')} AS true_bin,
+             LEAST(CAST(floor((mbc - L0) * (10.0 / (H0 - L0))) AS INTEGER), 9) AS pred_bin
+      FROM evt, qm_arr, st)
+SELECT round(AVG(CAST(pred_bin = true_bin AS DOUBLE)), 9) AS bin_accuracy FROM b""")
+def g8_bin_accuracy(spark, sf):
+    """Accuracy of a predicted pivot bin (here equal-width bins) against the decile bin."""
+    from ..operators import metrics
+    from ..operators.hist import bin_index
+    e = wp.quantile_bins(evt(spark, sf), "mbc", 10, name="true_bin")
+    st = e.agg(F.struct(F.min("mbc").alias("L0"), F.max("mbc").alias("H0")).alias("s")).scalar()
+    e = e.withColumn("_st", st).withColumn("pred_bin", bin_index(F.col("mbc"), F.col("_st.L0"), F.col("_st.H0"), 10))
+    return metrics.accuracy(e, "pred_bin", "true_bin", name="bin_accuracy")
