@@ -43,26 +43,38 @@ def hex_counts(df: DataFrame, x: str, y: str, gridsize: int = 50,
         x0, x1, y0, y1 = F.col("_s.x0"), F.col("_s.x1"), F.col("_s.y0"), F.col("_s.y1")
     else:
         x0, x1, y0, y1 = (F.lit(float(v)) for v in extent)
+    # The nearer centre is chosen with ONE ``least`` over two structs
+    # (distance first; on a tie the offset lattice wins, as in hexbin), so the
+    # aggregation key is a single expression and codegen stays small.
     pad = F.lit(1e-9) * (x1 - x0)
-    xmin, xmax = x0 - pad, x1 + pad
-    sx = (xmax - xmin) / F.lit(float(nx))
+    xmin = x0 - pad
+    sx = ((x1 + pad) - xmin) / F.lit(float(nx))
     sy = (y1 - y0) / F.lit(float(ny))
-    u = (F.col("_x") - xmin) / sx
-    v = (F.col("_y") - y0) / sy
-    i1, j1 = F.bround(u, 0), F.bround(v, 0)
-    i2, j2 = F.floor(u), F.floor(v)
+    # ``inline`` of a one-element array is a projection boundary: u and v stay
+    # attributes instead of being re-inlined into every use below (which
+    # grew the generated code past the JIT limits).
+    st = d.select(F.inline(F.array(F.struct(((F.col("_x") - xmin) / sx).alias("u"),
+                                            ((F.col("_y") - y0) / sy).alias("v"),
+                                            xmin.alias("_xmin"), y0.alias("_ymin"), sx.alias("_sx"),
+                                            sy.alias("_sy")))))
+    u, v = F.col("u"), F.col("v")
+    keep = ["_xmin", "_ymin", "_sx", "_sy"]
+    st = st.select(F.inline(F.array(F.struct(u, v, F.bround(u, 0).alias("i1"), F.bround(v, 0).alias("j1"),
+                                             F.floor(u).cast("double").alias("i2"),
+                                             F.floor(v).cast("double").alias("j2"), *keep))))
+    i1, j1, i2, j2 = F.col("i1"), F.col("j1"), F.col("i2"), F.col("j2")
     d1 = (u - i1) * (u - i1) + F.lit(3.0) * (v - j1) * (v - j1)
     d2 = (u - i2 - 0.5) * (u - i2 - 0.5) + F.lit(3.0) * (v - j2 - 0.5) * (v - j2 - 0.5)
     on1 = d1 < d2
-    cells = d.select(F.when(on1, 1).otherwise(2).alias("lattice"),
-                     F.when(on1, i1).otherwise(i2).cast("int").alias("i"),
-                     F.when(on1, j1).otherwise(j2).cast("int").alias("j"),
-                     xmin.alias("_xmin"), y0.alias("_ymin"), sx.alias("_sx"), sy.alias("_sy"))
-    inside = (((F.col("lattice") == 1) & F.col("i").between(0, nx) & F.col("j").between(0, ny)) |
-              ((F.col("lattice") == 2) & F.col("i").between(0, nx - 1) & F.col("j").between(0, ny - 1)))
-    g = cells.filter(inside).groupBy("lattice", "i", "j").agg(
+    cells = st.select(F.when(on1, 1).otherwise(2).alias("lattice"),
+                      F.when(on1, i1).otherwise(i2).cast("int").alias("i"),
+                      F.when(on1, j1).otherwise(j2).cast("int").alias("j"), *keep)
+    g = cells.groupBy("lattice", "i", "j").agg(
         F.count(F.lit(1)).alias("n"), F.first("_xmin").alias("_xmin"), F.first("_ymin").alias("_ymin"),
         F.first("_sx").alias("_sx"), F.first("_sy").alias("_sy"))
+    inside = (((F.col("lattice") == 1) & F.col("i").between(0, nx) & F.col("j").between(0, ny)) |
+              ((F.col("lattice") == 2) & F.col("i").between(0, nx - 1) & F.col("j").between(0, ny - 1)))
+    g = g.filter(inside)
     off = F.when(F.col("lattice") == 2, F.lit(0.5)).otherwise(F.lit(0.0))
     return g.select("lattice", "i", "j",
                     F.round(F.col("_xmin") + (F.col("i") + off) * F.col("_sx"), places).alias("cx"),
