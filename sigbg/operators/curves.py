@@ -15,19 +15,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_key
+from ..session import is_large, write_through
 from .prefix import fixed_blocks, running, value_blocks
 
 SCORE_PLACES = 9
 
 
 def score_counts(df: DataFrame, label: str = "labels", score: str = "score",
-                 by: Sequence[str] = (), key: str | None = None) -> DataFrame:
-    """One row per (group, distinct rounded score): tp_s, fp_s."""
+                 by: Sequence[str] = (), key: str | None = None, materialize: bool | None = None) -> DataFrame:
+    """One row per (group, distinct rounded score): tp_s, fp_s.
+
+    The curve reads this table four times (totals, block offsets, running
+    sums, start points).  For large inputs (``materialize=None`` -> decided by
+    ``session.is_large``) it is written once (Parquet) into the shared
+    checkpoint folder, so the source is scanned once and a lost executor
+    recomputes from the stored table; small inputs are simply re-scanned.
+    """
     k = F.col(key) if key else round_key(score, SCORE_PLACES)
     y = F.col(label).cast("bigint")
-    return (df.select(*by, k.alias("score_key"), y.alias("_y"))
-              .groupBy(*by, "score_key")
-              .agg(F.sum("_y").alias("tp_s"), F.sum(F.lit(1) - F.col("_y")).alias("fp_s")))
+    counts = (df.select(*by, k.alias("score_key"), y.alias("_y"))
+                .groupBy(*by, "score_key")
+                .agg(F.sum("_y").alias("tp_s"), F.sum(F.lit(1) - F.col("_y")).alias("fp_s")))
+    if materialize is None:
+        materialize = is_large(df)
+    return write_through(counts, "score-counts") if materialize else counts
 
 
 def _with_totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -59,12 +70,12 @@ def cumulative_counts(counts: DataFrame, by: Sequence[str] = (), n_blocks: int =
 
 def roc_curve(df: DataFrame, label: str = "labels", score: str = "score", by: Sequence[str] = (),
               key: str | None = None, n_blocks: int = 4096, places: int = 6,
-              key_range: tuple[int, int] | None = PROB_KEY_RANGE) -> DataFrame:
+              key_range: tuple[int, int] | None = PROB_KEY_RANGE, materialize: bool | None = None) -> DataFrame:
     """K3: one row per distinct score (threshold) plus the (0,0) start point.
 
     Columns: [by...], threshold, tp, fp, tpr, fpr (threshold null for the start).
     """
-    counts = score_counts(df, label, score, by, key)
+    counts = score_counts(df, label, score, by, key, materialize)
     cum = _with_totals(cumulative_counts(counts, by, n_blocks, key_range), by)
     pts = cum.select(*by, (F.col("score_key") / F.lit(float(10 ** SCORE_PLACES))).alias("threshold"),
                      F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
@@ -89,12 +100,12 @@ def efficiency_rejection(roc: DataFrame, by: Sequence[str] = (), places: int = 6
 
 def auc(df: DataFrame, label: str = "labels", score: str = "score", by: Sequence[str] = (),
         key: str | None = None, n_blocks: int = 4096, places: int = 9,
-        key_range: tuple[int, int] | None = PROB_KEY_RANGE) -> DataFrame:
+        key_range: tuple[int, int] | None = PROB_KEY_RANGE, materialize: bool | None = None) -> DataFrame:
     """K4: trapezoidal area under the ROC = P(score+ > score-) + 0.5 P(tie).
 
     Sum over distinct scores of fp_s * (tp strictly above + tp_s / 2), / (P N).
     """
-    counts = score_counts(df, label, score, by, key)
+    counts = score_counts(df, label, score, by, key, materialize)
     cum = cumulative_counts(counts, by, n_blocks, key_range)
     part = cum.groupBy(*by).agg(
         F.sum(F.col("fp_s") * (F.col("tp") - F.col("tp_s") / F.lit(2.0))).alias("_num"),

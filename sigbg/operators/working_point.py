@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_key
+from ..session import is_large, write_through
 from .curves import PROB_KEY_RANGE
 from .hist import histogram
 from .prefix import fixed_blocks, row_number, running, value_blocks
@@ -28,6 +29,8 @@ def rejection_working_point(df: DataFrame, key: str, label: str = "labels", scor
     k = F.floor(n_bkg * (F.lit(1.0) - F.lit(float(rejection))))
     sk = round_key(score)
     b = bkg.withColumn("_sk", sk)
+    if is_large(df):
+        b = write_through(b, "working-point-bkg")       # read by 4 stages: scan the source once
     r = row_number(b, order=[F.col("_sk"), -F.col(key)], descending=True,
                    block=fixed_blocks(F.col("_sk"), PROB_KEY_RANGE[0], PROB_KEY_RANGE[1], n_blocks))
     post = r.filter(F.col("rn") <= k).drop("rn", "_sk")
@@ -83,6 +86,8 @@ def exact_quantile_edges(df: DataFrame, x: str, probs: Sequence[float], n_blocks
     """
     d = df.select(F.col(x).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     cnt = d.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    if is_large(df):
+        cnt = write_through(cnt, "quantile-counts")     # read 3x below: scan the source once
     n = cnt.select(F.sum("_c")).scalar()
     blocked = value_blocks(cnt, "_v", n_blocks=n_blocks)
     cum = running(blocked, order=["_v"], values={"_cum": "_c"}, block="_vblk")

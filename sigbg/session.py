@@ -76,6 +76,37 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def write_through(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate as Parquet under the shared checkpoint folder and read it back.
+
+    Same guarantees as ``cut_lineage`` (stored, recomputation starts from the
+    files) with Parquet's columnar write instead of serialized RDD blocks.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+# Inputs whose estimated size reaches this many bytes get their reused
+# intermediates written through instead of re-scanned.
+MATERIALIZE_MIN_BYTES = 8 * 1024 ** 3
+
+
+def is_large(df: DataFrame) -> bool:
+    """True when the optimizer's size estimate of ``df`` is large (no job is run).
+
+    The estimate comes from the file sizes of the scanned tables (the same
+    statistic the optimizer uses for its broadcast decision).
+    """
+    conf = df.sparkSession.conf.get("sigbg.materialize.minBytes", None)
+    limit = int(conf) if conf else MATERIALIZE_MIN_BYTES
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return size >= limit
+    except Exception:  # noqa: BLE001 - streaming or unplannable frames: never materialize
+        return False
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark)

@@ -157,3 +157,22 @@ def test_tfrecord_codec_roundtrip():
     assert back == ex
     # published CRC-32C check value
     assert shards.crc32c(b"123456789") == 0xE3069283
+
+
+def test_materialized_paths_agree(spark):
+    rnd = random.Random(11)
+    rows = [(i, int(rnd.random() < 0.3), round(rnd.random(), 3)) for i in range(500)]
+    df = _df(spark, rows, "id int, labels int, score double")
+    a = curves.auc(df, materialize=False).first()["auc"]
+    b = curves.auc(df, materialize=True).first()["auc"]
+    assert a == b
+    spark.conf.set("sigbg.materialize.minBytes", "1")
+    try:
+        p1, _ = working_point.rejection_working_point(df, "id", rejection=0.9)
+        q1 = working_point.quantile_bins(df, "score", 4, "b").groupBy("b").count().collect()
+    finally:
+        spark.conf.unset("sigbg.materialize.minBytes")
+    p2, _ = working_point.rejection_working_point(df, "id", rejection=0.9)
+    q2 = working_point.quantile_bins(df, "score", 4, "b").groupBy("b").count().collect()
+    assert sorted(r["id"] for r in p1.collect()) == sorted(r["id"] for r in p2.collect())
+    assert sorted(q1) == sorted(q2)
