@@ -93,7 +93,7 @@ def a7_char_dictionary(spark, sf):
 d AS (SELECT ch, CAST(dense_rank() OVER (ORDER BY ch) - 1 AS INTEGER) AS ix FROM g),
 e AS (SELECT doc_id, unnest(list_transform(range(1, length(text) + 1), lambda i: substring(text, i, 1))) AS ch
       FROM documents WHERE text IS NOT NULL AND length(text) > 0)
-SELECT doc_id, COUNT(*) AS n_codes, SUM(ix) AS sum_codes, COUNT(*) - COUNT(ix) AS n_missing
+SELECT doc_id, COUNT(*) AS n_codes, CAST(SUM(ix) AS BIGINT) AS sum_codes, COUNT(*) - COUNT(ix) AS n_missing
 FROM e LEFT JOIN d USING (ch) GROUP BY doc_id""")
 def a7_encode_check(spark, sf):
     dic = nested.char_dictionary(_texts(spark, sf))

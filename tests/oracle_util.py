@@ -57,3 +57,35 @@ def compare(spark_pdf: pd.DataFrame, duck_pdf: pd.DataFrame) -> tuple[bool, str]
         if x != y:
             return False, f"row {i}: {x} vs {y}"
     return True, f"{len(a)} rows equal"
+
+
+def duck_types(sql: str, sf_dir: str) -> dict[str, str]:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    rel = con.sql(sql)
+    return {c: str(t) for c, t in zip(rel.columns, rel.types)}
+
+
+_MAP = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR",
+        "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+        "date": "DATE", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def spark_type_as_duck(dt) -> str:
+    s = dt.simpleString()
+    if s.startswith("array<"):
+        from pyspark.sql.types import ArrayType
+        assert isinstance(dt, ArrayType)
+        return spark_type_as_duck(dt.elementType) + "[]"
+    return _MAP.get(s, s.upper())
+
+
+def schema_diff(spark_schema, duck: dict[str, str]) -> list[str]:
+    out = []
+    for f in spark_schema.fields:
+        d = duck.get(f.name)
+        s = spark_type_as_duck(f.dataType)
+        if d != s:
+            out.append(f"{f.name}: spark {s} vs duck {d}")
+    return out
