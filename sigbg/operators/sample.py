@@ -16,7 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+import math
+
 from ..functions.hashing import hash_block, hash_bucket, hash_hex
+from ..session import blocks_for
 from .prefix import row_number
 
 HASH = "_h"
@@ -31,8 +34,15 @@ def with_hash(df: DataFrame, seed, key, extra: Sequence[Column | str] = ()) -> D
 
 
 def ranked(df: DataFrame, seed, key, partition_by: Sequence[str] = (), name: str = "rn",
-           digits: int = 3, seed_cols: Sequence[str] = ()) -> DataFrame:
-    """Exact 1-based rank of each row in md5 order (per partition)."""
+           digits: int | None = None, seed_cols: Sequence[str] = ()) -> DataFrame:
+    """Exact 1-based rank of each row in md5 order (per partition).
+
+    ``digits`` leading hex digits form the blocks; by default enough of them
+    that a block holds about two million rows of the estimated input (at
+    least 16^3 blocks), so no single window task grows with the table.
+    """
+    if digits is None:
+        digits = max(3, math.ceil(math.log(blocks_for(df), 16)))
     d = df.withColumn(HASH, hash_hex(seed, *seed_cols, *_keys(key)))
     return row_number(d, order=[HASH, *_keys(key)], block=hash_block(F.col(HASH), digits),
                       partition_by=partition_by, name=name).drop(HASH)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_key
-from ..session import is_large, write_through
+from ..session import blocks_for, is_large, write_through
 from .curves import PROB_KEY_RANGE
 from .hist import histogram
 from .prefix import fixed_blocks, row_number, running, value_blocks
@@ -75,7 +75,7 @@ def sculpting_table(df: DataFrame, key: str, variable: str, label: str = "labels
     return histogram(u, variable, nbins, by=["sample"], shared=False)
 
 
-def exact_quantile_edges(df: DataFrame, x: str, probs: Sequence[float], n_blocks: int = 256) -> DataFrame:
+def exact_quantile_edges(df: DataFrame, x: str, probs: Sequence[float], n_blocks: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy / quantile_cont definition).
 
     The values are reduced to (distinct value, count), running counts are
@@ -89,6 +89,8 @@ def exact_quantile_edges(df: DataFrame, x: str, probs: Sequence[float], n_blocks
     if is_large(df):
         cnt = write_through(cnt, "quantile-counts")     # read 3x below: scan the source once
     n = cnt.select(F.sum("_c")).scalar()
+    if n_blocks is None:
+        n_blocks = min(blocks_for(df, minimum=256), 16384)
     blocked = value_blocks(cnt, "_v", n_blocks=n_blocks)
     cum = running(blocked, order=["_v"], values={"_cum": "_c"}, block="_vblk")
     ps = F.array(*[F.lit(float(p)) for p in probs])

@@ -92,6 +92,21 @@ def write_through(df: DataFrame, name: str = "stage") -> DataFrame:
 MATERIALIZE_MIN_BYTES = 8 * 1024 ** 3
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` in bytes (file sizes of the scans); 0 if unknown."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - streaming or unplannable frames
+        return 0
+
+
+def blocks_for(df: DataFrame, rows_per_block: int = 2_000_000, bytes_per_row: int = 64,
+               minimum: int = 4096, maximum: int = 16 ** 5) -> int:
+    """Number of order blocks so that one block holds about ``rows_per_block`` rows."""
+    est_rows = estimated_bytes(df) // bytes_per_row
+    return int(max(minimum, min(maximum, est_rows // rows_per_block)))
+
+
 def is_large(df: DataFrame) -> bool:
     """True when the optimizer's size estimate of ``df`` is large (no job is run).
 
