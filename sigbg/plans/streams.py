@@ -13,6 +13,9 @@ EVT = with_views(EVT_SQL)
 
 
 def _events_stream(spark, sf):
+    # Event-time windows are epoch-aligned; with the session in UTC a window
+    # is a calendar day of the (zone-less) event timestamps.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     return st.file_stream(spark, f"{sf}/events*.parquet", schema)
 
