@@ -7,11 +7,13 @@ share this helper:
 
 1. every row gets a *block* id that is a monotone function of the order key
    (hash prefix for md5 orders, approximate-quantile edges for values);
-2. per (partition, block) totals are aggregated -- at most
-   ``groups x blocks`` rows, a bounded table AQE broadcasts when it is small;
-3. block offsets are a running total over that small table;
-4. the running total inside each (partition, block) is a window over that
-   block only, plus its offset.
+2. the running total inside each (partition, block) is a window over that
+   block only (the one full shuffle, on the block keys);
+3. per (partition, block) totals are a partial aggregate of the input (a
+   second, column-pruned read whose shuffle carries one row per task and
+   block) -- at most ``groups x blocks`` rows, a bounded table AQE
+   broadcasts after checking its size;
+4. block offsets are a running total over that small table, added back.
 
 Result is exactly the single-window answer, but work is spread over
 ``blocks`` tasks, and a hot partition key (one class holding a third of all
@@ -59,23 +61,28 @@ def running(df: DataFrame, *, order: Sequence, values: dict[str, Column | str],
         d = d.withColumn(tmp[n], c)
 
     keys = part + [BLOCK]
+    # 1. running aggregate inside each (partition, block): one shuffle on the keys.
+    wl = Window.partitionBy(*keys).orderBy(*_order_exprs(order, descending)) \
+               .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    for i, n in enumerate(vals):
+        d = d.withColumn(f"_l_{i}", agg(tmp[n]).over(wl))
+    # 2. block totals: a map-side-combined aggregate of the (pruned) input.
     totals = d.groupBy(*keys).agg(*[agg(tmp[n]).alias(f"_t_{i}") for i, n in enumerate(vals)])
     wb = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0)))
     wb = wb.orderBy(F.col(BLOCK).desc() if descending else F.col(BLOCK).asc()) \
            .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, *[agg(f"_t_{i}").over(wb).alias(f"_o_{i}") for i in range(len(vals))])
-
+    # 3. add each block's offset (a small table; AQE broadcasts it after a size check).
     d = d.join(offsets, on=keys, how="left")
-    wl = Window.partitionBy(*keys).orderBy(*_order_exprs(order, descending)) \
-               .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     for i, n in enumerate(vals):
-        local = agg(tmp[n]).over(wl)
+        local = F.col(f"_l_{i}")
         off = F.col(f"_o_{i}")
         if how == "sum":
             d = d.withColumn(n, F.coalesce(off, F.lit(0)) + F.coalesce(local, F.lit(0)))
         else:
             d = d.withColumn(n, F.greatest(off, local))
-    drop = [BLOCK] + list(tmp.values()) + [f"_o_{i}" for i in range(len(vals))]
+    drop = [BLOCK] + list(tmp.values()) + [f"_o_{i}" for i in range(len(vals))] + \
+        [f"_l_{i}" for i in range(len(vals))]
     return d.drop(*drop)
 
 
