@@ -88,8 +88,8 @@ def roc_curve(df: DataFrame, label: str = "labels", score: str = "score", by: Se
                            F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"), "P", "N")
     allp = pts.unionByName(starts)
     return allp.select(*by, "threshold", "tp", "fp",
-                       F.round(F.col("tp") / F.col("P"), places).alias("tpr"),
-                       F.round(F.col("fp") / F.col("N"), places).alias("fpr"))
+                       F.round(F.try_divide(F.col("tp"), F.col("P")), places).alias("tpr"),
+                       F.round(F.try_divide(F.col("fp"), F.col("N")), places).alias("fpr"))
 
 
 def efficiency_rejection(roc: DataFrame, by: Sequence[str] = (), places: int = 6) -> DataFrame:
@@ -111,7 +111,7 @@ def auc(df: DataFrame, label: str = "labels", score: str = "score", by: Sequence
         F.sum(F.col("fp_s") * (F.col("tp") - F.col("tp_s") / F.lit(2.0))).alias("_num"),
         F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"))
     return part.select(*by, F.col("P").cast("bigint").alias("n_pos"), F.col("N").cast("bigint").alias("n_neg"),
-                       F.round(F.col("_num") / (F.col("P") * F.col("N")), places).alias("auc"))
+                       F.round(F.try_divide(F.col("_num"), F.col("P") * F.col("N")), places).alias("auc"))
 
 
 def roc_by_model(scored_long: DataFrame, model_col: str = "model", label: str = "labels",

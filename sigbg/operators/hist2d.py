@@ -108,7 +108,7 @@ def kde_1d(df: DataFrame, x: str, grid: int = 128, bins: int = 512, bw: float |
          .withColumn("_h", h).withColumn("_n", n)
     tot = F.aggregate("_a", F.lit(0.0), lambda acc, e: acc + e["c"] * F.exp(
         F.lit(-0.5) * ((F.col("gx") - e["x"]) / F.col("_h")) * ((F.col("gx") - e["x"]) / F.col("_h"))))
-    dens = tot / (F.col("_n") * F.col("_h") * F.lit(SQRT_2PI))
+    dens = F.try_divide(tot, F.col("_n") * F.col("_h") * F.lit(SQRT_2PI))
     return g.select(F.col("k").cast("int").alias("k"), F.round("gx", 6).alias("x"),
                     F.round(dens, places).alias("density"))
 
@@ -141,7 +141,7 @@ def kde_2d(df: DataFrame, x: str, y: str, grid: int = 32, bins: int = 64, places
         zy = (F.col("gy") - e["y"]) / F.col("_hy")
         return acc + e["c"] * F.exp(F.lit(-0.5) * (zx * zx + zy * zy))
     tot = F.aggregate("_a", F.lit(0.0), term)
-    dens = tot / (F.col("_n") * F.lit(2.0 * math.pi) * F.col("_hx") * F.col("_hy"))
+    dens = F.try_divide(tot, F.col("_n") * F.lit(2.0 * math.pi) * F.col("_hx") * F.col("_hy"))
     return g.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
                     F.round("gx", 6).alias("x"), F.round("gy", 6).alias("y"), F.round(dens, places).alias("density"))
 

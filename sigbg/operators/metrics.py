@@ -43,7 +43,7 @@ def class_counts(df: DataFrame, label: str = "labels") -> DataFrame:
 def class_weight(df: DataFrame, label: str = "labels") -> DataFrame:
     """scale_pos_weight = negatives / positives."""
     y = F.col(label).cast("double")
-    return df.agg(F.round(F.sum(F.lit(1.0) - y) / F.sum(y), 9).alias("pos_weight"))
+    return df.agg(F.round(F.try_divide(F.sum(F.lit(1.0) - y), F.sum(y)), 9).alias("pos_weight"))
 
 
 def accuracy(df: DataFrame, pred: Column | str, truth: Column | str = "labels",

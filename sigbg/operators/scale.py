@@ -9,10 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _safe_scale(x: Column, scale: Column) -> Column:
+    """x / scale, 0 where the scale is 0 (constant column), as the usual scalers do."""
+    return F.when(scale == 0, F.lit(0.0)).otherwise(F.try_divide(x, scale))
+
+
 def _stats(df: DataFrame, cols: Sequence[str], fns: dict) -> "F.Column":
     aggs = []
     for c in cols:
@@ -26,7 +31,7 @@ def standardise_pop(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     out = df.withColumn("_st", _stats(df, cols, {"mu": F.avg, "sd": F.stddev_pop}))
     s = F.col("_st")
     for c in cols:
-        out = out.withColumn(c, (F.col(c).cast("double") - s[f"mu__{c}"]) / s[f"sd__{c}"])
+        out = out.withColumn(c, _safe_scale(F.col(c).cast("double") - s[f"mu__{c}"], s[f"sd__{c}"]))
     return out.drop("_st")
 
 
@@ -41,7 +46,8 @@ def standardise_fit(train: DataFrame, cols: Sequence[str]):
     def apply(df: DataFrame) -> DataFrame:
         out = df.withColumn("_st", s)
         for c in cols:
-            out = out.withColumn(c, (F.col(c).cast("double") - F.col("_st")[f"mu__{c}"]) / F.col("_st")[f"sd__{c}"])
+            out = out.withColumn(c, _safe_scale(F.col(c).cast("double") - F.col("_st")[f"mu__{c}"],
+                                                F.col("_st")[f"sd__{c}"]))
         return out.drop("_st")
     return apply
 
@@ -54,5 +60,5 @@ def centre_maxabs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     centred = centred.drop("_st")
     out = centred.withColumn("_sm", _stats(centred, cols, {"ma": lambda x: F.max(F.abs(x))}))
     for c in cols:
-        out = out.withColumn(c, F.col(c) / F.col("_sm")[f"ma__{c}"])
+        out = out.withColumn(c, _safe_scale(F.col(c), F.col("_sm")[f"ma__{c}"]))
     return out.drop("_sm")

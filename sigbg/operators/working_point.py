@@ -53,7 +53,7 @@ def working_point_summary(df: DataFrame, key: str, label: str = "labels", score:
                F.sum(((y == 1) & (F.col(score) > thr)).cast("bigint")).alias("n_sig_kept"))
     n_post = post.select(F.count(F.lit(1))).scalar()
     return s.select(F.round("_thr", 9).alias("threshold"), "n_bkg", n_post.alias("n_bkg_kept"), "n_sig", "n_sig_kept",
-                    F.round(F.col("n_sig_kept") / F.col("n_sig"), 9).alias("sig_eff"))
+                    F.round(F.try_divide(F.col("n_sig_kept"), F.col("n_sig")), 9).alias("sig_eff"))
 
 
 def sculpting_table(df: DataFrame, key: str, variable: str, label: str = "labels", score: str = "score",

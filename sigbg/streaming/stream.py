@@ -83,9 +83,9 @@ def metrics_from_state(state: DataFrame) -> DataFrame:
                   partition_by=["day"], descending=True)
     return cum.groupBy("day").agg(
         (F.sum("tp_b") + F.sum("fp_b")).alias("n"),
-        F.round(F.sum("correct") / (F.sum("tp_b") + F.sum("fp_b")), 9).alias("accuracy"),
-        F.round(F.sum(F.col("fp_b") * (F.col("tp") - F.col("tp_b") / F.lit(2.0)))
-                / (F.sum("tp_b") * F.sum("fp_b")), 9).alias("auc_binned"))
+        F.round(F.try_divide(F.sum("correct"), F.sum("tp_b") + F.sum("fp_b")), 9).alias("accuracy"),
+        F.round(F.try_divide(F.sum(F.col("fp_b") * (F.col("tp") - F.col("tp_b") / F.lit(2.0))),
+                             F.sum("tp_b") * F.sum("fp_b")), 9).alias("auc_binned"))
 
 
 def windowed_pearson(sdf: DataFrame, pivot: str, ts: str = "ts", score: str = "score",

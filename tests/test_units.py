@@ -176,3 +176,42 @@ def test_materialized_paths_agree(spark):
     q2 = working_point.quantile_bins(df, "score", 4, "b").groupBy("b").count().collect()
     assert sorted(r["id"] for r in p1.collect()) == sorted(r["id"] for r in p2.collect())
     assert sorted(q1) == sorted(q2)
+
+
+def test_scaling_moments(spark):
+    from sigbg.operators import scale
+    rnd = random.Random(5)
+    df = _df(spark, [(rnd.gauss(3, 2), rnd.random() * 10) for _ in range(300)], "a double, b double")
+    s = scale.standardise_pop(df, ["a", "b"]).agg(F.avg("a"), F.stddev_pop("a"), F.avg("b"), F.stddev_pop("b")).first()
+    assert abs(s[0]) < 1e-9 and abs(s[1] - 1) < 1e-9 and abs(s[2]) < 1e-9 and abs(s[3] - 1) < 1e-9
+    m = scale.centre_maxabs(df, ["a"]).agg(F.max(F.abs("a")), F.avg("a")).first()
+    assert abs(m[0] - 1) < 1e-12 and abs(m[1]) < 1e-9
+
+
+def test_efficiency_bounds_and_null_bins(spark):
+    rnd = random.Random(9)
+    rows = [(int(rnd.random() < 0.5), rnd.random() * 100, rnd.random()) for _ in range(400)]
+    df = _df(spark, rows, "labels int, x double, score double")
+    e = hist.efficiency(df, "x", F.col("score") < 0.5, 20).toPandas()
+    ok = e.dropna(subset=["eff"])
+    assert ((ok["eff"] >= 0) & (ok["eff"] <= 1)).all()
+    assert (e[e["n_before"] == 0]["eff"].isna()).all()
+
+
+def test_decision_is_strict(spark):
+    df = _df(spark, [(0.5,), (0.5000001,), (0.4999999,)], "s double")
+    assert [r[0] for r in df.select(sc.decision("s", 0.5)).collect()] == [0, 1, 0]
+
+
+def test_nan_and_null_handling(spark):
+    from sigbg.operators import select as sel
+    df = _df(spark, [(1.0, 2.0), (2.0, 4.1), (float("nan"), 1.0), (None, 3.0), (4.0, 8.2)], "a double, b double")
+    assert sel.drop_missing(df).count() == 3
+    r = sel.pearson(df, "a", "b").first()["r"]          # NaN treated as missing, pairwise
+    assert r is not None and r == r and r > 0.99
+
+
+def test_single_class_auc_is_null(spark):
+    df = _df(spark, [(1, 0.3), (1, 0.7)], "labels int, score double")
+    r = curves.auc(df).first()
+    assert r["n_neg"] == 0 and r["auc"] is None
