@@ -85,24 +85,27 @@ def undersample(df: DataFrame, label: str, seed, key) -> DataFrame:
 
 
 def oversample(df: DataFrame, label: str, seed, key) -> DataFrame:
-    """Max-class-size draws with replacement from every class.
-
-    Draw slots are generated by the class's own rows (row i makes slots
-    i-1, i-1+n_c, ... below M), so generation is spread like the data; each
-    slot picks a row index by md5 and is joined back on (class, rank).
+    """Max-class-size (M) draws with replacement from every class.
+
+    Draw slots 0..M-1 of every class are generated by the rows of the
+    largest class (exactly M rows, spread over the tasks like the data; the
+    class list is a bounded array), so a tiny class never makes one task
+    emit M slots.  Each slot picks a row index by md5 and is joined back on
+    (class, rank); a hot index on the small side is handled by AQE's skew
+    join or a size-checked broadcast.
     """
     sizes = class_sizes(df, label)
-    r = ranked(df, seed, key, partition_by=[label]).join(sizes, label, "inner") \
-        .withColumn("_M", sizes.select(F.max("_n")).scalar())
-    M = F.col("_M")
-    reps = F.ceil(M / F.col("_n")).cast("int")
-    slots = r.select(label, "_n", F.explode(F.sequence(F.lit(0), reps - 1)).alias("_k"), "rn") \
-             .select(label, "_n", ((F.col("rn") - 1) + F.col("_k") * F.col("_n")).alias("draw")) \
-             .filter(F.col("draw") < M)
+    classes = sizes.agg(F.collect_list(F.struct(F.col(label).alias("c"), F.col("_n").alias("n"))).alias("a"),
+                        F.max_by(F.col(label), F.struct(F.col("_n"), -F.col(label))).alias("big"))
+    info = classes.select(F.struct("a", "big").alias("s")).scalar()
+    r = ranked(df, seed, key, partition_by=[label])
+    big = r.withColumn("_info", info).filter(F.col(label) == F.col("_info.big"))
+    slots = big.select((F.col("rn") - 1).alias("draw"), F.explode("_info.a").alias("_cls")) \
+               .select(F.col("_cls.c").alias(label), F.col("_cls.n").alias("_n"), "draw")
     h = hash_hex(seed, F.col(label), F.col("draw"))
     pick = (F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint") % F.col("_n")) + 1
     slots = slots.select(label, "draw", pick.alias("rn"))
-    return slots.join(r.drop("_n"), [label, "rn"], "inner").drop("rn")
+    return slots.join(r, [label, "rn"], "inner").drop("rn")
 
 
 def drop_fraction(df: DataFrame, label: str, cls: int, fraction: float, seed, key) -> DataFrame:

@@ -215,3 +215,12 @@ def test_single_class_auc_is_null(spark):
     df = _df(spark, [(1, 0.3), (1, 0.7)], "labels int, score double")
     r = curves.auc(df).first()
     assert r["n_neg"] == 0 and r["auc"] is None
+
+
+def test_oversample_extreme_imbalance(spark):
+    df = spark.range(0, 201).select(F.col("id").alias("k"), (F.col("id") == 0).cast("int").alias("labels"))
+    o = sample.oversample(df, "labels", 7, "k")
+    c = {r["labels"]: r["count"] for r in o.groupBy("labels").count().collect()}
+    assert c[0] == c[1] == 200
+    assert {r["k"] for r in o.filter("labels = 1").collect()} == {0}
+    assert o.filter("labels = 0").select("draw").distinct().count() == 200
