@@ -189,6 +189,29 @@ def hyperband(spark: SparkSession, train: DataFrame, valid: DataFrame, max_iter:
     return spark.createDataFrame(results, schema)
 
 
+def fit_mixture(df: DataFrame, col: str, k: int = 2, seed: int = 42) -> tuple[list, list, list]:
+    """M9 parameters: a k-component Gaussian mixture of one column (Spark ML EM).
+
+    Returns (weights, means, sigmas) -- k numbers each, for
+    ``functions.scalar.gmm_log_density``.
+    """
+    from pyspark.ml.clustering import GaussianMixture
+    v = df.select(array_to_vector(F.array(F.col(col).cast("double"))).alias("_v"))
+    m = GaussianMixture(featuresCol="_v", k=k, seed=seed).fit(v)
+    g = m.gaussiansDF.collect()                      # k rows
+    means = [float(r["mean"][0]) for r in g]
+    sigmas = [float(r["cov"].toArray()[0][0]) ** 0.5 for r in g]
+    return [float(w) for w in m.weights], means, sigmas
+
+
+def class_weights(df: DataFrame, label: str = "labels", name: str = "weight") -> DataFrame:
+    """G3 -> weightCol: positives weighted by negatives/positives, negatives by 1."""
+    n = df.agg(F.struct(F.sum(F.lit(1) - F.col(label)).alias("neg"), F.sum(F.col(label)).alias("pos")).alias("s"))
+    d = df.withColumn("_w", n.scalar())
+    return d.withColumn(name, F.when(F.col(label) == 1, F.try_divide(F.col("_w.neg").cast("double"), F.col("_w.pos")))
+                        .otherwise(F.lit(1.0))).drop("_w")
+
+
 def ovr_svc(features: str = "fvec", label: str = "label", reg: float = 0.01, max_iter: int = 50) -> OneVsRest:
     """One-vs-rest linear SVM (the RBF kernel has no Spark counterpart)."""
     return OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), featuresCol=features, labelCol=label)

@@ -34,3 +34,14 @@ def test_random_params_repeatable(spark):
     b = mdl.random_params(spark, 5, seed=1).collect()
     assert a == b
     assert all(2 <= r["maxDepth"] <= 8 and 0.01 <= r["stepSize"] <= 0.3 for r in a)
+
+
+def test_fit_mixture_and_class_weights(spark):
+    from sigbg.sources.fixtures import evt
+    e = evt(spark, SF_SMALL)
+    w, mu, sd = mdl.fit_mixture(e, "value", k=2)
+    assert len(w) == len(mu) == len(sd) == 2 and abs(sum(w) - 1.0) < 1e-6 and min(sd) > 0
+    cw = mdl.class_weights(e).groupBy("labels").agg(F.first("weight").alias("w"), F.count(F.lit(1)).alias("n")) \
+        .toPandas().set_index("labels")
+    assert cw.loc[0, "w"] == 1.0
+    assert abs(cw.loc[1, "w"] - cw.loc[0, "n"] / cw.loc[1, "n"]) < 1e-12
