@@ -224,3 +224,17 @@ def test_oversample_extreme_imbalance(spark):
     assert c[0] == c[1] == 200
     assert {r["k"] for r in o.filter("labels = 1").collect()} == {0}
     assert o.filter("labels = 0").select("draw").distinct().count() == 200
+
+
+def test_corr_matrix_path_matches_pairs(spark):
+    from sigbg.operators import select as sel
+    rnd = random.Random(2)
+    rows = []
+    for _ in range(200):
+        a = rnd.gauss(0, 1)
+        rows.append((a, 2 * a + rnd.gauss(0, 0.5), rnd.random(), -a + rnd.random()))
+    df = _df(spark, rows, "a double, b double, c double, d double")
+    p = {(r["a"], r["b"]): r["r"] for r in sel.corr_long(df, ["a", "b", "c", "d"], method="pairs").collect()}
+    m = {(r["a"], r["b"]): r["r"] for r in sel.corr_long(df, ["a", "b", "c", "d"], method="matrix").collect()}
+    assert p.keys() == m.keys() and len(p) == 6
+    assert all(abs(p[k] - m[k]) <= 1e-6 for k in p)
