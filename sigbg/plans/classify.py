@@ -8,6 +8,7 @@ from ..functions.scalar import decision, sigmoid
 from ..operators import curves, metrics
 from ..sources.fixtures import CAND_SQL, EVT_SQL, QUALITY_SQL, cand, evt, quality, with_views
 from .registry import register
+from .sqlgen import hist_ctes
 
 CAND = with_views(CAND_SQL)
 EVT = with_views(EVT_SQL)
@@ -206,3 +207,42 @@ def g11_per_channel(spark, sf):
         F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"),
         F.round(F.stddev_pop("value"), 6).alias("std_value"), F.round(F.avg("score"), 9).alias("mean_score"),
         F.sum("labels").cast("bigint").alias("n_signal")])
+
+
+def _channel_shape_stats(pdf):
+    """Per channel: chi-square of its binned shape against the pooled shape (pandas, one small group)."""
+    import numpy as np
+    import pandas as pd
+    n = pdf["n"].to_numpy(dtype="float64")
+    p = pdf["p_all"].to_numpy(dtype="float64")
+    tot = n.sum()
+    exp = tot * p
+    m = exp > 0
+    chi2 = float(((n[m] - exp[m]) ** 2 / exp[m]).sum())
+    order = np.lexsort((pdf["bin"].to_numpy(), -n))          # most populated bin, lowest index on ties
+    return pd.DataFrame({"channel": [pdf["channel"].iloc[0]], "n": [int(tot)], "chi2": [round(chi2, 6)],
+                         "ndf": [int(m.sum()) - 1], "mode_bin": [int(pdf["bin"].to_numpy()[order[0]])]})
+
+
+@register("g11_per_channel_apply", EVT.rstrip() + ",\n" + hist_ctes("h", "evt", "value", 20, by=["channel"]) + """,
+pa AS (SELECT bin, SUM(n) AS nb FROM h_out GROUP BY bin),
+pt AS (SELECT SUM(nb) AS nt FROM pa),
+j AS (SELECT h_out.channel, h_out.bin, h_out.n, CAST(pa.nb AS DOUBLE) / pt.nt AS p_all,
+             SUM(h_out.n) OVER (PARTITION BY h_out.channel) AS tot
+      FROM h_out JOIN pa ON h_out.bin = pa.bin CROSS JOIN pt),
+r AS (SELECT channel, n, bin, row_number() OVER (PARTITION BY channel ORDER BY n DESC, bin) AS rk FROM h_out)
+SELECT j.channel, CAST(MAX(tot) AS BIGINT) AS n,
+       round(SUM(CASE WHEN tot * p_all > 0 THEN (n - tot * p_all) * (n - tot * p_all) / (tot * p_all) END), 6) AS chi2,
+       CAST(SUM(CASE WHEN tot * p_all > 0 THEN 1 ELSE 0 END) - 1 AS BIGINT) AS ndf,
+       CAST((SELECT r.bin FROM r WHERE r.channel = j.channel AND rk = 1) AS BIGINT) AS mode_bin
+FROM j GROUP BY j.channel""")
+def g11_per_channel_apply(spark, sf):
+    """G11 custom path: a pandas function per channel, applied to the channel's
+    histogram (at most ``nbins`` rows per group), never to its raw rows."""
+    from ..operators import hist
+    h = hist.histogram(evt(spark, sf), "value", 20, by=["channel"]).select("channel", "bin", "n")
+    pooled = h.groupBy("bin").agg(F.sum("n").alias("nb"))
+    pooled = pooled.withColumn("p_all", F.col("nb") / pooled.agg(F.sum("nb")).scalar()).select("bin", "p_all")
+    j = h.join(pooled, "bin", "inner")
+    return j.groupBy("channel").applyInPandas(
+        _channel_shape_stats, schema="channel string, n bigint, chi2 double, ndf bigint, mode_bin bigint")
