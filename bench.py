@@ -1,6 +1,9 @@
 """Benchmark the headline queries.
 
-    BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
+    BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py [query ...]
+
+``BENCH_EVENTLOG_DIR=<scratch dir>`` additionally writes Spark's event log
+there (stage and task times; the web UI stays off).
 
 Each query is executed end to end into Spark's ``noop`` sink (full
 computation, no driver collect); one warm-up run, then the median of
@@ -38,8 +41,12 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
-    spark = get_spark(f"local[{cpus}]", app="sigbg-bench", shuffle_partitions=int(cpus) * 2,
-                      extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    ev_dir = os.environ.get("BENCH_EVENTLOG_DIR")      # opt-in: stage/task times without the UI
+    if ev_dir:
+        os.makedirs(ev_dir, exist_ok=True)
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": ev_dir})
+    spark = get_spark(f"local[{cpus}]", app="sigbg-bench", shuffle_partitions=int(cpus) * 2, extra=extra)
     reg = load_all()
     out = {}
     for name in names:
