@@ -75,7 +75,8 @@ _X4_PICK = "(('0x' || substr(md5(concat_ws(':', '42', CAST(s.labels AS VARCHAR),
 r AS (SELECT event_id, labels, row_number() OVER (PARTITION BY labels ORDER BY {H}, event_id) AS rn,
              COUNT(*) OVER (PARTITION BY labels) AS n FROM evt),
 m AS (SELECT MAX(n) AS M FROM r),
-s AS (SELECT DISTINCT labels, n, CAST(d.range AS BIGINT) AS draw FROM r, m, range(m.M) d),
+cls AS (SELECT DISTINCT labels, n FROM r),
+s AS (SELECT cls.labels, cls.n, CAST(d.range AS BIGINT) AS draw FROM cls, m, range(m.M) d),
 p AS (SELECT s.labels, s.draw, {_X4_PICK} AS rn FROM s)
 SELECT p.labels, p.draw, r.event_id FROM p JOIN r ON p.labels = r.labels AND p.rn = r.rn""")
 def x4_oversample(spark, sf):
