@@ -79,7 +79,7 @@ def _texts(spark, sf):
 _CHARS_SQL = """
 WITH t AS (SELECT text FROM documents WHERE text IS NOT NULL AND length(text) > 0
            UNION ALL SELECT text FROM conversations WHERE text IS NOT NULL AND length(text) > 0),
-c AS (SELECT unnest(list_transform(range(1, length(text) + 1), lambda i: substring(text, i, 1))) AS ch FROM t),
+c AS (SELECT unnest(regexp_extract_all(text, '(?s).')) AS ch FROM t),
 g AS (SELECT ch, COUNT(*) AS n FROM c GROUP BY ch)"""
 
 
@@ -91,7 +91,7 @@ def a7_char_dictionary(spark, sf):
 
 @register("a7_encode_check", _CHARS_SQL + """,
 d AS (SELECT ch, CAST(dense_rank() OVER (ORDER BY ch) - 1 AS INTEGER) AS ix FROM g),
-e AS (SELECT doc_id, unnest(list_transform(range(1, length(text) + 1), lambda i: substring(text, i, 1))) AS ch
+e AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS ch
       FROM documents WHERE text IS NOT NULL AND length(text) > 0)
 SELECT doc_id, COUNT(*) AS n_codes, CAST(SUM(ix) AS BIGINT) AS sum_codes, COUNT(*) - COUNT(ix) AS n_missing
 FROM e LEFT JOIN d USING (ch) GROUP BY doc_id""")
