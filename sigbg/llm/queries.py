@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import cuckoo_dedup
+from . import cuckoo_dedup, curve_packing, near_dedup, pfor_files, quality_lm, systematic_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,3 +31,30 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo_dedup.dedup(read_table(spark, sf_dir, "documents")) \
         .select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@_query("op8_systematic_mix", systematic_mix.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return systematic_mix.mix(read_table(spark, sf_dir, "documents")) \
+        .select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query("op10_quality_lm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@_query("op1_curve_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+@_query("op2_pfor_files")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfor_files.round_trip(read_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), k=3, percent=85, symbols=32) \
+        .drop("k_id", "k_hash")
