@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import cuckoo_dedup, curve_packing, near_dedup, pfor_files, quality_lm, systematic_mix
+from . import (chunk_dedup, cuckoo_dedup, curve_packing, html_text, license_scan, near_dedup, pfor_files, quality_lm,
+               spot_signatures, systematic_mix)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +59,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), k=3, percent=85, symbols=32) \
         .drop("k_id", "k_hash")
+
+
+@_query("op3_chunk_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.passages(read_table(spark, sf_dir, "documents")).drop("k_id", "k_hash")
+
+
+@_query("op5_html_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+@_query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
+@_query("op7_spot_signatures")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.fingerprints(read_table(spark, sf_dir, "documents"))
