@@ -10,13 +10,15 @@ of these entries, so no pair within the radius is missed.  The radius lies so
 far above the expected distance at the threshold that a link is lost with a
 probability below 1e-4 even at the threshold itself.
 
-Pairs are never listed for a whole bucket.  A round compares every member with
-one pivot of its bucket; links are confirmed on the full sets of the whole
-texts and merged into components; a bucket whose members have become one
-component is done.  Small rest buckets are compared in full, large ones get a
-new pivot, and what is left after ``PIVOT_ROUNDS`` is compared in full across
-components - so every candidate pair is either confirmed, refuted or already
-within one component.
+Pairs are never listed for a whole bucket.  The pivot of a bucket is its most
+central member (the one whose buckets hold most members: in a family of edited
+copies that is the original), and a pivot's family is everything that shares a
+bucket with it.  Members are first compared with their pivot.  Those that link
+to it are one component with it; a member that doesn't - a single - may still
+link with others of its family, so singles are compared with the whole family,
+in blocks of bounded size that are dealt to tasks of their own and return links
+only.  Two documents of one bucket are thus either linked to its pivot both or
+compared directly, by signature and then on the full sets of the whole texts.
 """
 
 from __future__ import annotations
@@ -35,8 +37,7 @@ from .common import NULL_ID, join_groups, row_key, text_of
 from .components import components
 from .shingles import Shingler, Signer, set_digest
 
-SMALL_BUCKET = 24
-PIVOT_ROUNDS = 6
+BLOCK = 512
 SETS_KEPT = 64
 
 
@@ -105,7 +106,7 @@ def within_radius(pairs: DataFrame, classes: DataFrame, radius: int, percent: in
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity: 100 * common >= percent * all."""
-    side = lambda c: texts.select(F.col("cid").alias(c), F.col("t").alias("t" + c))
+    side = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias("t" + c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sets = Shingler(k), OrderedDict()
@@ -129,52 +130,105 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _pivot_pairs(members: DataFrame, buckets: DataFrame) -> DataFrame:
-    return members.join(buckets, "key").filter("cid <> pivot") \
-        .select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+def _block_links(rows: list[tuple], percent: int, radius: int, shingler: Shingler) -> list[tuple[int, int]]:
+    """Links of the singles of one block with its members; rows are (cid, single, own, sig, n, text).
+
+    ``single`` marks the rows to compare with all others, ``own`` those that
+    don't link to the pivot (in a family of several blocks they come as members
+    too).  Pairs that are connected already are skipped.
+    """
+    rows = list({r[0]: r for r in sorted(rows, key=lambda r: r[1])}.values())      # a single may come as a member too
+    sig = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint16).reshape(len(rows), -1)
+    n = np.array([r[4] for r in rows], dtype=np.int64)
+    single = np.array([r[1] for r in rows], dtype=bool)
+    sets: dict[int, np.ndarray] = {}
+    top = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    def of(x: int) -> np.ndarray:
+        if x not in sets:
+            sets[x] = shingler.shingles(rows[x][5])
+        return sets[x]
+
+    linked = [i for i in range(len(rows)) if not rows[i][2]]
+    for i in linked[1:]:
+        top[find(i)] = find(linked[0])                                             # through the pivot
+    links = []
+    for i in np.flatnonzero(single).tolist():
+        near = (sig != sig[i]).sum(axis=1) <= radius
+        near &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+        near[i] = False
+        near[:i] &= ~single[:i]                                                    # two singles once
+        for j in np.flatnonzero(near).tolist():
+            if find(i) != find(j):
+                s, t = of(i), of(j)
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * common >= percent * (len(s) + len(t) - common):
+                    top[find(i)] = find(j)
+                    links.append((rows[i][0], rows[j][0]))
+    return links
+
+
+def family_links(family: DataFrame, linked: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int,
+                 radius: int) -> DataFrame:
+    """Links of the singles of each family(pivot, cid) with its other members.
+
+    Families are cut into blocks of about BLOCK members; block b of the singles
+    meets block t of all members in the task of (pivot, t, b).
+    """
+    f = family.join(linked, ["pivot", "cid"], "left").withColumn("single", F.col("hit").isNull()).drop("hit")
+    size = f.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("single").cast("int")).alias("s")).filter("m > 1 AND s > 0")
+    f = f.join(size, "pivot").withColumn("nt", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("ns", F.ceil(F.col("s") / BLOCK).cast("int"))
+    at = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    member = f.filter(~F.col("single") | (F.col("ns") * F.col("nt") > 1)).withColumn("t", at("nt")).withColumn("b", each("ns")) \
+        .select("pivot", "t", "b", "cid", F.lit(False).alias("single"), F.col("single").alias("own"))
+    single = f.filter("single").withColumn("b", at("ns")).withColumn("t", each("nt")) \
+        .select("pivot", "t", "b", "cid", "single", F.lit(True).alias("own"))
+    rows = member.union(single).join(classes.select("cid", "sig", "n"), "cid").join(texts, "cid") \
+        .select("pivot", "t", "b", "cid", "single", "own", "sig", "n", F.col("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, now, group = Shingler(k), None, []
+
+        def links() -> pa.RecordBatch:
+            found = _block_links(group, percent, radius, shingler)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns[:8]]
+            for i, (p, t, s, cid, one, own, sig, n) in enumerate(zip(*cols)):
+                if (p, t, s) != now:
+                    if group:
+                        yield links()
+                    now, group = (p, t, s), []
+                group.append((cid, one, own, sig, n, b.column(8)[i].as_py()))
+        if group:
+            yield links()
+
+    return rows.repartition("pivot", "t", "b").sortWithinPartitions("pivot", "t", "b", "cid").mapInArrow(run, "a long, b long")
 
 
 def class_links(classes: DataFrame, texts_of, k: int, percent: int, symbols: int, chunk: int, errors: int) -> DataFrame:
     """(node, comp): components of the classes that link with any other class."""
     radius = (symbols // chunk) * (errors + 1) - 1
     entries = bucket_entries(classes, symbols, chunk, errors)
-    buckets = entries.groupBy("key").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = write_through(entries.join(buckets, "key"), "near-members")
-    texts = write_through(texts_of(members.select("cid").distinct()), "near-texts")
-    pairs = members.filter("cid <> pivot") \
-        .select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-    open_ = members.filter("n > 2 AND cid <> pivot").select("key", "cid")
-    links = tested = None
-    for turn in range(1, PIVOT_ROUNDS + 3):
-        near = write_through(within_radius(pairs, classes, radius, percent), "near-pairs")
-        found = confirm(near, texts, k, percent)
-        links = write_through(found if links is None else links.union(found), "near-links")
-        tested = near if tested is None else tested.union(near)
-        comp = components(links)
-        # Members left in buckets that still hold several components.
-        m = open_.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left") \
-            .select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
-        b = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("cid").alias("pivot"),
-                                 F.count(F.lit(1)).alias("n")).filter("c0 <> c1").drop("c0", "c1")
-        m = write_through(m.join(b, "key"), "near-open")
-        if m.isEmpty():
-            break
-        full = m.filter(f"n <= {SMALL_BUCKET}") if turn < PIVOT_ROUNDS else m
-        x = full.select("key", F.col("cid").alias("a"), F.col("comp").alias("ca"))
-        y = full.select("key", F.col("cid").alias("b"), F.col("comp").alias("cb"))
-        pairs = x.join(y, "key").filter("a < b AND ca <> cb").select("a", "b").distinct()
-        open_ = None
-        if turn < PIVOT_ROUNDS:
-            large = m.filter(f"n > {SMALL_BUCKET}")
-            pivot = large.filter("cid = pivot").select("key", F.col("comp").alias("pcomp"))
-            pairs = pairs.union(large.join(pivot, "key").filter("comp <> pcomp")
-                                .select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
-                                .distinct()).distinct()
-            open_ = large.filter("cid <> pivot").select("key", "cid")
-        else:
-            open_ = m.select("key", "cid").limit(0)
-        pairs = write_through(pairs.join(tested, ["a", "b"], "left_anti"), "near-next")
-    return comp
+    central = members.groupBy("cid").agg(F.sum("size").alias("weight"))
+    pivots = members.join(central, "cid").groupBy("key").agg(F.max(F.struct("weight", "cid")).alias("p")).select("key", F.col("p.cid").alias("pivot"))
+    family = write_through(members.join(pivots, "key").filter("cid <> pivot").select("pivot", "cid").distinct(), "near-family")
+    texts = write_through(texts_of(members.select("cid").distinct()).withColumnRenamed("t", "text"), "near-texts")
+    pairs = family.select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
+    to_pivot = write_through(confirm(within_radius(pairs, classes, radius, percent), texts, k, percent), "near-pivot-links")
+    linked = to_pivot.select(F.col("a").alias("pivot"), F.col("b").alias("cid"), F.lit(True).alias("hit"))
+    rest = write_through(family_links(family, linked, classes, texts, k, percent, radius), "near-family-links")
+    return components(to_pivot.union(rest))
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, symbols: int = 40, chunk: int = 4,
