@@ -91,8 +91,3 @@ def gmm_log_density(x, weights: Sequence[float], means: Sequence[float], sigmas:
 def _log(v: float) -> float:
     import math
     return math.log(v)
-
-
-def round_key(score, places: int = 9) -> Column:
-    """Integer key of a score rounded to `places` decimals (portable grouping)."""
-    return F.round(_c(score) * F.lit(float(10 ** places))).cast("bigint")

@@ -1,10 +1,11 @@
 """ROC curves and areas (K3-K6).
 
-The curve is built on the *distinct scores*: rows are first reduced with a
-partial aggregate to one row per (group, score key) carrying (tp_s, fp_s),
-so the only data that is ever ordered is the set of distinct scores, and its
-running sums use the blocked prefix helper -- no single-task window over
-the full table.
+The curve is built on the *distinct scores*, as they are: rows are first
+reduced with a partial aggregate to one row per (group, score) carrying
+(tp_s, fp_s), so the only data that is ever ordered is the set of distinct
+scores, and its running sums use the blocked prefix helper -- no single-task
+window over the full table.  Blocks are quantiles of the distinct scores, so
+saturated scores (many values within a hair of 0 or 1) spread like any others.
 """
 
 from __future__ import annotations
@@ -14,117 +15,85 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import round_key
-from ..session import is_large, write_through
-from .prefix import fixed_blocks, running, value_blocks
+from ..session import write_through
+from .prefix import join_group_stats, running, value_blocks
 
-SCORE_PLACES = 9
 
+def score_counts(df: DataFrame, label: str = "labels", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """One row per (group, distinct score): tp_s, fp_s; rows without a score or label are left out.
 
-def score_counts(df: DataFrame, label: str = "labels", score: str = "score",
-                 by: Sequence[str] = (), key: str | None = None, materialize: bool | None = None) -> DataFrame:
-    """One row per (group, distinct rounded score): tp_s, fp_s.
-
-    The curve reads this table four times (totals, block offsets, running
-    sums, start points).  For large inputs (``materialize=None`` -> decided by
-    ``session.is_large``) it is written once (Parquet) into the shared
-    checkpoint folder, so the source is scanned once and a lost executor
-    recomputes from the stored table; small inputs are simply re-scanned.
+    The curve reads this table several times (totals, block edges, block
+    offsets, running sums, start points), so it is written once into the
+    shared checkpoint folder; the source is scanned once, and a lost executor
+    recomputes from the stored table.
     """
-    k = F.col(key) if key else round_key(score, SCORE_PLACES)
     y = F.col(label).cast("bigint")
-    counts = (df.select(*by, k.alias("score_key"), y.alias("_y"))
-                .groupBy(*by, "score_key")
+    s = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
+    counts = (df.select(*by, (s + F.lit(0.0)).alias("score"), y.alias("_y")).filter("score IS NOT NULL AND _y IS NOT NULL")
+                .groupBy(*by, "score")
                 .agg(F.sum("_y").alias("tp_s"), F.sum(F.lit(1) - F.col("_y")).alias("fp_s")))
-    if materialize is None:
-        materialize = is_large(df)
-    return write_through(counts, "score-counts") if materialize else counts
-
-
-def _with_totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    if by:
-        tot = counts.groupBy(*by).agg(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"))
-        return counts.join(tot, list(by), "inner")
-    t = counts.agg(F.struct(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N")).alias("t")).scalar()
-    return counts.withColumn("_tot", t).withColumn("P", F.col("_tot.P")).withColumn("N", F.col("_tot.N")) \
-                 .drop("_tot")
-
+    return write_through(counts, "score-counts")
 
-PROB_KEY_RANGE = (0, 10 ** SCORE_PLACES)
 
-
-def cumulative_counts(counts: DataFrame, by: Sequence[str] = (), n_blocks: int = 4096,
-                      key_range: tuple[int, int] | None = PROB_KEY_RANGE) -> DataFrame:
-    """Descending running tp/fp over distinct scores (inclusive).
-
-    Probability scores use fixed key blocks (no extra pass); for unbounded
-    scores pass ``key_range=None`` to get balanced approximate-quantile blocks.
-    """
-    if key_range is not None:
-        blocked = counts.withColumn("_vblk", fixed_blocks("score_key", key_range[0], key_range[1], n_blocks))
-    else:
-        blocked = value_blocks(counts, "score_key", n_blocks=min(n_blocks, 1024))
-    return running(blocked, order=["score_key"], values={"tp": "tp_s", "fp": "fp_s"},
+def cumulative_counts(counts: DataFrame, by: Sequence[str] = (), n_blocks: int | None = None) -> DataFrame:
+    """Descending running tp/fp over distinct scores (inclusive)."""
+    blocked = value_blocks(counts, "score", n_blocks=n_blocks)
+    return running(blocked, order=["score"], values={"tp": "tp_s", "fp": "fp_s"},
                    block="_vblk", partition_by=by, descending=True)
 
 
 def roc_curve(df: DataFrame, label: str = "labels", score: str = "score", by: Sequence[str] = (),
-              key: str | None = None, n_blocks: int = 4096, places: int = 6,
-              key_range: tuple[int, int] | None = PROB_KEY_RANGE, materialize: bool | None = None) -> DataFrame:
+              n_blocks: int | None = None) -> DataFrame:
     """K3: one row per distinct score (threshold) plus the (0,0) start point.
 
     Columns: [by...], threshold, tp, fp, tpr, fpr (threshold null for the start).
     """
-    counts = score_counts(df, label, score, by, key, materialize)
-    cum = _with_totals(cumulative_counts(counts, by, n_blocks, key_range), by)
-    pts = cum.select(*by, (F.col("score_key") / F.lit(float(10 ** SCORE_PLACES))).alias("threshold"),
-                     F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
-                     F.col("P"), F.col("N"))
+    counts = score_counts(df, label, score, by)
+    total = counts.groupBy(*by).agg(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"))
+    cum = cumulative_counts(counts, by, n_blocks).select(*by, F.col("score").alias("threshold"), "tp", "fp")
+    starts = total.select(*by, F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("bigint").alias("tp"),
+                          F.lit(0).cast("bigint").alias("fp"))
+    if not by:
+        starts = starts.filter(total.select(F.col("P").isNotNull()).scalar())       # no rows, no curve
+    pts = cum.unionByName(starts)
     if by:
-        starts = counts.groupBy(*by).agg(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"))
+        pts = join_group_stats(pts, total, by)
     else:
-        starts = counts.agg(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"))
-    starts = starts.select(*by, F.lit(None).cast("double").alias("threshold"),
-                           F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"), "P", "N")
-    allp = pts.unionByName(starts)
-    return allp.select(*by, "threshold", "tp", "fp",
-                       F.round(F.try_divide(F.col("tp"), F.col("P")), places).alias("tpr"),
-                       F.round(F.try_divide(F.col("fp"), F.col("N")), places).alias("fpr"))
+        t = total.agg(F.struct(F.first("P").alias("P"), F.first("N").alias("N")).alias("t")).scalar()
+        pts = pts.withColumn("_tot", t).withColumn("P", F.col("_tot.P")).withColumn("N", F.col("_tot.N"))
+    return pts.select(*by, "threshold", F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
+                      F.try_divide(F.col("tp"), F.col("P")).alias("tpr"), F.try_divide(F.col("fp"), F.col("N")).alias("fpr"))
 
 
-def efficiency_rejection(roc: DataFrame, by: Sequence[str] = (), places: int = 6) -> DataFrame:
+def efficiency_rejection(roc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """K5: signal efficiency (tpr) against background rejection (1 - fpr)."""
-    return roc.select(*by, "threshold", F.col("tpr").alias("sig_eff"),
-                      F.round(F.lit(1.0) - F.col("fpr"), places).alias("bkg_rej"))
+    return roc.select(*by, "threshold", F.col("tpr").alias("sig_eff"), (F.lit(1.0) - F.col("fpr")).alias("bkg_rej"))
 
 
 def auc(df: DataFrame, label: str = "labels", score: str = "score", by: Sequence[str] = (),
-        key: str | None = None, n_blocks: int = 4096, places: int = 9,
-        key_range: tuple[int, int] | None = PROB_KEY_RANGE, materialize: bool | None = None) -> DataFrame:
+        n_blocks: int | None = None) -> DataFrame:
     """K4: trapezoidal area under the ROC = P(score+ > score-) + 0.5 P(tie).
 
     Sum over distinct scores of fp_s * (tp strictly above + tp_s / 2), / (P N).
     """
-    counts = score_counts(df, label, score, by, key, materialize)
-    cum = cumulative_counts(counts, by, n_blocks, key_range)
+    cum = cumulative_counts(score_counts(df, label, score, by), by, n_blocks)
     part = cum.groupBy(*by).agg(
         F.sum(F.col("fp_s") * (F.col("tp") - F.col("tp_s") / F.lit(2.0))).alias("_num"),
         F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"))
     return part.select(*by, F.col("P").cast("bigint").alias("n_pos"), F.col("N").cast("bigint").alias("n_neg"),
-                       F.round(F.try_divide(F.col("_num"), F.col("P") * F.col("N")), places).alias("auc"))
+                       F.try_divide(F.col("_num"), F.col("P").cast("double") * F.col("N")).alias("auc"))
 
 
 def roc_by_model(scored_long: DataFrame, model_col: str = "model", label: str = "labels",
-                 score: str = "score", n_blocks: int = 4096) -> DataFrame:
+                 score: str = "score") -> DataFrame:
     """K6: efficiency / rejection curves of several models in one table.
 
     Input is long form (model, label, score); curves are partitioned by model,
     and the log10 of the rejection factor 1/fpr is added for log-scale plots.
     """
-    roc = roc_curve(scored_long, label, score, by=[model_col], n_blocks=n_blocks)
-    return roc.select(model_col, "threshold", F.col("tpr").alias("sig_eff"),
-                      F.round(F.lit(1.0) - F.col("fpr"), 6).alias("bkg_rej"),
-                      F.when(F.col("fpr") > 0, F.round(-F.log10(F.col("fpr")), 6)).alias("log_rej"))
+    roc = roc_curve(scored_long, label, score, by=[model_col])
+    return roc.select(model_col, "threshold", F.col("tpr").alias("sig_eff"), (F.lit(1.0) - F.col("fpr")).alias("bkg_rej"),
+                      F.when(F.col("fpr") > 0, -F.log10(F.col("fpr"))).alias("log_rej"))
 
 
 def hard_auc(df: DataFrame, label: str = "labels", pred: Column | str = "pred") -> DataFrame:
@@ -132,5 +101,5 @@ def hard_auc(df: DataFrame, label: str = "labels", pred: Column | str = "pred")
     p = F.col(pred) if isinstance(pred, str) else pred
     y = F.col(label)
     return df.agg(
-        F.round((F.avg(F.when(y == 1, p.cast("double"))) +
-                 F.avg(F.when(y == 0, F.lit(1.0) - p.cast("double")))) / F.lit(2.0), 9).alias("hard_auc"))
+        ((F.avg(F.when(y == 1, p.cast("double"))) +
+          F.avg(F.when(y == 0, F.lit(1.0) - p.cast("double")))) / F.lit(2.0)).alias("hard_auc"))

@@ -1,8 +1,8 @@
 """Histograms, profiles, efficiencies and tail truncation.
 
 Edges come from one-row aggregates used as scalar subqueries (shared edges)
-or from a per-group aggregate joined back (one row per group, bounded by the
-number of groups).  Counting is a partial aggregate on (group, bin); the
+or from a per-group aggregate joined back (one row per group; the table itself
+is not shuffled for it, and null is a group like any other).  Counting is a partial aggregate on (group, bin); the
 full bin grid is generated from the edge rows, so empty bins appear with a
 zero count as in ``np.histogram``.  No data is ever sorted.
 """
@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import join_group_stats, nullsafe_join
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -77,11 +79,11 @@ def histogram(df: DataFrame, x, nbins: int = 50, by: Sequence[str] = (), shared:
         grid = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(nbins - 1))).alias("bin"),
                              L.alias("_L"), H.alias("_H"))
     else:
-        binned = d.join(st, by, "inner").select(*by, bin_index(F.col("_x"), F.col("_L"), F.col("_H"), nbins)
+        binned = join_group_stats(d, st, by).select(*by, bin_index(F.col("_x"), F.col("_L"), F.col("_H"), nbins)
                                                 .alias("bin"))
         grid = st.select(*by, F.explode(F.sequence(F.lit(0), F.lit(nbins - 1))).alias("bin"), "_L", "_H")
     counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("_n"))
-    out = grid.join(counts, by + ["bin"], "left").withColumn("n", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint"))
+    out = nullsafe_join(grid, counts, by + ["bin"], "left").withColumn("n", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     width = (F.col("_H") - F.col("_L")) / F.lit(float(nbins))
     lo_e = F.col("_L") + F.col("bin") * (F.col("_H") - F.col("_L")) / F.lit(float(nbins))
@@ -111,17 +113,17 @@ def truncate_tails(df: DataFrame, x: str, nsigma: float = 5.0, by: Sequence[str]
         return t1.withColumn("_m1", st1).filter(xc < F.col("_m1.m") + F.lit(float(nsigma)) * F.col("_m1.s")) \
                  .select(*cols)
     st0 = df.groupBy(*by).agg(F.avg(x).alias("_m0"), F.stddev_pop(x).alias("_s0"))
-    t1 = df.join(st0, by, "inner").filter(xc > F.col("_m0") - F.lit(float(nsigma)) * F.col("_s0")) \
+    t1 = join_group_stats(df, st0, by).filter(xc > F.col("_m0") - F.lit(float(nsigma)) * F.col("_s0")) \
            .drop("_m0", "_s0")
     st1 = t1.groupBy(*by).agg(F.avg(x).alias("_m1"), F.stddev_pop(x).alias("_s1"))
-    return t1.join(st1, by, "inner").filter(xc < F.col("_m1") + F.lit(float(nsigma)) * F.col("_s1")) \
+    return join_group_stats(t1, st1, by).filter(xc < F.col("_m1") + F.lit(float(nsigma)) * F.col("_s1")) \
              .drop("_m1", "_s1")
 
 
 def unit_weights(df: DataFrame, label: str = "labels", name: str = "weight") -> DataFrame:
     """M7: weight 1/N_class per row (class sizes are a per-class aggregate, joined back)."""
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_N"))
-    return df.join(n, label, "inner").withColumn(name, F.lit(1.0) / F.col("_N")).drop("_N")
+    return join_group_stats(df, n, [label]).withColumn(name, F.lit(1.0) / F.col("_N")).drop("_N")
 
 
 def profile(df: DataFrame, x, y, nbins: int = 69, places: int = 6) -> DataFrame:
@@ -155,11 +157,11 @@ def efficiency(df: DataFrame, x: str, passed: Column, nbins: int = 50, by: Seque
     d = df.select(*by, F.col(x).cast("double").alias("_x"), passed.cast("int").alias("_p")) \
           .filter(_valid(F.col("_x")))
     st = edge_stats(d, by, shared=False)
-    b = d.join(st, by, "inner").select(*by, bin_index(F.col("_x"), F.col("_L"), F.col("_H"), nbins).alias("bin"),
+    b = join_group_stats(d, st, by).select(*by, bin_index(F.col("_x"), F.col("_L"), F.col("_H"), nbins).alias("bin"),
                                        "_p")
     g = b.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("_b"), F.sum("_p").alias("_a"))
     grid = st.select(*by, F.explode(F.sequence(F.lit(0), F.lit(nbins - 1))).alias("bin"), "_L", "_H")
-    out = grid.join(g, by + ["bin"], "left")
+    out = nullsafe_join(grid, g, by + ["bin"], "left")
     lo_e = F.col("_L") + F.col("bin") * (F.col("_H") - F.col("_L")) / F.lit(float(nbins))
     hi_e = F.col("_L") + (F.col("bin") + 1) * (F.col("_H") - F.col("_L")) / F.lit(float(nbins))
     before = F.coalesce(F.col("_b"), F.lit(0)).cast("bigint")

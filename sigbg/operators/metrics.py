@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import decision
-from .prefix import fixed_blocks, running
+from .prefix import fixed_blocks, join_group_stats, running
 
 
 def _c(x) -> Column:
@@ -132,7 +132,7 @@ def epoch_losses(batch_losses: DataFrame, epoch: str = "epoch", step: str = "ste
     r = running(batch_losses, order=[step], values={"_cs": F.col(loss), "_cn": F.lit(1).cast("bigint")},
                 block=b, partition_by=[epoch])
     tot = batch_losses.groupBy(epoch).agg(F.avg(loss).alias("epoch_mean"))
-    return (r.join(tot, epoch, "inner")
+    return (join_group_stats(r, tot, [epoch])
              .select(epoch, step, F.round(F.col(loss), 9).alias("loss"),
                      F.round(F.col("_cs") / F.col("_cn"), 9).alias("running_mean"),
                      F.round(F.col("epoch_mean"), 9).alias("epoch_mean")))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import hash_hex
-from ..session import is_large, write_through
+from ..session import write_through
 from .curves import auc as exact_auc
 
 # The reference's default and "deep" boosted-tree settings,
@@ -102,8 +102,7 @@ def _maps(est, rows: Sequence[dict]) -> list[dict]:
 def cross_validate(est, maps: list[dict], df: DataFrame, fold_col: str, label: str = "labels",
                    parallelism: int = 4):
     """K-fold CV (folds from a column, see ``sample.stratified_folds``), exact AUC."""
-    if is_large(df):
-        df = write_through(df, "cv-input")     # every fold of every map re-reads it
+    df = write_through(df, "cv-input")         # every fold of every map re-reads it
     ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
                         parallelism=parallelism, seed=42)
@@ -156,10 +155,9 @@ def hyperband(spark: SparkSession, train: DataFrame, valid: DataFrame, max_iter:
     evaluation: bracket, rung, config, resource, auc.
     """
     make = make or (lambda p, r: gbt({**p, "maxIter": max(1, int(round(r)))}, seed=seed))
-    if is_large(train):
-        # Dozens of fits read these frames: store them once (vector columns included).
-        train = write_through(train, "hyperband-train")
-        valid = write_through(valid, "hyperband-valid")
+    # Dozens of fits read these frames: store them once (vector columns included).
+    train = write_through(train, "hyperband-train")
+    valid = write_through(valid, "hyperband-valid")
     results = []
     sched = hyperband_schedule(max_iter, eta)
     for s, n, r in sched:

@@ -28,9 +28,36 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_through
+
 BLOCK = "_blk"
 
 
+MAX_BROADCAST_GROUPS = 10_000
+
+
+def nullsafe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null; the key columns come from the left once.
+
+    The keys are compared as one struct, which is never null itself.
+    """
+    r = right.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("_jk"),
+                     *[c for c in right.columns if c not in keys])
+    lft = left.withColumn("_jk", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]))
+    return lft.join(r, "_jk", how).drop("_jk")
+
+
+def join_group_stats(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` with the statistics of its group (``stats``: one row per group; null is a group).
+
+    The statistics are stored and counted: up to MAX_BROADCAST_GROUPS rows go
+    to all tasks, so ``df`` - whose group keys may be a handful of hot values -
+    is not moved; more of them make an ordinary join.
+    """
+    s = write_through(stats, "group-stats")
+    return nullsafe_join(df, F.broadcast(s) if s.count() <= MAX_BROADCAST_GROUPS else s, by)
+
+
 def _order_exprs(order: Sequence, descending: bool) -> list[Column]:
     out = []
     for o in order:
@@ -54,26 +81,26 @@ def running(df: DataFrame, *, order: Sequence, values: dict[str, Column | str],
     agg = F.sum if how == "sum" else F.max
     part = list(partition_by)
     blk = F.col(block) if isinstance(block, str) else block
-    d = df.withColumn(BLOCK, blk)
+    # Partition and block in one struct: never null itself, so a null partition is one like any other.
+    d = df.withColumn(BLOCK, F.struct(*[F.col(p).alias(f"p{i}") for i, p in enumerate(part)], blk.alias("b")))
     vals = {n: (F.col(v) if isinstance(v, str) else v) for n, v in values.items()}
     tmp = {n: f"_v_{i}" for i, n in enumerate(vals)}
     for n, c in vals.items():
         d = d.withColumn(tmp[n], c)
 
-    keys = part + [BLOCK]
     # 1. running aggregate inside each (partition, block): one shuffle on the keys.
-    wl = Window.partitionBy(*keys).orderBy(*_order_exprs(order, descending)) \
+    wl = Window.partitionBy(BLOCK).orderBy(*_order_exprs(order, descending)) \
                .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     for i, n in enumerate(vals):
         d = d.withColumn(f"_l_{i}", agg(tmp[n]).over(wl))
     # 2. block totals: a map-side-combined aggregate of the (pruned) input.
-    totals = d.groupBy(*keys).agg(*[agg(tmp[n]).alias(f"_t_{i}") for i, n in enumerate(vals)])
-    wb = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0)))
-    wb = wb.orderBy(F.col(BLOCK).desc() if descending else F.col(BLOCK).asc()) \
+    totals = d.groupBy(BLOCK).agg(*[agg(tmp[n]).alias(f"_t_{i}") for i, n in enumerate(vals)])
+    wb = Window.partitionBy(*([f"{BLOCK}.p{i}" for i in range(len(part))] or [F.lit(0)]))
+    wb = wb.orderBy(F.col(f"{BLOCK}.b").desc() if descending else F.col(f"{BLOCK}.b").asc()) \
            .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *[agg(f"_t_{i}").over(wb).alias(f"_o_{i}") for i in range(len(vals))])
+    offsets = totals.select(BLOCK, *[agg(f"_t_{i}").over(wb).alias(f"_o_{i}") for i in range(len(vals))])
     # 3. add each block's offset (a small table; AQE broadcasts it after a size check).
-    d = d.join(offsets, on=keys, how="left")
+    d = d.join(offsets, BLOCK, "left")
     for i, n in enumerate(vals):
         local = F.col(f"_l_{i}")
         off = F.col(f"_o_{i}")
@@ -108,19 +135,27 @@ def fixed_blocks(key, lo: int, hi: int, n_blocks: int) -> Column:
     return F.least(F.greatest(b, F.lit(0)), F.lit(n_blocks - 1))
 
 
-def value_blocks(df: DataFrame, col: str, n_blocks: int = 256, accuracy: int = 10000,
-                 out: str = "_vblk") -> DataFrame:
+def value_blocks(df: DataFrame, col: str, n_blocks: int | None = None, rows_per_block: int = 100_000,
+                 accuracy: int = 10000, out: str = "_vblk") -> DataFrame:
     """Add a block id that is monotone in ``col`` and balanced by row count.
 
-    Edges are approximate quantiles (one small aggregate job; at most
-    ``n_blocks`` doubles reach the driver) frozen as literal splits, so every
-    later stage of the plan sees the same assignment even when tasks are
-    recomputed.  Bucketizer does a binary search per row in the JVM.
+    Edges are approximate quantiles (one small aggregate job that also counts
+    the rows; without ``n_blocks`` there is a block for every
+    ``rows_per_block`` rows) frozen as literal splits, so every later stage of
+    the plan sees the same assignment even when tasks are recomputed.
+    Bucketizer does a binary search per row in the JVM.
     """
-    probs = [i / n_blocks for i in range(1, n_blocks)]
-    row = df.select(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("e")).first()
-    edges = sorted({float(e) for e in (row["e"] or []) if e is not None and e == e})
+    value = F.col(col).cast("double")
+    if n_blocks is None:
+        n_blocks = -(-df.count() // rows_per_block)
+    edges: list[float] = []
+    if n_blocks > 1:
+        probs = [i / n_blocks for i in range(1, n_blocks)]
+        row = df.select(F.percentile_approx(value, probs, max(accuracy, 4 * n_blocks)).alias("e")).first()
+        edges = sorted({float(e) for e in (row["e"] or []) if e is not None and e == e})
+    if not edges:                                        # one block: an empty table, one value, few rows
+        return df.withColumn(out, F.lit(0))
     splits = [float("-inf")] + edges + [float("inf")]
     bz = Bucketizer(splits=splits, inputCol="_bz_in", outputCol="_bz_out", handleInvalid="keep")
-    d = bz.transform(df.withColumn("_bz_in", F.col(col).cast("double")))
+    d = bz.transform(df.withColumn("_bz_in", value))
     return d.withColumn(out, F.col("_bz_out").cast("int")).drop("_bz_in", "_bz_out")

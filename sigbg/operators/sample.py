@@ -11,18 +11,19 @@ thousands of tasks instead of one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-import math
-
 from ..functions.hashing import hash_block, hash_bucket, hash_hex
-from ..session import blocks_for
-from .prefix import row_number
+from ..session import write_through
+from .prefix import join_group_stats, nullsafe_join, row_number
 
 HASH = "_h"
+BLK = "_hb"
+ROWS_PER_BLOCK = 100_000
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -38,16 +39,49 @@ def ranked(df: DataFrame, seed, key, partition_by: Sequence[str] = (), name: str
     """Exact 1-based rank of each row in md5 order (per partition).
 
     ``digits`` leading hex digits form the blocks; by default enough of them
-    that a block holds about two million rows of the estimated input (at
-    least 16^3 blocks), so no single window task grows with the table.
+    that a block holds about ROWS_PER_BLOCK rows (at least 16^3 blocks), so no
+    single window task grows with the table.
     """
     if digits is None:
-        digits = max(3, math.ceil(math.log(blocks_for(df), 16)))
+        digits = max(3, math.ceil(math.log(max(1, df.count()) / ROWS_PER_BLOCK + 1, 16)))
     d = df.withColumn(HASH, hash_hex(seed, *seed_cols, *_keys(key)))
     return row_number(d, order=[HASH, *_keys(key)], block=hash_block(F.col(HASH), digits),
                       partition_by=partition_by, name=name).drop(HASH)
 
 
+def first_by_hash(df: DataFrame, hashed: Column, k: Callable[[Column], Column], keys: Sequence[str],
+                  by: Sequence[str] = (), name: str = "first") -> DataFrame:
+    """Marks the first ``k(n)`` of the n rows of every group in hash order, without ranking the table.
+
+    ``hashed`` is a hex string.  Rows are counted per group and block of leading
+    hash digits; the running count over blocks finds the block in which the
+    last wanted row lies.  Rows of lower blocks are in, of higher ones out, and
+    only that one block of each group is ranked: the table is read and
+    filtered but never shuffled whole.  A null group is one like any other.
+    """
+    d = df.withColumn(HASH, hashed)
+    part = list(by) or ["_all"]
+    if not by:
+        d = d.withColumn("_all", F.lit(0))
+    digits = max(3, math.ceil(math.log(max(1, df.count()) / ROWS_PER_BLOCK + 1, 16)))
+    d = d.withColumn(BLK, hash_block(F.col(HASH), digits))
+    counts = write_through(d.groupBy(*part, BLK).agg(F.count(F.lit(1)).alias("_c")), "hash-blocks")
+    group = Window.partitionBy(*part)
+    c = counts.withColumn("_before", F.coalesce(F.sum("_c").over(group.orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
+        .withColumn("_k", k(F.sum("_c").over(group)).cast("long"))
+    # Per group: the last block that lies below row k as a whole, the block that holds it, and the rows to take there.
+    holds = (F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") > F.col("_k"))
+    cut = c.groupBy(*part).agg(F.max(F.when(F.col("_before") + F.col("_c") <= F.col("_k"), F.col(BLK))).alias("_below"),
+                               F.max(F.when(holds, F.col(BLK))).alias("_cut"),
+                               F.max(F.when(holds, F.col("_k") - F.col("_before"))).alias("_need"))
+    d = join_group_stats(d, cut, part)
+    at_cut = F.col(BLK).eqNullSafe(F.col("_cut"))
+    rank = F.row_number().over(Window.partitionBy(*part, BLK).orderBy(HASH, *keys))
+    inside = d.filter(at_cut).withColumn(name, rank <= F.col("_need"))
+    outside = d.filter(~at_cut).withColumn(name, F.coalesce(F.col(BLK) <= F.col("_below"), F.lit(False)))
+    return inside.unionByName(outside).drop(HASH, BLK, "_cut", "_need", "_below", "_all")
+
+
 def shuffle(df: DataFrame, seed, key) -> DataFrame:
     """K9: rows in a repeatable random order (a distributed range sort on md5)."""
     return df.withColumn(HASH, hash_hex(seed, *_keys(key))).orderBy(HASH, *_keys(key)).drop(HASH)
@@ -68,9 +102,9 @@ def hash_split(df: DataFrame, fractions: Sequence[float], seed, key, name: str =
 
 def exact_split(df: DataFrame, test_fraction: float, seed, key, name: str = "is_test") -> DataFrame:
     """Shuffled split; test = the first ceil(f * n) rows of the md5 order."""
-    n = df.select(F.count(F.lit(1))).scalar()
-    k = F.ceil(n * F.lit(float(test_fraction)))
-    return ranked(df, seed, key).withColumn(name, (F.col("rn") <= k).cast("int")).drop("rn")
+    keys = _keys(key)
+    r = first_by_hash(df, hash_hex(seed, *keys), lambda n: F.ceil(n * F.lit(float(test_fraction))), keys, name=name)
+    return r.withColumn(name, F.col(name).cast("int"))
 
 
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
@@ -78,10 +112,10 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
 
 
 def undersample(df: DataFrame, label: str, seed, key) -> DataFrame:
-    """Exactly min-class-size rows of every class, chosen by md5 rank."""
-    m = class_sizes(df, label).select(F.min("_n")).scalar()
-    r = ranked(df, seed, key, partition_by=[label])
-    return r.filter(F.col("rn") <= m).drop("rn")
+    """Exactly min-class-size rows of every class (null is a class), chosen in md5 order."""
+    keys = _keys(key)
+    m = class_sizes(df, label).agg(F.min("_n")).first()[0] or 0
+    return first_by_hash(df, hash_hex(seed, *keys), lambda n: F.lit(m), keys, [label]).filter("first").drop("first")
 
 
 def oversample(df: DataFrame, label: str, seed, key) -> DataFrame:
@@ -96,42 +130,41 @@ def oversample(df: DataFrame, label: str, seed, key) -> DataFrame:
     """
     sizes = class_sizes(df, label)
     classes = sizes.agg(F.collect_list(F.struct(F.col(label).alias("c"), F.col("_n").alias("n"))).alias("a"),
-                        F.max_by(F.col(label), F.struct(F.col("_n"), -F.col(label))).alias("big"))
+                        F.max_by(F.struct(F.col(label).alias("c")), F.struct(F.col("_n"), F.col(label))).alias("big"))
     info = classes.select(F.struct("a", "big").alias("s")).scalar()
     r = ranked(df, seed, key, partition_by=[label])
-    big = r.withColumn("_info", info).filter(F.col(label) == F.col("_info.big"))
+    big = r.withColumn("_info", info).filter(F.col(label).eqNullSafe(F.col("_info.big.c")))
     slots = big.select((F.col("rn") - 1).alias("draw"), F.explode("_info.a").alias("_cls")) \
                .select(F.col("_cls.c").alias(label), F.col("_cls.n").alias("_n"), "draw")
-    h = hash_hex(seed, F.col(label), F.col("draw"))
+    h = hash_hex(seed, F.coalesce(F.col(label).cast("string"), F.lit("null")), F.col("draw"))
     pick = (F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint") % F.col("_n")) + 1
     slots = slots.select(label, "draw", pick.alias("rn"))
-    return slots.join(r, [label, "rn"], "inner").drop("rn")
+    return nullsafe_join(slots, r, [label, "rn"]).drop("rn")
 
 
 def drop_fraction(df: DataFrame, label: str, cls: int, fraction: float, seed, key) -> DataFrame:
     """Remove round(f * n) rows of one class (md5 order), keep the rest."""
-    n = df.filter(F.col(label) == cls).select(F.count(F.lit(1))).scalar()
-    k = F.round(n * F.lit(float(fraction)))
-    r = ranked(df.filter(F.col(label) == cls), seed, key)
-    kept = r.filter(F.col("rn") > k).drop("rn")
-    return kept.unionByName(df.filter(F.col(label) != cls))
+    keys = _keys(key)
+    hit = F.col(label).eqNullSafe(F.lit(cls))
+    r = first_by_hash(df.filter(hit), hash_hex(seed, *keys), lambda n: F.round(n * F.lit(float(fraction))), keys)
+    return r.filter("NOT first").drop("first").unionByName(df.filter(~hit))
 
 
 def positional_slice(df: DataFrame, seed, key, start: int, stop: int) -> DataFrame:
     """Rows [start, stop) of the shuffled order (iloc semantics)."""
-    r = ranked(df, seed, key)
-    return r.filter((F.col("rn") > start) & (F.col("rn") <= stop)).drop("rn")
+    keys = _keys(key)
+    r = first_by_hash(df, hash_hex(seed, *keys), lambda n: F.lit(stop), keys, name="_head").filter("_head").drop("_head")
+    return first_by_hash(r, hash_hex(seed, *keys), lambda n: F.lit(start), keys, name="_skip").filter("NOT _skip").drop("_skip")
 
 
 def stratified_splits(df: DataFrame, label: str, key, n_splits: int = 4, test_size: float = 0.25,
                       seed: int = 28) -> DataFrame:
     """N repeated stratified shuffle splits; per class the first round(f n_c) rows are test."""
-    sizes = class_sizes(df, label)
+    keys = _keys(key)
     rep = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    r = ranked(rep, seed, key, partition_by=["repeat", label], seed_cols=["repeat"])
-    r = r.join(sizes, label, "inner")
-    return r.withColumn("is_test", (F.col("rn") <= F.round(F.col("_n") * F.lit(float(test_size)))).cast("int")) \
-            .drop("rn", "_n")
+    r = first_by_hash(rep, hash_hex(seed, "repeat", *keys), lambda n: F.round(n * F.lit(float(test_size))), keys,
+                      ["repeat", label], name="is_test")
+    return r.withColumn("is_test", F.col("is_test").cast("int"))
 
 
 def stratified_folds(df: DataFrame, label: str, key, k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:

@@ -10,12 +10,13 @@ them there.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalar import guarded_logit
 
@@ -94,43 +95,54 @@ def _num(c: str) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
-def pearson(df: DataFrame, a: str, b: str, name: str = "r", places: int = 6) -> DataFrame:
+def pearson(df: DataFrame, a: str, b: str, name: str = "r") -> DataFrame:
     """Pearson correlation of two columns (NaN treated as missing, pairwise)."""
-    return df.agg(F.round(F.corr(_num(a), _num(b)), places).alias(name))
-
-
-def corr_long(df: DataFrame, cols: Sequence[str], places: int = 6, method: str = "auto") -> DataFrame:
+    return df.agg(F.corr(_num(a), _num(b)).alias(name))
+
+
+def _gram_rows(d: int, shift: list[float]):
+    """Task function: one row (i, j, n, sx, sy, sxx, syy, sxy) per column pair, summed over the task's rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j = np.triu_indices(d, 1)
+        n, s, q, g = (np.zeros((d, d)) for _ in range(4))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns]) - np.array(shift)
+            there = ~np.isnan(x)
+            x[~there] = 0.0
+            m = there.astype(np.float64)
+            n += m.T @ m
+            s += x.T @ m                 # s[i, j]: sum of column i over rows where column j is there
+            q += (x * x).T @ m
+            g += x.T @ x
+        cols = [i, j, n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], g[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    return run
+
+
+def corr_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Correlation matrix in long form, one row per pair a_pos < b_pos.
 
-    ``pairs`` computes every pair as a ``corr`` aggregate in ONE pass and
-    stacks the single wide row into rows (no driver hop); ``matrix`` uses
-    ``ml.stat.Correlation`` (Gram matrix by tree aggregation) for wide
-    inputs, whose d x d result is bounded by the schema width.
+    The same path at every width: each task sums masked products of its rows
+    (a few d x d matrix products an Arrow batch), one row per task and pair
+    moves, and a pair uses the rows in which both of its columns are there
+    (null and NaN are missing).  Columns are shifted by their means first, so
+    the sums lose no digits.  A pair without two rows or without spread has a
+    null coefficient.
     """
     cols = list(cols)
-    if method == "auto":
-        method = "pairs" if len(cols) <= 40 else "matrix"
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if method == "pairs":
-        aggs = [F.corr(_num(cols[i]), _num(cols[j])).alias(f"_r{i}_{j}") for i, j in pairs]
-        wide = df.agg(*aggs)
-        stack = "stack({}, {}) as (a, b, a_pos, b_pos, r)".format(
-            len(pairs), ", ".join(f"'{cols[i]}', '{cols[j]}', {i}, {j}, `_r{i}_{j}`" for i, j in pairs))
-        long = wide.selectExpr(stack)
-    else:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        va = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="skip")
-        m = Correlation.corr(va.transform(df.select(*[F.col(c).cast("double") for c in cols])), "_v").first()[0]
-        arr = m.toArray()
-        rows = [(cols[i], cols[j], i, j, float(arr[i][j])) for i, j in pairs]
-        spark: SparkSession = df.sparkSession
-        schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()),
-                               T.StructField("a_pos", T.IntegerType()), T.StructField("b_pos", T.IntegerType()),
-                               T.StructField("r", T.DoubleType())])
-        long = spark.createDataFrame(rows, schema)
-    return long.select("a", "b", F.col("a_pos").cast("int").alias("a_pos"), F.col("b_pos").cast("int").alias("b_pos"),
-                       F.round("r", places).alias("r"))
+    d = len(cols)
+    nums = df.select(*[_num(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    means = nums.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(d)]).first() if d else []
+    finite = [float(m) if m is not None and np.isfinite(m) else 0.0 for m in means]
+    part = nums.mapInArrow(_gram_rows(d, finite), "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double")
+    t = part.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    r = F.when(F.col("n") >= 2, F.try_divide(cov, F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))))
+    names = F.array(*[F.lit(c) for c in cols])
+    return t.select(names[F.col("i").cast("int")].alias("a"), names[F.col("j").cast("int")].alias("b"),
+                    F.col("i").cast("int").alias("a_pos"), F.col("j").cast("int").alias("b_pos"), r.alias("r"))
 
 
 def top_abs_correlations(long: DataFrame, n: int = 50) -> DataFrame:
@@ -139,9 +151,9 @@ def top_abs_correlations(long: DataFrame, n: int = 50) -> DataFrame:
                 .orderBy(F.col("abs_r").desc(), F.col("a_pos"), F.col("b_pos")).limit(n))
 
 
-def near_duplicates(long: DataFrame, top_n: int = 128, threshold: float = 0.99999) -> DataFrame:
-    """C4: right members of near-identical pairs (among the top n) that never appear as a left member."""
-    top = top_abs_correlations(long, top_n).filter(F.col("abs_r") > threshold)
+def near_duplicates(long: DataFrame, threshold: float = 0.99999) -> DataFrame:
+    """C4: right members of near-identical pairs that never appear as a left member."""
+    top = long.filter(F.abs("r") > threshold)
     left = top.select(F.col("a").alias("feature")).distinct()
     right = top.select(F.col("b").alias("feature")).distinct()
     return right.join(left, "feature", "left_anti")
@@ -188,8 +200,7 @@ def apply_drops(df: DataFrame, drops: DataFrame, mandatory: Sequence[str] = (),
     return df.drop(*[n for n in names if not any(m in n for m in keep_m)])
 
 
-def score_pivot_correlation(df: DataFrame, score: str = "score", pivots: Sequence[str] = ("mbc", "deltae"),
-                            places: int = 6) -> DataFrame:
+def score_pivot_correlation(df: DataFrame, score: str = "score", pivots: Sequence[str] = ("mbc", "deltae")) -> DataFrame:
     """Pearson of the guarded logit of the score with each pivot."""
     z = guarded_logit(score)
-    return df.agg(*[F.round(F.corr(z, _num(p)), places).alias(f"corr_{p}") for p in pivots])
+    return df.agg(*[F.corr(z, _num(p)).alias(f"corr_{p}") for p in pivots])

@@ -2,58 +2,57 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import round_key
-from ..session import blocks_for, is_large, write_through
-from .curves import PROB_KEY_RANGE
+from ..session import write_through
 from .hist import histogram
-from .prefix import fixed_blocks, row_number, running, value_blocks
+from .prefix import row_number, running, value_blocks
 
 
 def rejection_working_point(df: DataFrame, key: str, label: str = "labels", score: str = "score",
-                            rejection: float = 0.995, n_blocks: int = 4096) -> tuple[DataFrame, Column]:
+                            rejection: float = 0.995) -> tuple[DataFrame, float | None]:
     """K1: the top ``int(n_bkg * (1 - rejection))`` background rows by score.
 
-    Returns (post-cut background rows, threshold column).  Ties in score are
-    broken by ``key`` ascending (pandas keeps the first occurrence).  The
-    rank is the blocked row number over (score desc, key asc), so the whole
-    background class is never ordered in one task.  The threshold is a
-    scalar subquery: the lowest score among the kept rows.
+    Returns (post-cut background rows, threshold: the lowest score among them,
+    None if none is kept).  Only distinct scores are ordered: a running count
+    over them finds the score at which the number is reached; rows above it
+    pass a filter, and of the rows that tie at it the ones with the smallest
+    ``key`` are kept (pandas keeps the first occurrence).  Scores are compared
+    as they are; rows without a score are never kept.
     """
     bkg = df.filter(F.col(label) < 0.5)
-    n_bkg = bkg.select(F.count(F.lit(1))).scalar()
-    k = F.floor(n_bkg * (F.lit(1.0) - F.lit(float(rejection))))
-    sk = round_key(score)
-    b = bkg.withColumn("_sk", sk)
-    if is_large(df):
-        b = write_through(b, "working-point-bkg")       # read by 4 stages: scan the source once
-    r = row_number(b, order=[F.col("_sk"), -F.col(key)], descending=True,
-                   block=fixed_blocks(F.col("_sk"), PROB_KEY_RANGE[0], PROB_KEY_RANGE[1], n_blocks))
-    post = r.filter(F.col("rn") <= k).drop("rn", "_sk")
-    thr = post.select(F.min(score)).scalar()
-    return post, thr
-
-
-def _bind(df: DataFrame, name: str, sub: Column) -> tuple[DataFrame, Column]:
-    """Bind a scalar subquery to a column once (one subquery in the plan)."""
-    return df.withColumn(name, sub), F.col(name)
+    value = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
+    counts = write_through(bkg.select(value.alias("_s")).groupBy("_s").agg(F.count(F.lit(1)).alias("_c")), "working-point")
+    n_bkg = counts.agg(F.sum("_c")).first()[0] or 0
+    k = math.floor(n_bkg * (1.0 - float(rejection)))
+    real = counts.filter("_s IS NOT NULL")
+    cum = running(value_blocks(real, "_s"), order=["_s"], values={"_cum": "_c"}, block="_vblk", descending=True)
+    # The score at which the number is reached, and how many of its ties are kept (one row each).
+    at = cum.filter(F.col("_cum") >= k).agg(F.max(F.struct("_s", (F.lit(k) - F.col("_cum") + F.col("_c")).alias("need"))).alias("t")).first()["t"]
+    if k == 0:
+        return bkg.filter(F.lit(False)), None
+    if at is None:                                       # fewer scored rows than asked for: all of them
+        return bkg.filter(value.isNotNull()), real.agg(F.min("_s")).first()[0]
+    above, ties = bkg.filter(value > F.lit(at["_s"])), bkg.filter(value == F.lit(at["_s"]))
+    first = row_number(value_blocks(ties, key), order=[key], block="_vblk").filter(F.col("rn") <= at["need"]).drop("rn", "_vblk")
+    return above.unionByName(first), at["_s"]
 
 
 def working_point_summary(df: DataFrame, key: str, label: str = "labels", score: str = "score",
                           rejection: float = 0.995) -> DataFrame:
     """K1 summary row: threshold, background kept, signal kept (score > threshold), efficiencies."""
-    post, thr_sub = rejection_working_point(df, key, label, score, rejection)
-    df, thr = _bind(df, "_thr", thr_sub)
+    post, thr = rejection_working_point(df, key, label, score, rejection)
     y = F.col(label)
-    s = df.agg(F.first("_thr").alias("_thr"), F.sum((y < 0.5).cast("bigint")).alias("n_bkg"), F.sum((y == 1).cast("bigint")).alias("n_sig"),
-               F.sum(((y == 1) & (F.col(score) > thr)).cast("bigint")).alias("n_sig_kept"))
+    t = F.lit(thr).cast("double")
+    s = df.agg(F.sum((y < 0.5).cast("bigint")).alias("n_bkg"), F.sum((y == 1).cast("bigint")).alias("n_sig"),
+               F.sum(((y == 1) & (F.col(score) > t)).cast("bigint")).alias("n_sig_kept"))
     n_post = post.select(F.count(F.lit(1))).scalar()
-    return s.select(F.round("_thr", 9).alias("threshold"), "n_bkg", n_post.alias("n_bkg_kept"), "n_sig", "n_sig_kept",
-                    F.round(F.try_divide(F.col("n_sig_kept"), F.col("n_sig")), 9).alias("sig_eff"))
+    return s.select(t.alias("threshold"), "n_bkg", n_post.alias("n_bkg_kept"), "n_sig", "n_sig_kept",
+                    F.try_divide(F.col("n_sig_kept"), F.col("n_sig")).alias("sig_eff"))
 
 
 def sculpting_table(df: DataFrame, key: str, variable: str, label: str = "labels", score: str = "score",
@@ -61,21 +60,20 @@ def sculpting_table(df: DataFrame, key: str, variable: str, label: str = "labels
     """Density histograms of a pivot for background, background after the
     working-point cut and (optionally) signal before / after; each sample has
     its own edges, as each distribution is binned separately."""
-    post, thr_sub = rejection_working_point(df, key, label, score, rejection)
+    post, thr = rejection_working_point(df, key, label, score, rejection)
     parts = [df.filter(F.col(label) < 0.5).select(F.lit("bkg").alias("sample"), variable),
              post.select(F.lit("bkg_post").alias("sample"), variable)]
     if signal:
         sig = df.filter(F.col(label) == 1)
-        sig_b, thr = _bind(sig, "_thr", thr_sub)
         parts += [sig.select(F.lit("sig").alias("sample"), variable),
-                  sig_b.filter(F.col(score) > thr).select(F.lit("sig_post").alias("sample"), variable)]
+                  sig.filter(F.col(score) > F.lit(thr).cast("double")).select(F.lit("sig_post").alias("sample"), variable)]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
     return histogram(u, variable, nbins, by=["sample"], shared=False)
 
 
-def exact_quantile_edges(df: DataFrame, x: str, probs: Sequence[float], n_blocks: int | None = None) -> DataFrame:
+def exact_quantile_edges(df: DataFrame, x: str, probs: Sequence[float]) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy / quantile_cont definition).
 
     The values are reduced to (distinct value, count), running counts are
@@ -86,12 +84,9 @@ def exact_quantile_edges(df: DataFrame, x: str, probs: Sequence[float], n_blocks
     """
     d = df.select(F.col(x).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     cnt = d.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
-    if is_large(df):
-        cnt = write_through(cnt, "quantile-counts")     # read 3x below: scan the source once
+    cnt = write_through(cnt, "quantile-counts")         # read several times below: scan the source once
     n = cnt.select(F.sum("_c")).scalar()
-    if n_blocks is None:
-        n_blocks = min(blocks_for(df, minimum=256), 16384)
-    blocked = value_blocks(cnt, "_v", n_blocks=n_blocks)
+    blocked = value_blocks(cnt, "_v")
     cum = running(blocked, order=["_v"], values={"_cum": "_c"}, block="_vblk")
     ps = F.array(*[F.lit(float(p)) for p in probs])
     t = cum.select("_v", (F.col("_cum") - F.col("_c")).alias("_lo_r"), F.col("_cum").alias("_hi_r"),
@@ -135,7 +130,7 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def running_best(runs: DataFrame, order: str, metric: str, n_blocks: int = 64, block_size: int = 1024) -> DataFrame:
+def running_best(runs: DataFrame, order: str, metric: str, block_size: int = 1024) -> DataFrame:
     """K8: best metric so far and the run that holds it (first run on ties)."""
     best = F.struct(F.col(metric).alias("m"), (-F.col(order)).alias("neg"))
     r = running(runs.withColumn("_b", best), order=[order], values={"_best": "_b"},

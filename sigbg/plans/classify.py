@@ -13,13 +13,23 @@ from .sqlgen import hist_ctes
 CAND = with_views(CAND_SQL)
 EVT = with_views(EVT_SQL)
 
+def _rounded(df, *cols, places=9):
+    return df.withColumns({c: F.round(c, places) for c in cols})
+
+
+def _curve(df):
+    """Curve columns rounded for comparison with SQL."""
+    places = {"threshold": 9, "tpr": 6, "fpr": 6, "sig_eff": 6, "bkg_rej": 6, "log_rej": 6}
+    return df.withColumns({c: F.round(c, n) for c, n in places.items() if c in df.columns})
+
+
 _ROC_SQL_BODY = """
-c AS (SELECT {by_sel}score_key, SUM(labels)::BIGINT AS tp_s, SUM(1 - labels)::BIGINT AS fp_s
-      FROM {src} GROUP BY {by_sel}score_key),
+c AS (SELECT {by_sel}score, SUM(labels)::BIGINT AS tp_s, SUM(1 - labels)::BIGINT AS fp_s
+      FROM {src} GROUP BY {by_sel}score),
 t AS (SELECT {by_sel}SUM(tp_s) AS P, SUM(fp_s) AS N FROM c {by_grp}),
-r AS (SELECT {by_sel}score_key, tp_s, fp_s,
-             SUM(tp_s) OVER (PARTITION BY {by_part} ORDER BY score_key DESC ROWS UNBOUNDED PRECEDING) AS tp,
-             SUM(fp_s) OVER (PARTITION BY {by_part} ORDER BY score_key DESC ROWS UNBOUNDED PRECEDING) AS fp
+r AS (SELECT {by_sel}score, tp_s, fp_s,
+             SUM(tp_s) OVER (PARTITION BY {by_part} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
+             SUM(fp_s) OVER (PARTITION BY {by_part} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp
       FROM c)
 """
 
@@ -31,7 +41,7 @@ def _roc_sql(views: str, src: str, by: str | None = None) -> str:
     join = f"JOIN t USING ({by})" if by else "CROSS JOIN t"
     return views.rstrip() + ",\n" + _ROC_SQL_BODY.format(src=src, by_sel=by_sel, by_grp=by_grp,
                                                           by_part=by_part).strip() + f"""
-SELECT {by_sel}CAST(score_key AS DOUBLE) / 1000000000.0 AS threshold, CAST(tp AS BIGINT) AS tp,
+SELECT {by_sel}round(score, 9) AS threshold, CAST(tp AS BIGINT) AS tp,
        CAST(fp AS BIGINT) AS fp, round(CAST(tp AS DOUBLE) / P, 6) AS tpr, round(CAST(fp AS DOUBLE) / N, 6) AS fpr
 FROM r {join}
 UNION ALL
@@ -52,57 +62,57 @@ FROM r {by_grp}
 """
 
 
-@register("k3_roc", _roc_sql(CAND, "cand_k"), headline=True)
+@register("k3_roc", _roc_sql(CAND, "cand"), headline=True)
 def k3_roc(spark, sf):
-    return curves.roc_curve(cand(spark, sf), key="score_key")
+    return _curve(curves.roc_curve(cand(spark, sf)))
 
 
-@register("k3_roc_by_channel", _roc_sql(CAND, "cand_k", "channel"))
+@register("k3_roc_by_channel", _roc_sql(CAND, "cand", "channel"))
 def k3_roc_by_channel(spark, sf):
-    return curves.roc_curve(cand(spark, sf), key="score_key", by=["channel"])
+    return _curve(curves.roc_curve(cand(spark, sf), by=["channel"]))
 
 
-@register("k4_auc", _auc_sql(CAND, "cand_k"), headline=True)
+@register("k4_auc", _auc_sql(CAND, "cand"), headline=True)
 def k4_auc(spark, sf):
-    return curves.auc(cand(spark, sf), key="score_key")
+    return _rounded(curves.auc(cand(spark, sf)), "auc")
 
 
-@register("k4_auc_events", _auc_sql(EVT, "evt_k"))
+@register("k4_auc_events", _auc_sql(EVT, "evt"))
 def k4_auc_events(spark, sf):
-    return curves.auc(evt(spark, sf), key="score_key")
+    return _rounded(curves.auc(evt(spark, sf)), "auc")
 
 
-@register("k5_eff_rej", _roc_sql(CAND, "cand_k").replace(
-    "SELECT CAST(score_key AS DOUBLE) / 1000000000.0 AS threshold, CAST(tp AS BIGINT) AS tp,\n"
+@register("k5_eff_rej", _roc_sql(CAND, "cand").replace(
+    "SELECT round(score, 9) AS threshold, CAST(tp AS BIGINT) AS tp,\n"
     "       CAST(fp AS BIGINT) AS fp, round(CAST(tp AS DOUBLE) / P, 6) AS tpr, round(CAST(fp AS DOUBLE) / N, 6) AS fpr",
-    "SELECT CAST(score_key AS DOUBLE) / 1000000000.0 AS threshold,\n"
-    "       round(CAST(tp AS DOUBLE) / P, 6) AS sig_eff, round(1.0 - round(CAST(fp AS DOUBLE) / N, 6), 6) AS bkg_rej").replace(
+    "SELECT round(score, 9) AS threshold,\n"
+    "       round(CAST(tp AS DOUBLE) / P, 6) AS sig_eff, round(1.0 - CAST(fp AS DOUBLE) / N, 6) AS bkg_rej").replace(
     "SELECT CAST(NULL AS DOUBLE), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE)",
     "SELECT CAST(NULL AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(1.0 AS DOUBLE)"))
 def k5_eff_rej(spark, sf):
-    return curves.efficiency_rejection(curves.roc_curve(cand(spark, sf), key="score_key"))
+    return _curve(curves.efficiency_rejection(curves.roc_curve(cand(spark, sf))))
 
 
 _K6_SQL = CAND.rstrip() + """,
 long AS (
-  SELECT 'fixed' AS model, labels, score_key FROM cand_k
+  SELECT 'fixed' AS model, labels, score FROM cand
   UNION ALL
   SELECT 'tax' AS model, labels,
-         CAST(round((1.0 / (1.0 + exp(-(10.0 * l_tax - 0.4)))) * 1000000000.0) AS BIGINT) AS score_key
-  FROM cand_k),
-c AS (SELECT model, score_key, SUM(labels)::BIGINT AS tp_s, SUM(1 - labels)::BIGINT AS fp_s
-      FROM long GROUP BY model, score_key),
+         1.0 / (1.0 + exp(-round(10.0 * l_tax - 0.4, 6))) AS score
+  FROM cand),
+c AS (SELECT model, score, SUM(labels)::BIGINT AS tp_s, SUM(1 - labels)::BIGINT AS fp_s
+      FROM long GROUP BY model, score),
 t AS (SELECT model, SUM(tp_s) AS P, SUM(fp_s) AS N FROM c GROUP BY model),
-r AS (SELECT model, score_key,
-             SUM(tp_s) OVER (PARTITION BY model ORDER BY score_key DESC ROWS UNBOUNDED PRECEDING) AS tp,
-             SUM(fp_s) OVER (PARTITION BY model ORDER BY score_key DESC ROWS UNBOUNDED PRECEDING) AS fp
+r AS (SELECT model, score,
+             SUM(tp_s) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
+             SUM(fp_s) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp
       FROM c),
 pts AS (
-  SELECT model, CAST(score_key AS DOUBLE) / 1000000000.0 AS threshold,
-         round(CAST(tp AS DOUBLE) / P, 6) AS tpr, round(CAST(fp AS DOUBLE) / N, 6) AS fpr
+  SELECT model, round(score, 9) AS threshold,
+         CAST(tp AS DOUBLE) / P AS tpr, CAST(fp AS DOUBLE) / N AS fpr
   FROM r JOIN t USING (model)
   UNION ALL SELECT model, CAST(NULL AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE) FROM t)
-SELECT model, threshold, tpr AS sig_eff, round(1.0 - fpr, 6) AS bkg_rej,
+SELECT model, threshold, round(tpr, 6) AS sig_eff, round(1.0 - fpr, 6) AS bkg_rej,
        CASE WHEN fpr > 0 THEN round(-log10(fpr), 6) END AS log_rej
 FROM pts
 """
@@ -111,15 +121,35 @@ FROM pts
 @register("k6_roc_models", _K6_SQL)
 def k6_roc_models(spark, sf):
     c = cand(spark, sf)
-    a = c.select(F.lit("fixed").alias("model"), "labels", "score_key")
+    a = c.select(F.lit("fixed").alias("model"), "labels", "score")
     b = c.select(F.lit("tax").alias("model"), "labels",
-                 F.round(sigmoid(F.lit(10.0) * F.col("l_tax") - F.lit(0.4)) * F.lit(1e9)).cast("bigint")
-                 .alias("score_key"))
-    long = a.unionByName(b)
-    roc = curves.roc_curve(long, key="score_key", by=["model"])
-    return roc.select("model", "threshold", F.col("tpr").alias("sig_eff"),
-                      F.round(F.lit(1.0) - F.col("fpr"), 6).alias("bkg_rej"),
-                      F.when(F.col("fpr") > 0, F.round(-F.log10(F.col("fpr")), 6)).alias("log_rej"))
+                 sigmoid(F.round(F.lit(10.0) * F.col("l_tax") - F.lit(0.4), 6)).alias("score"))
+    return _curve(curves.roc_by_model(a.unionByName(b)))
+
+
+# Scores 1e-11 apart: the labels repeat in a pattern along the event number.
+_CLOSE_SQL = EVT.rstrip() + """,
+close AS (SELECT event_id, labels, 0.9::DOUBLE + event_id * 1e-11::DOUBLE AS score FROM evt)"""
+
+
+def _close(spark, sf):
+    return evt(spark, sf).select("event_id", "labels", (F.lit(0.9) + F.col("event_id") * F.lit(1e-11)).alias("score"))
+
+
+@register("k4_auc_close_scores", _CLOSE_SQL + """,
+r AS (SELECT labels, CAST(rank() OVER (ORDER BY score) AS DOUBLE) + (COUNT(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM close),
+s AS (SELECT SUM(CASE WHEN labels = 1 THEN rk END) AS rs, CAST(SUM(labels) AS BIGINT) AS p, CAST(SUM(1 - labels) AS BIGINT) AS n FROM r)
+SELECT p AS n_pos, n AS n_neg, round((rs - p * (p + 1) / 2.0) / (CAST(p AS DOUBLE) * n), 9) AS auc FROM s""")
+def k4_auc_close_scores(spark, sf):
+    return _rounded(curves.auc(_close(spark, sf)), "auc")
+
+
+@register("k3_roc_close_scores", _CLOSE_SQL + """
+SELECT (score - 0.9) * 1e11 AS nth, CAST(SUM(labels) OVER w AS BIGINT) AS tp, CAST(SUM(1 - labels) OVER w AS BIGINT) AS fp
+FROM close WINDOW w AS (ORDER BY score DESC)""")
+def k3_roc_close_scores(spark, sf):
+    roc = curves.roc_curve(_close(spark, sf)).filter("threshold IS NOT NULL")
+    return roc.select(((F.col("threshold") - F.lit(0.9)) * F.lit(1e11)).alias("nth"), "tp", "fp")
 
 
 @register("g2_class_counts", CAND + """
@@ -166,7 +196,7 @@ SELECT round((AVG(CASE WHEN labels = 1 THEN CAST(score > 0.5 AS DOUBLE) END)
 FROM cand
 """)
 def g9_hard_auc(spark, sf):
-    return curves.hard_auc(cand(spark, sf), pred=decision("score", 0.5))
+    return _rounded(curves.hard_auc(cand(spark, sf), pred=decision("score", 0.5)), "hard_auc")
 
 
 @register("p8_p10_class_decision", EVT + """

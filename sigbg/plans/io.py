@@ -78,14 +78,14 @@ def s11_prediction_sink(spark, sf):
 
 
 @register("s12_run_registry", CAND + """,
-c AS (SELECT channel, score_key, SUM(labels)::BIGINT AS tp_s, SUM(1 - labels)::BIGINT AS fp_s FROM cand_k GROUP BY ALL),
+c AS (SELECT channel, score, SUM(labels)::BIGINT AS tp_s, SUM(1 - labels)::BIGINT AS fp_s FROM cand GROUP BY ALL),
 r AS (SELECT channel, tp_s, fp_s,
-             SUM(tp_s) OVER (PARTITION BY channel ORDER BY score_key DESC ROWS UNBOUNDED PRECEDING) AS tp FROM c)
+             SUM(tp_s) OVER (PARTITION BY channel ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp FROM c)
 SELECT channel AS run, CAST(SUM(tp_s) + SUM(fp_s) AS BIGINT) AS n,
        round(SUM(fp_s * (tp - tp_s / 2.0)) / (CAST(SUM(tp_s) AS DOUBLE) * SUM(fp_s)), 9) AS auc
 FROM r GROUP BY channel""")
 def s12_run_registry(spark, sf):
-    a = curves.auc(cand(spark, sf), key="score_key", by=["channel"])
+    a = curves.auc(cand(spark, sf), by=["channel"]).withColumn("auc", F.round("auc", 9))
     rec = a.select(F.col("channel").alias("run"), (F.col("n_pos") + F.col("n_neg")).alias("n"), "auc",
                    F.create_map(F.lit("score"), F.lit("fixed")).alias("params"))
     path = scratch_path(spark, "s12-runs")

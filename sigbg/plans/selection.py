@@ -17,13 +17,17 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "mbc", "delt
 SELECT_THRESHOLD = 0.6
 
 
+def _rounded(df, *cols, places=6):
+    return df.withColumns({c: F.round(c, places) for c in cols})
+
+
 def _feat(spark, sf):
     return cand(spark, sf).withColumn("unit_price", F.col("l_extendedprice") / F.col("l_quantity")) \
                           .withColumn("qty_tax", F.col("l_quantity") * F.col("l_tax"))
 
 
 _FEAT_SQL = CAND.rstrip() + """,
-feat AS (SELECT *, l_extendedprice / l_quantity AS unit_price, l_quantity * l_tax AS qty_tax FROM cand_k)"""
+feat AS (SELECT *, l_extendedprice / l_quantity AS unit_price, l_quantity * l_tax AS qty_tax FROM cand)"""
 
 
 def _long_sql() -> str:
@@ -32,7 +36,7 @@ def _long_sql() -> str:
         for j in range(i + 1, len(FEATURES)):
             b = FEATURES[j]
             parts.append(f"SELECT '{a}' AS a, '{b}' AS b, {i} AS a_pos, {j} AS b_pos, "
-                         f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS r FROM feat")
+                         f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM feat")
     return "long AS (\n" + "\nUNION ALL ".join(parts) + ")"
 
 
@@ -41,26 +45,45 @@ _LONG = _FEAT_SQL + ",\n" + _long_sql()
 
 @register("c1_pearson", CAND + "SELECT round(corr(mbc, deltae), 6) AS r FROM cand")
 def c1_pearson(spark, sf):
-    return sel.pearson(cand(spark, sf), "mbc", "deltae")
+    return _rounded(sel.pearson(cand(spark, sf), "mbc", "deltae"), "r")
 
 
-@register("c2_corr_long", _LONG + "\nSELECT a, b, CAST(a_pos AS INTEGER) AS a_pos, CAST(b_pos AS INTEGER) AS b_pos, r "
-                                  "FROM long")
+@register("c2_corr_long", _LONG + "\nSELECT a, b, CAST(a_pos AS INTEGER) AS a_pos, CAST(b_pos AS INTEGER) AS b_pos, "
+                                  "round(r, 6) AS r FROM long")
 def c2_corr_long(spark, sf):
-    return sel.corr_long(_feat(spark, sf), FEATURES)
+    return _rounded(sel.corr_long(_feat(spark, sf), FEATURES), "r")
+
+
+# 60 columns with a tenth of the values missing, another tenth in each: all nine features at six offsets of the key,
+# and six mixtures.  Column c<k> misses the rows whose (order key + line + k) leaves 0 modulo 10.
+def _wide_exprs() -> list[str]:
+    return [f"CASE WHEN (l_orderkey + l_linenumber + {k}) % 10 = 0 THEN NULL ELSE "
+            f"CAST({FEATURES[k % 9]} AS DOUBLE) + {k // 9 + 1} * CAST({FEATURES[(k + k // 9 + 1) % 9]} AS DOUBLE) END AS c{k}"
+            for k in range(60)]
+
+
+_WIDE_SQL = _FEAT_SQL + ",\nwide AS (SELECT " + ", ".join(_wide_exprs()) + " FROM feat)"
+
+
+@register("c2_corr_wide_nulls", _WIDE_SQL + "\nSELECT a, b, CAST(p AS INTEGER) AS a_pos, CAST(q AS INTEGER) AS b_pos, round(r, 6) AS r\nFROM ("
+          "SELECT unnest([" + ", ".join(f"{{'a': 'c{i}', 'b': 'c{j}', 'p': {i}, 'q': {j}, 'r': corr(c{i}, c{j})}}"
+                                        for i in range(60) for j in range(i + 1, 60)) + "], recursive := true) FROM wide)")
+def c2_corr_wide_nulls(spark, sf):
+    """C2 over 60 columns with missing values spread over the rows."""
+    return _rounded(sel.corr_long(_feat(spark, sf).selectExpr(*_wide_exprs()), [f"c{k}" for k in range(60)]), "r")
 
 
 @register("c3_top_abs_corr", _LONG + """
-SELECT a, b, CAST(a_pos AS INTEGER) AS a_pos, CAST(b_pos AS INTEGER) AS b_pos, r, abs(r) AS abs_r
-FROM long ORDER BY abs(r) DESC, a_pos, b_pos LIMIT 10""")
+SELECT a, b, CAST(a_pos AS INTEGER) AS a_pos, CAST(b_pos AS INTEGER) AS b_pos, round(r, 6) AS r, abs(round(r, 6)) AS abs_r
+FROM long ORDER BY abs(round(r, 6)) DESC, a_pos, b_pos LIMIT 10""")
 def c3_top_abs_corr(spark, sf):
-    return sel.top_abs_correlations(sel.corr_long(_feat(spark, sf), FEATURES), 10)
+    # Rounded first: equal columns differ in the last digits by the order of summation, and ties go by position.
+    return sel.top_abs_correlations(_rounded(sel.corr_long(_feat(spark, sf), FEATURES), "r"), 10)
 
 
 @register("c4_near_duplicates", _LONG + """,
-top AS (SELECT * FROM long ORDER BY abs(r) DESC, a_pos, b_pos LIMIT 128)
-SELECT DISTINCT b AS feature FROM top WHERE abs(r) > 0.99999
-  AND b NOT IN (SELECT a FROM top WHERE abs(r) > 0.99999)""")
+top AS (SELECT * FROM long WHERE abs(r) > 0.99999)
+SELECT DISTINCT b AS feature FROM top WHERE b NOT IN (SELECT a FROM top)""")
 def c4_near_duplicates(spark, sf):
     return sel.near_duplicates(sel.corr_long(_feat(spark, sf), FEATURES))
 
@@ -87,7 +110,7 @@ def c6_correlated_features(spark, sf):
 
 
 @register("c7_apply_drops", _LONG + """
-SELECT l_orderkey, l_linenumber, labels, mbc, deltae, channel, l_extendedprice, l_tax, score, score_key,
+SELECT l_orderkey, l_linenumber, labels, mbc, deltae, channel, l_extendedprice, l_tax, score,
        unit_price, qty_tax
 FROM feat""")
 def c7_apply_drops(spark, sf):
@@ -101,7 +124,7 @@ SELECT round(corr(ln(score / (1.0 - score + 1e-8) + 1e-8), mbc), 6) AS corr_mbc,
        round(corr(ln(score / (1.0 - score + 1e-8) + 1e-8), deltae), 6) AS corr_deltae
 FROM evt""")
 def c8_score_pivot_corr(spark, sf):
-    return sel.score_pivot_correlation(evt(spark, sf))
+    return _rounded(sel.score_pivot_correlation(evt(spark, sf)), "corr_mbc", "corr_deltae")
 
 
 # ---------------------------------------------------------------- names / rows
@@ -146,7 +169,7 @@ def p1_p3_p4_p5(spark, sf):
     c = cand(spark, sf).withColumn("sample_weight", F.lit(1.0)).withColumn("row_index", F.col("l_linenumber")) \
                        .withColumn("mbcErr", F.abs("deltae"))
     c = sel.drop_suffix(sel.drop_containing(c))
-    roles = sel.Roles(exclude=("channel", "l_orderkey", "l_linenumber", "score", "score_key"))
+    roles = sel.Roles(exclude=("channel", "l_orderkey", "l_linenumber", "score"))
     return sel.role_split(c, roles)
 
 

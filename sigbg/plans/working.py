@@ -13,10 +13,14 @@ from .sqlgen import hist_sql
 EVT = with_views(EVT_SQL)
 REJECTION = 0.95
 
+def _rounded(df, *cols, places=9):
+    return df.withColumns({c: F.round(c, places) for c in cols})
+
+
 _POST = EVT.rstrip() + f""",
-bk AS (SELECT * FROM evt_k WHERE labels < 0.5),
+bk AS (SELECT * FROM evt WHERE labels < 0.5),
 kk AS (SELECT floor(COUNT(*) * (CAST(1.0 AS DOUBLE) - CAST({REJECTION} AS DOUBLE))) AS k FROM bk),
-post AS (SELECT bk.* FROM bk QUALIFY row_number() OVER (ORDER BY score_key DESC, event_id ASC) <= (SELECT k FROM kk)),
+post AS (SELECT bk.* FROM bk QUALIFY row_number() OVER (ORDER BY score DESC, event_id ASC) <= (SELECT k FROM kk)),
 thr AS (SELECT min(score) AS thr FROM post)"""
 
 
@@ -29,7 +33,16 @@ SELECT round(thr, 9) AS threshold,
              / (SELECT COUNT(*) FROM evt WHERE labels = 1), 9) AS sig_eff
 FROM thr""")
 def k1_working_point(spark, sf):
-    return wp.working_point_summary(evt(spark, sf), "event_id", rejection=REJECTION)
+    return _rounded(wp.working_point_summary(evt(spark, sf), "event_id", rejection=REJECTION), "threshold", "sig_eff")
+
+
+@register("k1_close_scores", EVT.rstrip() + """,
+bk AS (SELECT event_id, 0.9::DOUBLE + (event_id // 2) * 1e-11::DOUBLE AS score FROM evt WHERE labels < 0.5)
+SELECT event_id FROM bk QUALIFY row_number() OVER (ORDER BY score DESC, event_id ASC) <= (SELECT floor(COUNT(*) * (CAST(1.0 AS DOUBLE) - CAST(0.95 AS DOUBLE))) FROM bk)""")
+def k1_close_scores(spark, sf):
+    """K1 on scores 1e-11 apart, two events to a score."""
+    e = evt(spark, sf).withColumn("score", F.lit(0.9) + F.floor(F.col("event_id") / 2) * F.lit(1e-11))
+    return wp.rejection_working_point(e, "event_id", rejection=REJECTION)[0].select("event_id")
 
 
 _SCULPT_IN = """sc AS (
@@ -90,9 +103,9 @@ def k7_top_n(spark, sf):
 
 
 _K8_SQL = EVT.rstrip() + """,
-d AS (SELECT date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day, labels, score_key FROM evt_k),
-c AS (SELECT day, score_key, SUM(labels)::BIGINT AS tp_s, SUM(1 - labels)::BIGINT AS fp_s FROM d GROUP BY ALL),
-r AS (SELECT day, tp_s, fp_s, SUM(tp_s) OVER (PARTITION BY day ORDER BY score_key DESC ROWS UNBOUNDED PRECEDING) AS tp
+d AS (SELECT date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day, labels, score FROM evt),
+c AS (SELECT day, score, SUM(labels)::BIGINT AS tp_s, SUM(1 - labels)::BIGINT AS fp_s FROM d GROUP BY ALL),
+r AS (SELECT day, tp_s, fp_s, SUM(tp_s) OVER (PARTITION BY day ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp
       FROM c),
 a AS (SELECT CAST(day AS INTEGER) AS day, round(SUM(fp_s * (tp - tp_s / 2.0)) / (CAST(SUM(tp_s) AS DOUBLE) * SUM(fp_s)), 9)
       AS auc FROM r GROUP BY day),
@@ -105,7 +118,7 @@ FROM b"""
 @register("k8_running_best", _K8_SQL)
 def k8_running_best(spark, sf):
     e = evt(spark, sf).withColumn("day", F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("int"))
-    runs = curves.auc(e, key="score_key", by=["day"]).select("day", "auc")
+    runs = curves.auc(e, by=["day"]).select("day", F.round("auc", 9).alias("auc"))
     return wp.running_best(runs, "day", "auc").select("day", "auc", "best_so_far",
                                                      F.col("leader").cast("int").alias("leader"))
 

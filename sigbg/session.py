@@ -28,10 +28,6 @@ DEFAULT_CONF = {
     # check against this threshold, with sort-merge join beyond it.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
-    # The correlation matrix is one aggregate with 6 buffer fields per column
-    # pair; above the default of 100 fields the whole stage would run
-    # interpreted (3-4x slower).  400 covers ~12 columns (66 pairs).
-    "spark.sql.codegen.maxFields": "400",
 }
 
 
@@ -121,41 +117,6 @@ def write_through(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-# Inputs whose estimated size reaches this many bytes get their reused
-# intermediates written through instead of re-scanned.
-MATERIALIZE_MIN_BYTES = 8 * 1024 ** 3
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` in bytes (file sizes of the scans); 0 if unknown."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - streaming or unplannable frames
-        return 0
-
-
-def blocks_for(df: DataFrame, rows_per_block: int = 2_000_000, bytes_per_row: int = 64,
-               minimum: int = 4096, maximum: int = 16 ** 5) -> int:
-    """Number of order blocks so that one block holds about ``rows_per_block`` rows."""
-    est_rows = estimated_bytes(df) // bytes_per_row
-    return int(max(minimum, min(maximum, est_rows // rows_per_block)))
-
-
-def is_large(df: DataFrame) -> bool:
-    """True when the optimizer's size estimate of ``df`` is large (no job is run).
-
-    The estimate comes from the file sizes of the scanned tables (the same
-    statistic the optimizer uses for its broadcast decision).
-    """
-    conf = df.sparkSession.conf.get("sigbg.materialize.minBytes", None)
-    limit = int(conf) if conf else MATERIALIZE_MIN_BYTES
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        return size >= limit
-    except Exception:  # noqa: BLE001 - streaming or unplannable frames: never materialize
-        return False
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import round_key, sigmoid
+from ..functions.scalar import sigmoid
 from .tables import read_table
 
 # Coefficients of the fixture scorers.
@@ -22,7 +22,8 @@ SIGNAL_EVENT_TYPES = ("purchase", "signup")
 def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates from lineitem: label R, fit variables price and discount-tax."""
     li = read_table(spark, sf_dir, "lineitem")
-    z = F.lit(CAND_Q_COEF) * F.col("l_quantity") + F.lit(CAND_D_COEF) * F.col("l_discount")
+    # The argument has two decimals; rounding it makes equal candidates score equally in every engine.
+    z = F.round(F.lit(CAND_Q_COEF) * F.col("l_quantity") + F.lit(CAND_D_COEF) * F.col("l_discount"), 6)
     return li.select(
         F.col("l_orderkey"), F.col("l_linenumber"),
         (F.col("l_returnflag") == "R").cast("int").alias("labels"),
@@ -31,7 +32,7 @@ def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus").alias("channel"),
         F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax"),
         sigmoid(z).alias("score"),
-    ).withColumn("score_key", round_key("score"))
+    )
 
 
 def evt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def evt_view(ev: DataFrame) -> DataFrame:
         F.col("event_type").alias("channel"),
         F.col("value"), F.col("user_id"),
         (F.col("value") / (F.lit(1.0) + F.col("value"))).alias("score"),
-    ).withColumn("score_key", round_key("score"))
+    )
 
 
 def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,16 +75,14 @@ CAND_SQL = f"""cand AS (
          CAST(l_returnflag = 'R' AS INTEGER) AS labels,
          l_extendedprice AS mbc, l_discount - l_tax AS deltae, l_linestatus AS channel,
          l_quantity, l_extendedprice, l_discount, l_tax,
-         1.0 / (1.0 + exp(-(CAST({CAND_Q_COEF} AS DOUBLE) * l_quantity + CAST({CAND_D_COEF} AS DOUBLE) * l_discount))) AS score
-  FROM lineitem),
-cand_k AS (SELECT *, CAST(round(score * 1000000000.0) AS BIGINT) AS score_key FROM cand)"""
+         1.0 / (1.0 + exp(-round(CAST({CAND_Q_COEF} AS DOUBLE) * l_quantity + CAST({CAND_D_COEF} AS DOUBLE) * l_discount, 6))) AS score
+  FROM lineitem)"""
 
 EVT_SQL = """evt AS (
   SELECT event_id, ts, CAST(event_type IN ('purchase', 'signup') AS INTEGER) AS labels,
          value AS mbc, CAST(user_id AS DOUBLE) AS deltae, event_type AS channel,
          value, user_id, value / (1.0 + value) AS score
-  FROM events),
-evt_k AS (SELECT *, CAST(round(score * 1000000000.0) AS BIGINT) AS score_key FROM evt)"""
+  FROM events)"""
 
 VEC_SQL = """vec AS (
   SELECT vec_id, embedding, label, CAST(label >= 5 AS INTEGER) AS labels FROM embeddings)"""

@@ -75,12 +75,67 @@ def test_roc_monotone_and_auc_symmetry(spark):
     assert abs(a - bf) < 1e-9
 
 
-def test_roc_unbounded_scores_use_quantile_blocks(spark):
-    rows = [(i % 2, float(i) * 3.5 - 100.0) for i in range(200)]
-    df = _df(spark, rows, "labels int, score double").withColumn("k", F.round(F.col("score") * 1e3).cast("bigint"))
-    a = curves.auc(df, key="k", key_range=None).first()["auc"]
-    b = curves.auc(df, key="k").first()["auc"]
-    assert abs(a - b) < 1e-12
+def test_auc_does_not_depend_on_blocks_or_scale(spark):
+    rows = [(int(i % 3 == 0), float(i * 37 % 200) * 3.5 - 100.0) for i in range(200)]
+    df = _df(spark, rows, "labels int, score double")
+    a = curves.auc(df, n_blocks=1).first()["auc"]
+    b = curves.auc(df, n_blocks=37).first()["auc"]
+    c = curves.auc(df.withColumn("score", F.col("score") * 1e-14 + 0.5), n_blocks=16).first()["auc"]
+    assert abs(a - b) < 1e-12 and abs(a - c) < 1e-12
+
+
+def test_scores_apart_by_a_hair(spark):
+    df = _df(spark, [(i, 0, 0.5 + i * 1e-11) for i in range(100)] + [(1000 + i, 1, 0.5 + (200 + i) * 1e-11) for i in range(50)],
+             "id int, labels int, score double")
+    assert curves.auc(df).first()["auc"] == 1.0
+    post, thr = working_point.rejection_working_point(df, "id", rejection=0.9)      # int(100 * (1 - 0.9)) is 9
+    assert {r["id"] for r in post.collect()} == set(range(91, 100)) and thr == 0.5 + 91 * 1e-11
+
+
+def test_working_point_ties_nulls_and_empty(spark):
+    df = _df(spark, [(i, 0, 0.9) for i in range(50)] + [(100, 0, None), (101, 0, float("nan"))], "id int, labels int, score double")
+    post, thr = working_point.rejection_working_point(df, "id", rejection=0.75)
+    assert {r["id"] for r in post.collect()} == set(range(13)) and thr == 0.9
+    post, thr = working_point.rejection_working_point(df.limit(0), "id")
+    assert post.count() == 0 and thr is None
+    assert working_point.quantile_bins(df.limit(0), "score", 4, "b").count() == 0
+    assert curves.roc_curve(df.limit(0)).count() == 0
+
+
+def _grouped(spark):
+    rows = [(i, None if i % 5 == 0 else i % 2, None if i % 5 == 1 else "ab"[i % 2], float(i % 17)) for i in range(1000)]
+    return _df(spark, rows, "k int, labels int, channel string, x double")
+
+
+def test_null_groups_are_groups(spark):
+    df = _grouped(spark)
+    assert hist.histogram(df, "x", 10, by=["channel"], shared=False).agg(F.sum("n")).first()[0] == 1000
+    assert hist.histogram(df, "x", 10, by=["channel"], shared=True).agg(F.sum("n")).first()[0] == 1000
+    assert hist.truncate_tails(df, "x", 5.0, by=["channel"]).count() == 1000
+    assert hist.efficiency(df, "x", F.col("x") > 3, 5, by=["labels"]).agg(F.sum("n_before")).first()[0] == 1000
+    ranks = sample.ranked(df, 1, "k", partition_by=["labels"]).groupBy("labels").agg(F.max("rn").alias("m")).collect()
+    assert {r["labels"]: r["m"] for r in ranks} == {None: 200, 0: 400, 1: 400}
+    sizes = {r["labels"]: r["count"] for r in sample.undersample(df, "labels", 3, "k").groupBy("labels").count().collect()}
+    assert sizes == {None: 200, 0: 200, 1: 200}
+    over = {r["labels"]: r["count"] for r in sample.oversample(df, "labels", 3, "k").groupBy("labels").count().collect()}
+    assert over == {None: 400, 0: 400, 1: 400}
+    left = sample.drop_fraction(df, "labels", 1, 0.25, 3, "k").groupBy("labels").count().collect()
+    assert {r["labels"]: r["count"] for r in left} == {None: 200, 0: 400, 1: 300}
+    split = sample.stratified_splits(df, "labels", "k", 2, 0.25).filter("is_test = 1").groupBy("repeat", "labels").count().collect()
+    assert {(r["repeat"], r["labels"]): r["count"] for r in split} == {(i, c): n for i in (0, 1) for c, n in ((None, 50), (0, 100), (1, 100))}
+    roc = curves.roc_curve(df.withColumn("labels", (F.col("k") % 2)).withColumn("score", F.col("x")), by=["channel"])
+    assert {r["channel"] for r in roc.collect()} == {None, "a", "b"}
+    from sigbg.operators import metrics
+    e = metrics.epoch_losses(df.select(F.col("labels").alias("epoch"), F.col("k").alias("step"), F.col("x").alias("loss")))
+    assert e.count() == 1000
+
+
+def test_hash_order_selection_equals_full_ranking(spark):
+    df = spark.range(0, 5000).select(F.col("id").alias("k"))
+    want = {r["k"] for r in sample.ranked(df, 9, "k").filter("rn > 100 AND rn <= 750").collect()}
+    assert {r["k"] for r in sample.positional_slice(df, 9, "k", 100, 750).collect()} == want
+    assert sample.positional_slice(df, 9, "k", 0, 9000).count() == 5000
+    assert sample.exact_split(df.limit(0), 0.5, 1, "k").count() == 0
 
 
 def test_exact_n_sampling_and_repartition_invariance(spark):
@@ -159,25 +214,6 @@ def test_tfrecord_codec_roundtrip():
     assert shards.crc32c(b"123456789") == 0xE3069283
 
 
-def test_materialized_paths_agree(spark):
-    rnd = random.Random(11)
-    rows = [(i, int(rnd.random() < 0.3), round(rnd.random(), 3)) for i in range(500)]
-    df = _df(spark, rows, "id int, labels int, score double")
-    a = curves.auc(df, materialize=False).first()["auc"]
-    b = curves.auc(df, materialize=True).first()["auc"]
-    assert a == b
-    spark.conf.set("sigbg.materialize.minBytes", "1")
-    try:
-        p1, _ = working_point.rejection_working_point(df, "id", rejection=0.9)
-        q1 = working_point.quantile_bins(df, "score", 4, "b").groupBy("b").count().collect()
-    finally:
-        spark.conf.unset("sigbg.materialize.minBytes")
-    p2, _ = working_point.rejection_working_point(df, "id", rejection=0.9)
-    q2 = working_point.quantile_bins(df, "score", 4, "b").groupBy("b").count().collect()
-    assert sorted(r["id"] for r in p1.collect()) == sorted(r["id"] for r in p2.collect())
-    assert sorted(q1) == sorted(q2)
-
-
 def test_scaling_moments(spark):
     from sigbg.operators import scale
     rnd = random.Random(5)
@@ -226,15 +262,30 @@ def test_oversample_extreme_imbalance(spark):
     assert o.filter("labels = 0").select("draw").distinct().count() == 200
 
 
-def test_corr_matrix_path_matches_pairs(spark):
+def test_correlations_with_missing_values_at_any_width(spark):
+    import numpy as np
+    import pandas as pd
+    from sigbg.operators import select as sel
+    rng = np.random.default_rng(2)
+    for d in (4, 41, 60):
+        x = rng.normal(1e6, 1.0, (300, d)) + rng.normal(0, 1, (300, 1))
+        x[np.arange(300), np.arange(300) % d] = np.nan            # every row misses a value
+        pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(d)])
+        pdf["flat"] = 3.0
+        want = pdf.corr()
+        rows = [tuple(None if i % 2 and v != v else float(v) for i, v in enumerate(r)) for r in pdf.to_numpy()]
+        df = _df(spark, rows, ", ".join(f"{c} double" for c in pdf.columns)).repartition(3)
+        got = {(r["a"], r["b"]): r["r"] for r in sel.corr_long(df, list(pdf.columns)).collect()}
+        assert len(got) == d * (d + 1) // 2
+        assert all(got[(f"c{i}", "flat")] is None for i in range(d))
+        assert all(abs(got[(f"c{i}", f"c{j}")] - want.iloc[i, j]) < 1e-9 for i in range(d) for j in range(i + 1, d))
+    empty = sel.corr_long(df.limit(0), list(pdf.columns))
+    assert all(r["r"] is None for r in empty.collect())
+
+
+def test_near_duplicates_looks_at_every_pair(spark):
     from sigbg.operators import select as sel
-    rnd = random.Random(2)
-    rows = []
-    for _ in range(200):
-        a = rnd.gauss(0, 1)
-        rows.append((a, 2 * a + rnd.gauss(0, 0.5), rnd.random(), -a + rnd.random()))
-    df = _df(spark, rows, "a double, b double, c double, d double")
-    p = {(r["a"], r["b"]): r["r"] for r in sel.corr_long(df, ["a", "b", "c", "d"], method="pairs").collect()}
-    m = {(r["a"], r["b"]): r["r"] for r in sel.corr_long(df, ["a", "b", "c", "d"], method="matrix").collect()}
-    assert p.keys() == m.keys() and len(p) == 6
-    assert all(abs(p[k] - m[k]) <= 1e-6 for k in p)
+    rows = [(f"a{i:03d}", f"b{i:03d}", i, 500 + i, 0.999999) for i in range(300)]
+    long = _df(spark, rows, "a string, b string, a_pos int, b_pos int, r double")
+    assert sel.near_duplicates(long).count() == 300
+
