@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import models as mdl
+from ..session import scratch_path
 from ..sources.fixtures import EVT_SQL, evt_view, vec, with_views
 from ..streaming import stream as st
 from .registry import register
@@ -13,13 +14,27 @@ EVT = with_views(EVT_SQL)
 
 
 def _events_stream(spark, sf):
-    # Event-time windows are epoch-aligned; with the session in UTC a window
-    # is a calendar day of the (zone-less) event timestamps.
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     return st.file_stream(spark, f"{sf}/events*.parquet", schema)
 
 
+LATE_FILES = 6
+
+
+def _late_stream(spark, sf):
+    """The events as several files, newest events first, a sixth of the files a micro-batch."""
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    path = scratch_path(spark, "late-events")
+    span = ev.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("a"),
+                  F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("b")).first()
+    width = max(1, (span["b"] - span["a"]) // LATE_FILES + 1)
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(span["a"])) / F.lit(width))
+    for i in reversed(range(LATE_FILES)):
+        ev.filter(part == i).write.mode("append").parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    return st.file_stream(spark, path, ev.schema, max_files_per_trigger=max(1, files // LATE_FILES))
+
+
 @register("t1_stream_ingest", "SELECT event_id, event_type, value FROM events")
 def t1_stream_ingest(spark, sf):
     out, ck = st.fresh_paths(spark, "t1-ingest")
@@ -27,7 +42,7 @@ def t1_stream_ingest(spark, sf):
     return spark.read.parquet(out).select("event_id", "event_type", "value")
 
 
-@register("t2_stream_metrics", EVT + """,
+T2_SQL = EVT + """,
 s AS (SELECT strftime(ts, '%Y-%m-%d') AS day, LEAST(CAST(floor(score * 1000.0) AS INTEGER), 999) AS bin,
              SUM(labels) AS tp_b, SUM(1 - labels) AS fp_b,
              SUM(CAST(CAST(score > 0.5 AS INTEGER) = labels AS BIGINT)) AS correct
@@ -35,23 +50,45 @@ s AS (SELECT strftime(ts, '%Y-%m-%d') AS day, LEAST(CAST(floor(score * 1000.0) A
 c AS (SELECT *, SUM(tp_b) OVER (PARTITION BY day ORDER BY bin DESC ROWS UNBOUNDED PRECEDING) AS tp FROM s)
 SELECT day, CAST(SUM(tp_b) + SUM(fp_b) AS BIGINT) AS n, round(SUM(correct) / (SUM(tp_b) + SUM(fp_b)), 9) AS accuracy,
        round(SUM(fp_b * (tp - tp_b / 2.0)) / (SUM(tp_b) * SUM(fp_b)), 9) AS auc_binned
-FROM c GROUP BY day""")
+FROM c GROUP BY day"""
+
+
+@register("t2_stream_metrics", T2_SQL)
 def t2_stream_metrics(spark, sf):
     out, ck = st.fresh_paths(spark, "t2-metrics")
     state = st.run_update(st.windowed_confusion(evt_view(_events_stream(spark, sf))), ["day", "bin"], out, ck)
     return st.metrics_from_state(state)
 
 
-@register("t3_stream_pearson", EVT + """
+@register("t2_stream_metrics_late", T2_SQL)
+def t2_stream_metrics_late(spark, sf):
+    """T2 over several micro-batches in reverse time order: nothing is lost."""
+    out, ck = st.fresh_paths(spark, "t2-late")
+    state = st.run_update(st.windowed_confusion(evt_view(_late_stream(spark, sf))), ["day", "bin"], out, ck)
+    return st.metrics_from_state(state)
+
+
+T3_SQL = EVT + """
 SELECT strftime(ts, '%Y-%m-%d') AS day, COUNT(*) AS n,
        round(corr(ln(score / (1.0 - score + 1e-8) + 1e-8), mbc), 6) AS r
-FROM evt GROUP BY 1""")
+FROM evt GROUP BY 1"""
+
+
+@register("t3_stream_pearson", T3_SQL)
 def t3_stream_pearson(spark, sf):
     out, ck = st.fresh_paths(spark, "t3-pearson")
     state = st.run_update(st.windowed_pearson(evt_view(_events_stream(spark, sf)), "mbc"), ["day"], out, ck)
     return state.select("day", "n", F.round("r", 6).alias("r"))
 
 
+@register("t3_stream_pearson_late", T3_SQL)
+def t3_stream_pearson_late(spark, sf):
+    """T3 over several micro-batches in reverse time order."""
+    out, ck = st.fresh_paths(spark, "t3-late")
+    state = st.run_update(st.windowed_pearson(evt_view(_late_stream(spark, sf)), "mbc"), ["day"], out, ck)
+    return state.select("day", "n", F.round("r", 6).alias("r"))
+
+
 @register("t4_stream_scoring")
 def t4_stream_scoring(spark, sf):
     v = mdl.with_vector(vec(spark, sf).withColumnRenamed("embedding", "features"))

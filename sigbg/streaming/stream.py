@@ -2,12 +2,14 @@
 
 * T1 ingest: file stream with a pinned schema, ``maxFilesPerTrigger``
   micro-batches, exactly-once Parquet file sink.
-* T2/T3 running metrics: event-time windows with a watermark, aggregated in
-  ``update`` mode; each micro-batch's changed rows are appended with their
-  batch id, and the current state is "latest row per key" (``max_by``).
-  State is bounded by (open windows x score bins): exact streaming AUC would
-  need every distinct score, so T2 keeps fixed score bins, which is stated
-  in the output (``auc_binned``).
+* T2/T3 running metrics: event-time windows aggregated in ``update`` mode;
+  each micro-batch's changed rows are appended with their batch id, and the
+  current state is "latest row per key" (``max_by``).  Windows are never
+  closed, so an event counts however late it comes; state is one row per
+  (window, score bin) - 1000 a day whatever the traffic.  Pass ``watermark``
+  to close windows instead; events later than it are then not counted.  Exact
+  streaming AUC would need every distinct score, so T2 keeps fixed score
+  bins, which is stated in the output (``auc_binned``).
 * T4 scoring: a fitted Spark ML model applied to the stream.
 
 Checkpoints and sinks live under the session's shared checkpoint folder, a
@@ -64,13 +66,18 @@ def run_update(sdf: DataFrame, keys: Sequence[str], out_path: str, checkpoint: s
     return latest.select(*keys, *[F.col("_v")[c].alias(c) for c in vals])
 
 
-def _event_time(sdf: DataFrame, ts: str, watermark: str) -> DataFrame:
-    # TIMESTAMP_NTZ cannot carry a watermark; cast to TIMESTAMP (session TZ is UTC).
+def _event_time(sdf: DataFrame, ts: str, watermark: str | None) -> DataFrame:
+    """``_et``: the event time as it is; windows over a zone-less time don't depend on the session's zone.
+
+    A zone-less time cannot carry a watermark and is read in the session's zone then.
+    """
+    if not watermark:
+        return sdf.withColumn("_et", F.col(ts))
     return sdf.withColumn("_et", F.col(ts).cast("timestamp")).withWatermark("_et", watermark)
 
 
 def windowed_confusion(sdf: DataFrame, ts: str = "ts", label: str = "labels", score: str = "score",
-                       window: str = "1 day", watermark: str = "1 day", cut: float = 0.5,
+                       window: str = "1 day", watermark: str | None = None, cut: float = 0.5,
                        bins: int = SCORE_BINS) -> DataFrame:
     """T2 state: per (window, score bin) class counts and correct decisions."""
     s = _event_time(sdf, ts, watermark)
@@ -94,7 +101,7 @@ def metrics_from_state(state: DataFrame) -> DataFrame:
 
 
 def windowed_pearson(sdf: DataFrame, pivot: str, ts: str = "ts", score: str = "score",
-                     window: str = "1 day", watermark: str = "1 day") -> DataFrame:
+                     window: str = "1 day", watermark: str | None = None) -> DataFrame:
     """Pearson of the guarded logit of the score with a pivot, per window."""
     s = _event_time(sdf, ts, watermark)
     return (s.groupBy(F.window("_et", window).alias("w"))
