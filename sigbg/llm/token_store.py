@@ -1,9 +1,8 @@
-"""Ordered token store: documents in a global order, tokenized once, with their place in the token stream.
+"""Global token streams from range-sorted runs.
 
-``write_ordered`` range-sorts the texts, so that each task holds a run of the
-order, and tokenizes them there; ``with_offsets`` adds to every row the number
-of tokens of all runs before its own.  Only one row per run takes part in the
-running sum over runs.
+Each task holds a run of the global order (``map_runs``); ``with_offsets`` adds
+to every row the number of tokens of all runs before its own.  Only one row per
+run takes part in the running sum over runs.
 """
 
 from __future__ import annotations

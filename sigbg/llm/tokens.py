@@ -9,11 +9,11 @@ worker and kept; the store is emptied when it grows past a bound.
 from __future__ import annotations
 
 import os
-
-import numpy as np
+import sys
+from array import array
 
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -30,6 +30,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Words(dict):
+    """Ids by word; an unknown word is encoded when it is first asked for."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
 class Encoder:
     """``ids(texts)``: little-endian uint16 bytes of each text's ids, without the end id."""
 
@@ -41,9 +52,12 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.marks = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are stored little-endian")
+        self.words = _Words(self._learn)
+        self.cores = _Words(self._run)
+        self.tokenize = self.tok.model.tokenize
+        self.marks = bytes(i for i in range(33, 127) if not chr(i).isalnum())
         self.letters = _byte_letters()
 
     @classmethod
@@ -53,44 +67,35 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _slow(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes()
-                for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _core(self, core: str) -> bytes:
-        ids = self.cores.get(core)
-        if ids is None:
-            t = "".join(map(self.letters.__getitem__, core.encode()))
-            ids = self.cores[core] = np.array([x.id for x in self.tok.model.tokenize(t)], dtype="<u2").tobytes()
-        return ids
-
-    def _learn(self, new: set[bytes]) -> None:
-        slow = []
-        for raw in new:
-            w = raw.decode()
-            core = w.rstrip(self.marks)
-            # A run of letters below U+0250 needs no normalisation but lower-casing; marks after it are a word of their own.
-            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
-                ids, tail = self._core(core.lower()), w[len(core):]
-                if tail:
-                    if tail not in self.cores:
-                        self.cores[tail] = self._slow([tail])[0]
-                    ids = ids + self.cores[tail]
-                self.words[raw] = ids
-            else:
-                slow.append((raw, w))
-        if slow:
-            self.words.update(zip([r for r, _ in slow], self._slow([w for _, w in slow])))
+    def _whole(self, word: bytes) -> bytes:
+        return array("H", self.tok.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _run(self, letters: bytes) -> bytes:
+        """Ids of a lower-case run of letters, or of marks as they stand at a word's end."""
+        if letters.isalpha():
+            text = letters.decode()
+        elif letters.isascii():
+            return self._whole(letters)
+        else:
+            text = "".join([self.letters[c] for c in letters])
+        return array("H", [x.id for x in self.tokenize(text)]).tobytes()
+
+    def _learn(self, word: bytes) -> bytes:
+        # A run of letters below U+0250 needs no normalisation but lower-casing; marks after it are a word of their own.
+        core = word.rstrip(self.marks)
+        if core.isalpha():                           # ASCII letters only
+            ids = self.cores[core.lower()]
+        else:
+            t = core.decode()
+            if not t.isalpha() or max(t) >= "\u0250" or "\u0130" in t:
+                return self._whole(word)
+            ids = self.cores[t.lower().encode()]
+        return ids + self.cores[word[len(core):]] if len(core) < len(word) else ids
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """UTF-8 texts in, ids out; split at ASCII white space only."""
-        split = [t.split() for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > CACHE_WORDS:
+        if len(self.words) > CACHE_WORDS:
             self.words.clear()
             self.cores.clear()
-            new = words
-        self._learn(new)
         get = self.words.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+        return [b"".join(map(get, t.split())) for t in texts]
