@@ -10,9 +10,9 @@ others.  Fixed layout, little-endian:
     block  u32 minimum, u16 count, u8 width, u8 0, u16 exceptions, packed bits,
            u16 place[exceptions], u32 high[exceptions]
 
-Images are stored by Spark's own writer as rows of a Parquet table (run, number
-in run, image, the documents' ids and lengths), so that half-written output of
-lost tasks never shows and any shared file system will do.
+Images are stored by Spark's own writer as rows of a Parquet table (run, first
+token in the run, image, the documents' ids and lengths), so that half-written
+output of lost tasks never shows and any shared file system will do.
 """
 
 from __future__ import annotations
@@ -26,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.prefix import running
 from ..session import scratch_path
 from .common import NULL_ID, text_of
-from .token_store import batches_of, map_runs
+from .token_store import batches_of, map_runs, with_offsets
 from .tokens import END_ID, Encoder, tokenizer_path
 
 BLOCK = 1024
@@ -98,13 +97,13 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None) -> Non
 
     def task(run: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = Encoder.of(tokenizer), np.array([END_ID], dtype="<u2").tobytes()
-        names = ["run", "number", "n_ids", "image", "doc_ids", "doc_tokens"]
-        number, size, ids, who, count = 0, 0, [], [], []
+        names = ["run", "in_run", "n_ids", "image", "doc_ids", "doc_tokens"]
+        at, size, ids, who, count = 0, 0, [], [], []
 
         def image() -> pa.RecordBatch:
             raw = encode_image(np.frombuffer(b"".join(ids), dtype="<u2").astype(np.uint32))
             return pa.RecordBatch.from_arrays(
-                [pa.array([run], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()),
+                [pa.array([run], pa.int32()), pa.array([at], pa.int64()), pa.array([size], pa.int64()),
                  pa.array([raw], pa.binary()), pa.array([who], pa.list_(pa.int64())),
                  pa.array([count], pa.list_(pa.int64()))], names)
 
@@ -117,23 +116,20 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None) -> Non
                     size += count[-1]
                     if size >= IMAGE_IDS:
                         yield image()
-                        number, size, ids, who, count = number + 1, 0, [], [], []
+                        at, size, ids, who, count = at + size, 0, [], [], []
         if who:
             yield image()
 
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("k_id"),
                        text_of(docs["text"]).cast("binary").alias("t")) \
         .repartitionByRange("k_id").sortWithinPartitions("k_id", "t")
-    map_runs(rows, task, "run int, number int, n_ids long, image binary, doc_ids array<long>, doc_tokens array<long>") \
+    map_runs(rows, task, "run int, in_run long, n_ids long, image binary, doc_ids array<long>, doc_tokens array<long>") \
         .write.mode("overwrite").parquet(path)
 
 
 def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids, uint32 bytes, ``with_ids``) decoded from the files."""
-    files = spark.read.parquet(path)
-    # Where each image starts: a running sum over images, run by run.
-    starts = running(files.select("run", "number", "n_ids"), order=["run", "number"], values={"before": F.col("n_ids")},
-                     block="run", inclusive=False)
+    files = with_offsets(spark.read.parquet(path), "run", "n_ids")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,8 +144,8 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 
     names = ["k_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     schema = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in names)
-    out = files.join(starts.select("run", "number", "before"), ["run", "number"]) \
-        .select("image", "doc_ids", "doc_tokens", "before").mapInArrow(decode, schema)
+    out = files.select("image", "doc_ids", "doc_tokens", (F.col("run_start") + F.col("in_run")).alias("before")) \
+        .mapInArrow(decode, schema)
     return out.select(F.when(F.col("k_id") != F.lit(NULL_ID), F.col("k_id")).alias("doc_id"), *names[1:])
 
 
