@@ -29,9 +29,9 @@ def s2_pruned_scan(spark, sf):
     return read_pruned(spark, sf, "orders", ["key", "price", "date"], first="o_orderstatus")
 
 
-@register("s4_head_rows", "SELECT event_id, event_type, value FROM events ORDER BY event_id LIMIT 2500")
+@register("s4_head_rows", "SELECT event_id, event_type, value FROM events ORDER BY event_id LIMIT 25000")
 def s4_head_rows(spark, sf):
-    return read_head(read_table(spark, sf, "events", ["event_id", "event_type", "value"]), 2500, ["event_id"])
+    return read_head(read_table(spark, sf, "events", ["event_id", "event_type", "value"]), 25_000, ["event_id"])
 
 
 @register("s5_s6_pinned_convert", "SELECT event_id, user_id, event_type, value, props FROM events")
@@ -42,12 +42,13 @@ def s5_s6_pinned_convert(spark, sf):
 
 
 @register("s7_s8_shard_roundtrip", VEC + """
-SELECT CAST(embedding AS FLOAT[]) AS features, CAST(labels AS FLOAT) AS labels FROM vec""")
+SELECT CAST(embedding AS FLOAT[]) AS features, labels FROM vec""")
 def s7_s8_shard_roundtrip(spark, sf):
-    v = vec(spark, sf).select(F.col("embedding").alias("features"), F.col("labels").cast("float").alias("labels"))
+    """Integer labels go in, are stored as floats and come out as integers again."""
+    v = vec(spark, sf).select(F.col("embedding").alias("features"), "labels")
     path = scratch_path(spark, "s7-shards")
-    shards.write_shards(v.repartition(4, "features"), path)
-    return shards.read_shards(spark, path, 64)
+    shards.write_shards(v, path)
+    return shards.read_shards(spark, path, 64, label_type="int")
 
 
 @register("s9_prepared_cache", CAND + """
@@ -60,13 +61,14 @@ def s9_prepared_cache(spark, sf):
 
 
 @register("s10_named_store", EVT + """
-SELECT event_id, value, 'sig' AS dataset FROM evt WHERE labels = 1""")
+SELECT event_id, value, CASE WHEN labels = 1 THEN 'sig' ELSE 'bkg' END AS dataset FROM evt""")
 def s10_named_store(spark, sf):
     e = evt(spark, sf).select("event_id", "value", "labels")
     path = scratch_path(spark, "s10-store")
     io.store_frames({"sig": e.filter("labels = 1").drop("labels"), "bkg": e.filter("labels = 0").drop("labels")},
                     path)
-    return io.load_frame(spark, path, "sig").select("event_id", "value", "dataset")
+    both = [io.load_frame(spark, path, name).select("event_id", "value", "dataset") for name in ("sig", "bkg")]
+    return both[0].unionByName(both[1])
 
 
 @register("s11_prediction_sink")

@@ -289,3 +289,48 @@ def test_near_duplicates_looks_at_every_pair(spark):
     long = _df(spark, rows, "a string, b string, a_pos int, b_pos int, r double")
     assert sel.near_duplicates(long).count() == 300
 
+
+
+def test_shard_matrix_and_single_records_agree():
+    import numpy as np
+    from sigbg.sources import shards
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(50, 7)).astype("float32"), rng.normal(size=50).astype("float32")
+    y[3] = x[2, 1] = 0.0
+    assert shards.crc32c_rows(np.frombuffer(b"123456789" * 3, np.uint8).reshape(3, 9)).tolist() == [0xE3069283] * 3
+    for labels in (y, None):
+        raw = shards.encode_rows(x, labels)
+        single = b"".join(shards._frame(np.frombuffer(shards.encode_example(
+            {"features": r.tolist()} | ({} if labels is None else {"labels": [float(labels[i])]})), np.uint8)[None, :]) for i, r in enumerate(x))
+        assert raw == single
+        got = shards.decode_file(raw)
+        assert np.allclose(np.array(got.column(0).to_pylist()), x) and got.column(1).null_count == (0 if labels is not None else 50)
+    assert len(shards.decode_file(b"")) == 0
+
+
+def test_shard_failures_are_loud(spark, tmp_path):
+    import numpy as np
+    from sigbg.sources import shards
+    raw = shards.encode_rows(np.ones((3, 2), "float32"), np.ones(3, "float32"))
+    for broken in (raw[:-1], raw[:len(raw) // 3 + 5], raw[:20] + b"x" + raw[21:], raw + b"abc"):
+        with pytest.raises(ValueError):
+            shards.decode_file(broken)
+    entry = shards._field(1, b"labels") + shards._field(2, shards._field(3, shards._field(1, shards._varint(1))))
+    feats = shards._field(1, b"features") + shards._field(2, shards._float_feature([1.0, 2.0]))
+    whole = shards._field(1, shards._field(1, entry) + shards._field(1, feats))
+    got = shards.decode_file(shards._frame(np.frombuffer(whole, np.uint8)[None, :]))
+    assert got.column(0).to_pylist() == [[1.0, 2.0]] and got.column(1).to_pylist() == [1.0]      # an integer label
+    text = shards._field(1, shards._field(1, shards._field(1, b"labels") + shards._field(2, shards._field(1, shards._field(1, b"one")))))
+    with pytest.raises(ValueError):
+        shards.decode_file(shards._frame(np.frombuffer(text, np.uint8)[None, :]))
+    path = str(tmp_path / "s")
+    df = _df(spark, [([1.0, 2.0], 1), ([3.0, 4.0], None), ([5.0, 6.0], 0)], "features array<double>, labels int")
+    for _ in range(2):
+        shards.write_shards(df, path, mode="overwrite", records_per_file=2)
+    assert sorted((r.features[0], r.labels) for r in shards.read_shards(spark, path, 2, "int").collect()) == [(1.0, 1), (3.0, 0), (5.0, 0)]
+    shards.write_shards(df, path)
+    assert shards.read_shards(spark, path, 2).count() == 6
+    with pytest.raises(Exception, match="not 3 features"):
+        shards.read_shards(spark, path, 3).collect()
+    with pytest.raises(Exception, match="mounted filesystem"):
+        shards.write_shards(df, "hdfs://host/x")
