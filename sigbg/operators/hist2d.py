@@ -1,4 +1,4 @@
-"""Two-dimensional summaries: hexagonal counts, binned kernel densities, pair grids.
+"""Two-dimensional summaries: hexagonal counts, kernel densities, pair grids.
 
 Hex cells follow the usual two-lattice construction (as in matplotlib's
 ``hexbin``): one lattice at integer cell coordinates, a second offset by half
@@ -6,17 +6,18 @@ a cell; each point goes to the nearer centre (distance metric stretched by 3
 along y).  It is a per-row column expression followed by a partial
 aggregate, so it scales like a group-by.
 
-Kernel densities are *binned*: the data are first reduced to a fixed number
-of bins (a histogram, bounded by the bin count whatever the table size) and
-the Gaussian kernel is summed over bin centres at every grid point.  The
-binned table reaches the grid rows as a scalar subquery; no cross join and
-no per-row pairing of data points.
+Kernel densities sum the kernel of every row at every grid point, without
+binning: a pass of matrix products over the rows that yields one small matrix
+per task.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,69 +82,68 @@ def hex_counts(df: DataFrame, x: str, y: str, gridsize: int = 50,
                     F.round(F.col("_ymin") + (F.col("j") + off) * F.col("_sy"), places).alias("cy"), "n")
 
 
-def _stats(d: DataFrame, cols: list[str]):
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for c in cols:
-        aggs += [F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"), F.stddev_samp(c).alias(f"sd_{c}")]
-    return d.agg(F.struct(*aggs).alias("s")).scalar()
+def _axis(d: DataFrame, cols: list[str], power: float) -> tuple[int, list[tuple[float, float, float]]]:
+    """(rows, per column: minimum, maximum, bandwidth std * n**power)."""
+    r = d.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{c}") for c in cols
+                                              for k, f in (("lo", F.min), ("hi", F.max), ("sd", F.stddev_samp))]).first()
+    n = r["n"]
+    return n, [(r[f"lo_{c}"], r[f"hi_{c}"], (r[f"sd_{c}"] or 0.0) * n ** power) for c in cols] if n else []
 
 
-def kde_1d(df: DataFrame, x: str, grid: int = 128, bins: int = 512, bw: float | None = None,
-           places: int = 12) -> DataFrame:
-    """H9 (1-D): Gaussian KDE on ``grid`` points over [min, max], Scott bandwidth n^(-1/5) * std."""
+def _kernel(points: np.ndarray, x: np.ndarray, h: float) -> np.ndarray:
+    z = (points[None, :] - x[:, None]) / h
+    return np.exp(-0.5 * z * z)
+
+
+def _summed(d: DataFrame, grids: list[np.ndarray], hs: list[float]) -> DataFrame:
+    """(at, total): the kernel sum at each grid point (first axis major) over all rows, exactly.
+
+    Each task adds its rows' kernels - in two dimensions a matrix product of
+    the two axes' kernels - so the work is linear in the rows and one small
+    matrix a task moves.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros([len(g) for g in grids])
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            for i in range(0, len(b), 4096):
+                k = [_kernel(g, c[i:i + 4096], h) for g, c, h in zip(grids, cols, hs)]
+                total += k[0].sum(axis=0) if len(k) == 1 else k[0].T @ k[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "total"])
+
+    return d.mapInArrow(run, "at long, total double").groupBy("at").agg(F.sum("total").alias("total"))
+
+
+def kde_1d(df: DataFrame, x: str, grid: int = 128, bw: float | None = None) -> DataFrame:
+    """H9 (1-D): Gaussian KDE on ``grid`` points over [min, max], Scott bandwidth n^(-1/5) * std; no binning.
+
+    The density is null where the bandwidth is zero; an empty table has no rows.
+    """
     d = df.select(F.col(x).cast("double").alias("_x")).filter(_valid(F.col("_x")))
-    sub = _stats(d, ["_x"])
-    d = d.withColumn("_s", sub)
-    s = F.col("_s")
-    L, H, n = s["lo__x"], s["hi__x"], s["n"]
-    h = F.lit(float(bw)) if bw else s["sd__x"] * F.pow(n.cast("double"), F.lit(-0.2))
-    b = d.select(bin_index(F.col("_x"), L, H, bins).alias("b"), "_s").groupBy("b") \
-         .agg(F.count(F.lit(1)).alias("c"), F.first("_s").alias("_s"))
-    centres = b.select(F.struct((L + (F.col("b") + 0.5) * (H - L) / F.lit(float(bins))).alias("x"),
-                                F.col("c").cast("double").alias("c")).alias("e"))
-    arr = centres.agg(F.collect_list("e").alias("a")).scalar()
-    g = d.agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 0) \
-         .select(F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k")).withColumn("_s", sub)
-    g = g.withColumn("gx", L + F.col("k") * (H - L) / F.lit(float(grid - 1))).withColumn("_a", arr) \
-         .withColumn("_h", h).withColumn("_n", n)
-    tot = F.aggregate("_a", F.lit(0.0), lambda acc, e: acc + e["c"] * F.exp(
-        F.lit(-0.5) * ((F.col("gx") - e["x"]) / F.col("_h")) * ((F.col("gx") - e["x"]) / F.col("_h"))))
-    dens = F.try_divide(tot, F.col("_n") * F.col("_h") * F.lit(SQRT_2PI))
-    return g.select(F.col("k").cast("int").alias("k"), F.round("gx", 6).alias("x"),
-                    F.round(dens, places).alias("density"))
-
-
-def kde_2d(df: DataFrame, x: str, y: str, grid: int = 32, bins: int = 64, places: int = 12) -> DataFrame:
-    """H9 (2-D): product-Gaussian KDE on a grid x grid lattice, Scott factor n^(-1/6) per axis."""
+    n, axes = _axis(d, ["_x"], -0.2)
+    if not n:
+        return df.sparkSession.createDataFrame([], "k int, x double, density double")
+    (lo, hi, h), = axes
+    h = float(bw) if bw else h
+    g = lo + np.arange(grid) * (hi - lo) / (grid - 1)
+    at = F.array(*[F.lit(float(v)) for v in g])
+    return _summed(d, [g], [h or 1.0]).select(F.col("at").cast("int").alias("k"), at[F.col("at").cast("int")].alias("x"),
+                                              F.when(F.lit(h > 0), F.col("total") / F.lit(n * (h or 1.0) * SQRT_2PI)).alias("density"))
+
+
+def kde_2d(df: DataFrame, x: str, y: str, grid: int = 32) -> DataFrame:
+    """H9 (2-D): product-Gaussian KDE on a grid x grid lattice, Scott factor n^(-1/6) per axis; no binning."""
     d = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
           .filter(_valid(F.col("_x")) & _valid(F.col("_y")))
-    sub = _stats(d, ["_x", "_y"])
-    d = d.withColumn("_s", sub)
-    s = F.col("_s")
-    Lx, Hx, Ly, Hy, n = s["lo__x"], s["hi__x"], s["lo__y"], s["hi__y"], s["n"]
-    f = F.pow(n.cast("double"), F.lit(-1.0 / 6.0))
-    hx, hy = s["sd__x"] * f, s["sd__y"] * f
-    b = d.select(bin_index(F.col("_x"), Lx, Hx, bins).alias("bx"), bin_index(F.col("_y"), Ly, Hy, bins).alias("by"),
-                 "_s").groupBy("bx", "by").agg(F.count(F.lit(1)).alias("c"), F.first("_s").alias("_s"))
-    cen = b.select(F.struct((Lx + (F.col("bx") + 0.5) * (Hx - Lx) / F.lit(float(bins))).alias("x"),
-                            (Ly + (F.col("by") + 0.5) * (Hy - Ly) / F.lit(float(bins))).alias("y"),
-                            F.col("c").cast("double").alias("c")).alias("e"))
-    arr = cen.agg(F.collect_list("e").alias("a")).scalar()
-    g = d.agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 0) \
-         .select(F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i")) \
-         .withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("_s", sub)
-    g = g.withColumn("gx", Lx + F.col("i") * (Hx - Lx) / F.lit(float(grid - 1))) \
-         .withColumn("gy", Ly + F.col("j") * (Hy - Ly) / F.lit(float(grid - 1))) \
-         .withColumn("_a", arr).withColumn("_hx", hx).withColumn("_hy", hy).withColumn("_n", n)
-
-    def term(acc, e):
-        zx = (F.col("gx") - e["x"]) / F.col("_hx")
-        zy = (F.col("gy") - e["y"]) / F.col("_hy")
-        return acc + e["c"] * F.exp(F.lit(-0.5) * (zx * zx + zy * zy))
-    tot = F.aggregate("_a", F.lit(0.0), term)
-    dens = F.try_divide(tot, F.col("_n") * F.lit(2.0 * math.pi) * F.col("_hx") * F.col("_hy"))
-    return g.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
-                    F.round("gx", 6).alias("x"), F.round("gy", 6).alias("y"), F.round(dens, places).alias("density"))
+    n, axes = _axis(d, ["_x", "_y"], -1.0 / 6.0)
+    if not n:
+        return df.sparkSession.createDataFrame([], "i int, j int, x double, y double, density double")
+    gs = [lo + np.arange(grid) * (hi - lo) / (grid - 1) for lo, hi, _ in axes]
+    hx, hy = (h for _, _, h in axes)
+    i, j = (F.col("at") / grid).cast("int"), (F.col("at") % grid).cast("int")
+    ax, ay = (F.array(*[F.lit(float(v)) for v in g]) for g in gs)
+    dens = F.when(F.lit(hx > 0 and hy > 0), F.col("total") / F.lit(n * 2.0 * math.pi * (hx or 1.0) * (hy or 1.0)))
+    return _summed(d, gs, [hx or 1.0, hy or 1.0]).select(i.alias("i"), j.alias("j"), ax[i].alias("x"), ay[j].alias("y"), dens.alias("density"))
 
 
 def pair_grid(df: DataFrame, cols: list[str], hist_bins: int = 40, hex_gridsize: int = 60,

@@ -43,11 +43,16 @@ def reshape(arr, n_rows: int) -> Column:
 
 
 def block_means(df: DataFrame, nested: str, momentum_index: int = 0) -> list[float]:
-    """Dataset mean of each block's momentum element (one aggregate; n_blocks numbers)."""
-    first = df.select(F.col(nested)).first()
-    n = len(first[0]) if first and first[0] is not None else 0
-    row = df.agg(*[F.avg(F.col(nested)[i][momentum_index]).alias(f"m{i}") for i in range(n)]).first()
-    return [row[f"m{i}"] for i in range(n)]
+    """Mean of each block's momentum element over ``df`` - the training part (one aggregate; n_blocks numbers).
+
+    The number of blocks is the largest of any row, so null and short rows
+    don't decide it; a block without values sorts last.
+    """
+    n = df.agg(F.max(F.size(nested))).first()[0] or 0
+    if n <= 0:
+        return []
+    row = df.agg(*[F.avg(F.get(F.get(F.col(nested), F.lit(i)), F.lit(momentum_index))).alias(f"m{i}") for i in range(n)]).first()
+    return [row[f"m{i}"] if row[f"m{i}"] is not None else float("inf") for i in range(n)]
 
 
 def order_blocks(df: DataFrame, nested: str, means: Sequence[float], ascending: bool = True,
@@ -58,7 +63,8 @@ def order_blocks(df: DataFrame, nested: str, means: Sequence[float], ascending:
     frame, so train and test share one block order.
     """
     order = sorted(range(len(means)), key=lambda i: (means[i], i), reverse=not ascending)
-    return df.withColumn(out or nested, F.array(*[F.col(nested)[i] for i in order]))
+    blocks = F.array(*[F.get(F.col(nested), F.lit(i)) for i in order])
+    return df.withColumn(out or nested, F.when(F.col(nested).isNotNull(), blocks))
 
 
 def object_pairs(objs, include_self: bool = False) -> Column:
@@ -127,3 +133,10 @@ def encode_text(texts: DataFrame, dictionary: DataFrame, text_col: str = "text",
     # The map is first bound to a column: subqueries may not sit inside a lambda.
     return texts.withColumn("_m", m).withColumn(
         out, F.transform(split_chars(t), lambda ch: F.element_at(F.col("_m"), ch))).drop("_m")
+
+
+def decode_text(codes: DataFrame, dictionary: DataFrame, codes_col: str = "codes", out: str = "text") -> DataFrame:
+    """A7 decode: array of indices -> text; the inverse of ``encode_text``."""
+    m = dictionary.agg(F.map_from_entries(F.collect_list(F.struct("ix", "ch"))).alias("m")).scalar()
+    return codes.withColumn("_m", m).withColumn(
+        out, F.array_join(F.transform(F.col(codes_col), lambda ix: F.element_at(F.col("_m"), ix)), "")).drop("_m")

@@ -196,3 +196,9 @@ def tag_union(frames: dict[str, DataFrame], name: str = "dataset") -> DataFrame:
         t = f.withColumn(name, F.lit(tag))
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     return out
+
+
+def balanced_sample(df: DataFrame, label: str, seed, key, under: bool = True) -> DataFrame:
+    """A sample of equal size from every class (the smallest's rows, or draws to the largest's), shuffled."""
+    s = undersample(df, label, seed, key) if under else oversample(df, label, seed, key).drop("draw")
+    return shuffle(s, seed, key)

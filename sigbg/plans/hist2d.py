@@ -41,25 +41,24 @@ WHERE (lattice = 1 AND i BETWEEN 0 AND {nx} AND j BETWEEN 0 AND {ny})
 GROUP BY lattice, i, j, xmin, ymin, sx, sy)"""
 
 
-def kde2_sql(p: str, src: str, x: str, y: str, grid: int = 32, bins: int = 64) -> str:
+def kde2_sql(p: str, src: str, x: str, y: str, grid: int = 32) -> str:
     return f"""{p}_d AS (SELECT CAST({x} AS DOUBLE) AS _x, CAST({y} AS DOUBLE) AS _y FROM {src}
        WHERE ({x}) IS NOT NULL AND NOT isnan(CAST({x} AS DOUBLE)) AND ({y}) IS NOT NULL AND NOT isnan(CAST({y} AS DOUBLE))),
 {p}_s AS (SELECT COUNT(*) AS n, min(_x) AS Lx, max(_x) AS Hx, min(_y) AS Ly, max(_y) AS Hy,
                  stddev_samp(_x) * pow(COUNT(*), -1.0 / 6.0) AS bwx, stddev_samp(_y) * pow(COUNT(*), -1.0 / 6.0) AS bwy
           FROM {p}_d),
-{p}_b AS (SELECT LEAST(CAST(floor((_x - Lx) * ({bins}.0 / (Hx - Lx))) AS INTEGER), {bins - 1}) AS bx,
-                 LEAST(CAST(floor((_y - Ly) * ({bins}.0 / (Hy - Ly))) AS INTEGER), {bins - 1}) AS bin_y, COUNT(*) AS c
-          FROM {p}_d, {p}_s GROUP BY ALL),
-{p}_cen AS (SELECT Lx + (bx + 0.5) * (Hx - Lx) / {bins}.0 AS x, Ly + (bin_y + 0.5) * (Hy - Ly) / {bins}.0 AS y,
-                   CAST(c AS DOUBLE) AS c FROM {p}_b, {p}_s),
+{p}_u AS (SELECT _x, _y, COUNT(*) AS c FROM {p}_d GROUP BY _x, _y),
 {p}_g AS (SELECT CAST(a.range AS INTEGER) AS i, CAST(b.range AS INTEGER) AS j,
                  Lx + a.range * (Hx - Lx) / {grid - 1}.0 AS gx, Ly + b.range * (Hy - Ly) / {grid - 1}.0 AS gy, n, bwx, bwy
           FROM {p}_s, range({grid}) a, range({grid}) b),
 {p}_out AS (SELECT i, j, round(gx, 6) AS x, round(gy, 6) AS y,
-       round(SUM({p}_cen.c * exp(-0.5 * (((gx - {p}_cen.x) / bwx) * ((gx - {p}_cen.x) / bwx)
-                 + ((gy - {p}_cen.y) / bwy) * ((gy - {p}_cen.y) / bwy))))
+       round(SUM(c * exp(-0.5 * (((gx - _x) / bwx) * ((gx - _x) / bwx) + ((gy - _y) / bwy) * ((gy - _y) / bwy))))
              / (n * {2.0 * math.pi!r} * bwx * bwy), 12) AS density
-FROM {p}_g, {p}_cen GROUP BY i, j, gx, gy, n, bwx, bwy)"""
+FROM {p}_g, {p}_u GROUP BY i, j, gx, gy, n, bwx, bwy)"""
+
+
+def _rounded(df, **places):
+    return df.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
 @register("h8_hex_counts", CAND.rstrip() + ",\nlc AS (SELECT mbc, ln(score / (1.0 - score)) AS logit_score FROM cand),\n"
@@ -72,19 +71,18 @@ def h8_hex_counts(spark, sf):
 @register("h9_kde_1d", EVT + f""",
 d AS (SELECT CAST(value AS DOUBLE) AS _x FROM evt WHERE value IS NOT NULL AND NOT isnan(value)),
 s AS (SELECT COUNT(*) AS n, min(_x) AS L, max(_x) AS H, stddev_samp(_x) * pow(COUNT(*), -0.2) AS bw FROM d),
-b AS (SELECT LEAST(CAST(floor((_x - L) * (512.0 / (H - L))) AS INTEGER), 511) AS b, COUNT(*) AS c FROM d, s GROUP BY 1),
-cen AS (SELECT L + (b + 0.5) * (H - L) / 512.0 AS x, CAST(c AS DOUBLE) AS c FROM b, s),
+u AS (SELECT _x, COUNT(*) AS c FROM d GROUP BY _x),
 g AS (SELECT CAST(range AS INTEGER) AS k, L + range * (H - L) / 127.0 AS gx, n, bw FROM s, range(128))
 SELECT k, round(gx, 6) AS x,
-       round(SUM(cen.c * exp(-0.5 * ((gx - cen.x) / bw) * ((gx - cen.x) / bw))) / (n * bw * {SQRT_2PI!r}), 12) AS density
-FROM g, cen GROUP BY k, gx, n, bw""")
+       round(SUM(c * exp(-0.5 * ((gx - _x) / bw) * ((gx - _x) / bw))) / (n * bw * {SQRT_2PI!r}), 12) AS density
+FROM g, u GROUP BY k, gx, n, bw""")
 def h9_kde_1d(spark, sf):
-    return hist2d.kde_1d(evt(spark, sf), "value", 128, 512)
+    return _rounded(hist2d.kde_1d(evt(spark, sf), "value", 128), x=6, density=12)
 
 
 @register("h9_kde_2d", CAND.rstrip() + ",\n" + kde2_sql("k", "cand", "mbc", "deltae") + "\nSELECT * FROM k_out")
 def h9_kde_2d(spark, sf):
-    return hist2d.kde_2d(cand(spark, sf), "mbc", "deltae", 32, 64)
+    return _rounded(hist2d.kde_2d(cand(spark, sf), "mbc", "deltae", 32), x=6, y=6, density=12)
 
 
 _H10 = CAND.rstrip() + ",\n" + hist_ctes("ha", "cand", "mbc", 40) + ",\n" + hist_ctes("hb", "cand", "deltae", 40) \
@@ -104,4 +102,4 @@ SELECT 'kde', 'mbc', 'deltae', i, j, x, y, density FROM kd_out"""
 @register("h10_pair_grid", _H10)
 def h10_pair_grid(spark, sf):
     c = cand(spark, sf)
-    return hist2d.pair_grid(c, ["mbc", "deltae"], hist_bins=40, hex_gridsize=60, kde_grid=32)
+    return _rounded(hist2d.pair_grid(c, ["mbc", "deltae"], hist_bins=40, hex_gridsize=60, kde_grid=32), x=6, y=6, value=12)

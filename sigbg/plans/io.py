@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import curves
+from ..functions.hashing import hash_bucket, sql_hash_bucket
+from ..operators import curves, metrics, scale
 from ..operators import models as mdl
+from ..operators import select as sel
 from ..operators.select import Roles, role_split
 from ..session import scratch_path
 from ..sources import io, shards
-from ..sources.fixtures import CAND_SQL, EVT_SQL, VEC_SQL, cand, evt, vec, with_views
+from ..sources.fixtures import CAND_D_COEF, CAND_Q_COEF, CAND_SQL, EVT_SQL, VEC_SQL, cand, evt, vec, with_views
 from ..sources.tables import read_head, read_pruned, read_table
 from .registry import register
 
@@ -84,13 +86,61 @@ def s11_prediction_sink(spark, sf):
 c AS (SELECT channel, score, SUM(labels)::BIGINT AS tp_s, SUM(1 - labels)::BIGINT AS fp_s FROM cand GROUP BY ALL),
 r AS (SELECT channel, tp_s, fp_s,
              SUM(tp_s) OVER (PARTITION BY channel ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp FROM c)
-SELECT channel AS run, CAST(SUM(tp_s) + SUM(fp_s) AS BIGINT) AS n,
-       round(SUM(fp_s * (tp - tp_s / 2.0)) / (CAST(SUM(tp_s) AS DOUBLE) * SUM(fp_s)), 9) AS auc
+SELECT channel AS run, channel, 'fixed' AS mode, 'formula' AS arch, CAST(1 AS BIGINT) AS layers, CAST(SUM(tp_s) + SUM(fp_s) AS BIGINT) AS batch_size,
+       CAST(0.0 AS DOUBLE) AS dropout, CAST(1 AS BIGINT) AS epochs, CAST(NULL AS DOUBLE) AS time, CAST(NULL AS VARCHAR) AS timestamp,
+       CAST(NULL AS DOUBLE) AS train_acc,
+       (SELECT round(AVG(CAST(CAST(score > 0.5 AS INTEGER) = labels AS DOUBLE)), 9) FROM cand c2 WHERE c2.channel = r.channel) AS test_acc,
+       round(SUM(fp_s * (tp - tp_s / 2.0)) / (CAST(SUM(tp_s) AS DOUBLE) * SUM(fp_s)), 9) AS test_auc,
+       '0.05' AS q_coef, '-20.0' AS d_coef
 FROM r GROUP BY channel""")
 def s12_run_registry(spark, sf):
-    a = curves.auc(cand(spark, sf), by=["channel"]).withColumn("auc", F.round("auc", 9))
-    rec = a.select(F.col("channel").alias("run"), (F.col("n_pos") + F.col("n_neg")).alias("n"), "auc",
-                   F.create_map(F.lit("score"), F.lit("fixed")).alias("params"))
+    """All fields of the run record, read back with the parameters."""
+    c = cand(spark, sf)
+    a = curves.auc(c, by=["channel"]).withColumn("auc", F.round("auc", 9))
+    acc = metrics.score_metrics(c, by=["channel"]).select(F.col("channel").alias("ch"), "accuracy")
+    rec = a.join(acc, F.col("channel") == F.col("ch")).select(
+        F.col("channel").alias("run"), "channel", F.lit("fixed").alias("mode"), F.lit("formula").alias("arch"), F.lit(1).alias("layers"),
+        (F.col("n_pos") + F.col("n_neg")).alias("batch_size"), F.lit(0.0).alias("dropout"), F.lit(1).alias("epochs"),
+        F.col("accuracy").alias("test_acc"), F.col("auc").alias("test_auc"),
+        F.create_map(F.lit("q_coef"), F.lit(str(CAND_Q_COEF)), F.lit("d_coef"), F.lit(str(CAND_D_COEF))).alias("params"))
     path = scratch_path(spark, "s12-runs")
     io.append_runs(rec, path)
-    return io.read_runs(spark, path).select("run", "n", "auc")
+    out = io.read_runs(spark, path)
+    return out.select(*[x for x in out.columns if x != "params"], F.col("params")["q_coef"].alias("q_coef"), F.col("params")["d_coef"].alias("d_coef"))
+
+
+_FEATS = ["l_quantity", "l_discount", "l_tax", "qty_tax"]
+_PREP_IS_TEST = f"{sql_hash_bucket(42, 'l_orderkey', 'l_linenumber', 'mbc')} >= 9000"
+
+
+@register("prep_job", CAND.rstrip() + f""",
+f AS (SELECT l_orderkey, l_linenumber, labels, mbc, deltae, l_quantity, l_discount, l_tax, l_quantity * l_tax AS qty_tax,
+             CAST({_PREP_IS_TEST} AS INTEGER) AS is_test FROM cand),
+st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in _FEATS)} FROM f WHERE is_test = 0)
+SELECT is_test, labels, COUNT(*) AS n, {', '.join(f'round(SUM(CAST(({c} - m_{c}) / s_{c} AS FLOAT)::DOUBLE), 2) AS sum_{c}' for c in _FEATS)}
+FROM f, st GROUP BY is_test, labels""")
+def prep_job(spark, sf):
+    """The preparation job end to end: prune by name, drop what follows the fit variables, split, scale on the
+    training part, write Parquet and training shards, and read both back."""
+    key = ["l_orderkey", "l_linenumber"]
+    c = cand(spark, sf).drop("score").withColumn("qty_tax", F.col("l_quantity") * F.col("l_tax")) \
+        .withColumn("event_weight", F.lit(1.0)).withColumn("row_index", F.col("l_linenumber"))
+    c = sel.drop_containing(c)
+    roles = sel.Roles(exclude=(*sel.BOOKKEEPING, *key))
+    feats = roles.features(c.columns)
+    corr = sel.corr_long(c, [*roles.fit_vars, *feats])
+    c = sel.apply_drops(c, sel.correlated_to_fit(corr))
+    feats = [f for f in feats if f in c.columns]
+    c = c.withColumn("is_test", (hash_bucket(42, *key, F.col("mbc")) >= 9000).cast("int"))
+    scaled = scale.standardise_fit(c.filter("is_test = 0"), feats)(c)
+    out = scratch_path(spark, "prepared")
+    scaled.select("is_test", "labels", "mbc", "deltae", F.array(*[F.col(f).cast("float") for f in feats]).alias("features")) \
+        .write.mode("overwrite").partitionBy("is_test").parquet(out)
+    back = None
+    for part in (0, 1):
+        path = scratch_path(spark, "prepared-shards")
+        shards.write_shards(spark.read.parquet(out).filter(F.col("is_test") == part), path)
+        s = shards.read_shards(spark, path, len(feats), "int").withColumn("is_test", F.lit(part))
+        back = s if back is None else back.unionByName(s)
+    return back.groupBy("is_test", "labels").agg(F.count(F.lit(1)).alias("n"), *[
+        F.round(F.sum(F.col("features")[i].cast("double")), 2).alias(f"sum_{f}") for i, f in enumerate(feats)])

@@ -67,6 +67,15 @@ def x3_undersample(spark, sf):
     return smp.undersample(evt(spark, sf).select("event_id", "labels"), "labels", 42, "event_id")
 
 
+@register("j2_balanced_sample", EVT + f""",
+r AS (SELECT event_id, labels, {H} AS h, row_number() OVER (PARTITION BY labels ORDER BY {H}, event_id) AS rn,
+             COUNT(*) OVER (PARTITION BY labels) AS n FROM evt)
+SELECT event_id, labels FROM r WHERE rn <= (SELECT MIN(n) FROM r) ORDER BY h, event_id""")
+def j2_balanced_sample(spark, sf):
+    """A sample of equal size of every class, united and shuffled."""
+    return smp.balanced_sample(evt(spark, sf).select("event_id", "labels"), "labels", 42, "event_id")
+
+
 _X4_PICK = "(('0x' || substr(md5(concat_ws(':', '42', CAST(s.labels AS VARCHAR), CAST(s.draw AS VARCHAR))), 1, 15))" \
            "::BIGINT % s.n) + 1"
 

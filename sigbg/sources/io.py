@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Run-registry record (one JSON object per run).
-RUN_SCHEMA = T.StructType([
-    T.StructField("run", T.StringType()),
-    T.StructField("n", T.LongType()),
-    T.StructField("auc", T.DoubleType()),
-    T.StructField("params", T.MapType(T.StringType(), T.StringType())),
-])
+# The fields of a run's summary and of a parameter search's record, one JSON object a run.
+_T = {"s": T.StringType(), "l": T.LongType(), "d": T.DoubleType(), "m": T.MapType(T.StringType(), T.StringType())}
+RUN_FIELDS = {"run": "s", "channel": "s", "mode": "s", "timestamp": "s", "arch": "s", "layers": "l", "batch_size": "l", "dropout": "d",
+              "epochs": "l", "time": "d", "train_acc": "d", "test_acc": "d", "test_auc": "d", "params": "m"}
+SEARCH_FIELDS = {"run": "s", "auc": "d", "error": "s", "best_iteration": "l", "counter": "l", "seconds": "l", "params": "m", "iterations": "d"}
+RUN_SCHEMA = T.StructType([T.StructField(c, _T[k]) for c, k in RUN_FIELDS.items()])
+SEARCH_SCHEMA = T.StructType([T.StructField(c, _T[k]) for c, k in SEARCH_FIELDS.items()])
 
 
 def convert(spark: SparkSession, src: str, out: str, schema: T.StructType | None = None,
@@ -57,11 +57,14 @@ def write_predictions(scored: DataFrame, path: str) -> DataFrame:
     return scored.sparkSession.read.parquet(path)
 
 
-def append_runs(records: DataFrame, path: str) -> None:
-    """Append run records (schema-checked) to a JSON registry."""
-    records.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RUN_SCHEMA.fields]) \
+def append_runs(records: DataFrame, path: str, schema: T.StructType = RUN_SCHEMA) -> None:
+    """Append run records to a JSON registry; absent fields are null, unknown ones an error."""
+    unknown = [c for c in records.columns if c not in schema.fieldNames()]
+    if unknown:
+        raise ValueError(f"the registry has no fields {unknown}")
+    records.select(*[(F.col(f.name) if f.name in records.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]) \
            .write.mode("append").json(path)
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_SCHEMA).json(path)
+def read_runs(spark: SparkSession, path: str, schema: T.StructType = RUN_SCHEMA) -> DataFrame:
+    return spark.read.schema(schema).json(path)
