@@ -3,7 +3,8 @@
 Texts are read as words (A-Z lower-cased, split at ASCII white space).  A gear
 hash runs over the bytes; a word whose end the hash of the last ``WINDOW`` bytes
 picks (one in ``RATE``) is a boundary, so boundaries move with the text and an
-insertion only disturbs what it touches.  A chunk begins at every boundary and
+insertion only disturbs what it touches.  Where none comes for ``MAX_GAP`` words
+(one word over and over) one is set every ``MAX_GAP`` words.  A chunk begins at every boundary and
 ends at the first boundary at least ``MIN_WORDS`` words on.  Chunks are
 deduplicated by their 64-bit digests; a chunk whose digest occurs under two
 document ids is repeated, and adjoining or overlapping repeated chunks of a
@@ -25,6 +26,7 @@ from .common import NULL_ID, row_key, text_of
 
 WINDOW = 16
 RATE = 4
+MAX_GAP = 8
 MIN_WORDS = 16
 MIN_PASSAGE = 24
 GEAR = np.random.default_rng(5).integers(0, 1 << WINDOW, 256, dtype=np.uint32)
@@ -52,7 +54,9 @@ def chunks_of(text: bytes) -> tuple[np.ndarray, list[int]]:
     ends = np.append(np.flatnonzero(data == 32), len(data))            # the byte after each word
     h = gear_hashes(data)[ends[:-1] - 1]
     cut = np.flatnonzero(h < (1 << WINDOW) // RATE) + 1                # a chunk may begin at these words
-    cut = np.concatenate([[0], cut, [n]])
+    cut = np.unique(np.concatenate([[0], cut, [n]]))
+    more = (np.diff(cut) - 1) // MAX_GAP                               # boundaries to set after each one
+    cut = np.sort(np.concatenate([cut, np.repeat(cut[:-1], more) + MAX_GAP * (np.arange(more.sum()) + 1 - np.repeat(np.cumsum(more) - more, more))]))
     start = cut[:-1]
     at = np.searchsorted(cut, start + MIN_WORDS)
     start, end = start[at < len(cut)], cut[at[at < len(cut)]]
