@@ -76,8 +76,8 @@ def likeness(a: str, b: str) -> Column:
     return F.when(all_ == 0, 1.0).otherwise(both / all_)
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """(k_id, text, block, last, k_hash) with rows dealt so that each block is a run of descending ids.
+def neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(k_id, text, block, last, k_hash) and the number of blocks asked for; rows are dealt so that each block is a run of descending ids.
 
     Blocks hold about BLOCK_ROWS documents (their number is at most MAX_BLOCKS);
     a block also gets the first document of the next lower one (the lowest
@@ -101,12 +101,13 @@ def neighbours(docs: DataFrame) -> DataFrame:
     above = F.lead("block").over(Window.orderBy("block"))
     tops = tops.withColumn("to", F.coalesce(above, F.min("block").over(Window.partitionBy())))
     tops = write_through(tops, "spot-blocks")
-    return place(rows).join(F.broadcast(tops), "block").withColumn("k_hash", F.xxhash64("text")) \
+    placed = place(rows).join(F.broadcast(tops), "block").withColumn("k_hash", F.xxhash64("text")) \
         .withColumn("at", F.explode(F.when(F.col("k_id") == F.col("top"),
                                            F.array(F.struct(F.col("block").alias("b"), F.lit(0).alias("last")),
                                                    F.struct(F.col("to").alias("b"), F.lit(1).alias("last"))))
                                     .otherwise(F.array(F.struct(F.col("block").alias("b"), F.lit(0).alias("last")))))) \
         .select("k_id", "k_hash", "text", F.col("at.b").alias("block"), F.col("at.last").alias("last"))
+    return placed, n
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -118,7 +119,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     the order of their texts' hashes, a null id is lowest.  Null text counts as
     empty.  An empty table gives an empty result; other columns are ignored.
     """
-    rows = neighbours(docs).repartition("block")
+    rows, blocks = neighbours(docs)
+    rows = rows.repartition("block")
     rows = add_fingerprint(rows, "text", "fp")
     w = Window.partitionBy("block").orderBy("last", F.desc("k_id"), "k_hash")
     rows = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("next_fp", F.lead("fp").over(w)).filter("last = 0")
@@ -130,7 +132,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("k_id") != F.lit(NULL_ID), F.col("k_id")).alias("doc_id"), "n_chars",
                        F.sha2("edited", 256).alias("edited_sha256"), as_text("fp").alias("fingerprint"),
                        as_text("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"),
-                       likeness("fp", "next_fp").alias("near_next"))
+                       likeness("fp", "next_fp").alias("near_next")).coalesce(blocks)      # no more tasks than blocks
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
