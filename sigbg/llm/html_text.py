@@ -49,7 +49,7 @@ def _marks(tag: str, attrs: dict[str, str], in_main: bool) -> tuple[int, bool, b
     named = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
     hints = {w.lower() for w in HINT.findall(named)} | set(named.lower().split())
     side = int(tag in SIDE_TAGS) + int(tag == "header" and not in_main) + len(hints & SIDE_WORDS)
-    if "header" in hints and not in_main and tag != "header":
+    if "header" in hints and not hints & MAIN_WORDS and not in_main and tag != "header":
         side += 1
     main = tag in ("article", "main") or (side == 0 and bool(hints & MAIN_WORDS) and tag in ("div", "section", "td"))
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
