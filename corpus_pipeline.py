@@ -29,10 +29,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (operator 9; five words, 0.8)."""
-    kept = near_dedup.near_groups(docs, k=5, percent=80, symbols=40).filter("kept")
-    # Texts of one id that differ only in case or white space have one component and one id: the smallest hash stays.
-    kept = kept.groupBy("k_id", "component_id").agg(F.min("k_hash").alias("k_hash"))
-    return restrict(docs, kept.select("k_id", "k_hash", F.lit(1).alias("k_n")))
+    return restrict(docs, near_dedup.representatives(near_dedup.near_groups(docs, k=5, percent=80, symbols=40)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

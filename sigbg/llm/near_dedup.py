@@ -233,11 +233,11 @@ def class_links(classes: DataFrame, texts_of, k: int, percent: int, symbols: int
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, symbols: int = 40, chunk: int = 4,
                 errors: int = 1) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, k_id, k_hash.
+    """One row per document: doc_id, n_shingles, component_id, kept, k_id, k_hash, group.
 
     Documents link when 100 * common >= percent * all of their shingle sets;
-    component_id is the smallest doc_id reachable over links, kept marks it.  A
-    text without words (null counts as one) has an empty set and links with
+    component_id is the smallest doc_id reachable over links, kept marks it;
+    group tells components of one id apart (null for an empty set).  A text without words (null counts as one) has an empty set and links with
     nothing.  Repeated rows have equal sets and so are one group.  A null id
     sorts below all others.  Empty table: empty result; other columns are
     ignored.
@@ -259,10 +259,18 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, symbols: int = 4
     c = classes.select("cid", "rep", "size").join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left") \
         .withColumn("comp", F.coalesce("comp", "cid"))
     low = c.groupBy("comp").agg(F.min("rep").alias("component"))
-    groups = write_through(c.join(low, "comp").select("cid", "component", "size"), "near-groups")
+    groups = write_through(c.join(low, "comp").select("cid", "component", "size", F.col("comp").alias("group")), "near-groups")
     full = join_groups(rows.filter("cid IS NOT NULL").select("k_id", "k_hash", "n", "cid"), groups, "cid", "size", n_rows)
-    out = full.select("k_id", "k_hash", "n", "component") \
-        .unionByName(rows.filter("cid IS NULL").select("k_id", "k_hash", "n", F.col("k_id").alias("component")))
+    out = full.select("k_id", "k_hash", "n", "component", "group") \
+        .unionByName(rows.filter("cid IS NULL").select("k_id", "k_hash", "n", F.col("k_id").alias("component"),
+                                                       F.lit(None).cast("long").alias("group")))
     real = lambda x: F.when(F.col(x) != F.lit(NULL_ID), F.col(x))
     return out.select(real("k_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"),
-                      (F.col("k_id") == F.col("component")).alias("kept"), "k_id", "k_hash")
+                      (F.col("k_id") == F.col("component")).alias("kept"), "k_id", "k_hash", "group")
+
+
+def representatives(groups: DataFrame) -> DataFrame:
+    """(k_id, k_hash, k_n) of the rows that stay: one of each component, and every row with an empty set."""
+    one = groups.filter("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("k_id", "k_hash")).alias("m")) \
+        .select("m.k_id", "m.k_hash", F.lit(1).cast("long").alias("k_n"))
+    return one.union(groups.filter("group IS NULL").groupBy("k_id", "k_hash").agg(F.count(F.lit(1)).alias("k_n")))

@@ -58,7 +58,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), k=3, percent=85, symbols=32) \
-        .drop("k_id", "k_hash")
+        .drop("k_id", "k_hash", "group")
 
 
 @_query("op3_chunk_dedup")

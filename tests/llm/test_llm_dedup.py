@@ -128,6 +128,13 @@ def test_near_groups_edge_cases(spark):
     assert near_dedup.near_groups(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_one_of_each_component_stays(spark):
+    rows = edge_rows()
+    r = near_dedup.representatives(near_dedup.near_groups(edge_docs(spark), 3, 85, 32)).collect()
+    # 1/2, 6/7, 8, 9, 10/11, two kinds of 12, the row without id and 13; the three blank texts all stay.
+    assert sum(x.k_n for x in r) == 12 and len([x for x in r if x.k_id == 12]) == 2 and rows
+
+
 def by_n(doc_id):
     from helpers import shingles
     return next(len(shingles(t, 3)) for d, t, *_ in edge_rows() if d == doc_id)

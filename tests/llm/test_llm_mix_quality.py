@@ -123,6 +123,27 @@ def test_model_matches_the_recursion_and_sums_to_one(spark):
         assert abs(sum(math.exp(got[c | w]) for w in range(32)) - 1) < 1e-9
 
 
+def test_codes_at_every_cut(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    texts = ["", "ab", "", "Été 12, the end.", "x" * 40, ""]
+
+    def plain(t):
+        s = [0, 0, 0, *quality_lm.CLASSES[list(t.encode())].tolist()] if t else [0, 0, 0]
+        return [s[i - 3] << 15 | s[i - 2] << 10 | s[i - 1] << 5 | s[i] for i in range(3, len(s))]
+
+    whole = pa.array(["zz", *texts, "yy"], pa.string())
+    for kind in (pa.binary(), pa.large_binary()):
+        for size in (1, 2, 3, 5, 7, 1000):
+            monkeypatch.setattr(quality_lm, "CHUNK", size)
+            got = [[] for _ in texts]
+            for first, row, code in quality_lm.ngram_codes(whole.cast(kind).slice(1, len(texts))):
+                for r, c in zip(row.tolist(), code.tolist()):
+                    got[first + r].append(c)
+            assert got == [plain(t) for t in texts]
+    assert list(quality_lm.ngram_codes(pa.array([], pa.binary()))) == [] and np.all(quality_lm.CLASSES < 32)
+
+
 def quality_rows():
     good = [(i, (invented(120, i, 500) + ". ").capitalize(), "en" if i % 2 else "de", "s", 1) for i in range(300)]
     r = random.Random(1)
