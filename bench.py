@@ -29,6 +29,7 @@ HEADLINE = [
     "h3_overlay", "h7_efficiency", "h8_hex_counts", "p13_truncate_tails", "c2_corr_long",
     "x3_undersample", "x7_stratified_splits", "k10_batches", "g13_epoch_losses", "m4_standardise_pop",
     "t2_stream_metrics",
+    "x4_oversample", "h9_kde_2d", "h10_pair_grid", "c2_corr_wide_nulls", "s7_s8_shard_roundtrip", "prep_job",
 ]
 
 

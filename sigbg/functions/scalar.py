@@ -25,12 +25,12 @@ def sigmoid(z) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(z)))
 
 
-def linear_score(coefs: dict[str, float], intercept: float = 0.0) -> Column:
-    """Probability from fixed coefficients, sigmoid(b + sum w_i x_i)."""
+def linear_score(coefs: dict[str, float], intercept: float = 0.0, places: int | None = None) -> Column:
+    """Probability from fixed coefficients, sigmoid(b + sum w_i x_i); ``places`` rounds the sum first."""
     z = F.lit(float(intercept))
     for name, w in coefs.items():
         z = z + F.lit(float(w)) * F.col(name)
-    return sigmoid(z)
+    return sigmoid(z if places is None else F.round(z, places))
 
 
 def logit(p) -> Column:

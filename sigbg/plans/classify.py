@@ -274,5 +274,5 @@ def g11_per_channel_apply(spark, sf):
     pooled = h.groupBy("bin").agg(F.sum("n").alias("nb"))
     pooled = pooled.withColumn("p_all", F.col("nb") / pooled.agg(F.sum("nb")).scalar()).select("bin", "p_all")
     j = h.join(pooled, "bin", "inner")
-    return j.groupBy("channel").applyInPandas(
-        _channel_shape_stats, schema="channel string, n bigint, chi2 double, ndf bigint, mode_bin bigint")
+    return metrics.per_channel_apply(j, "channel", _channel_shape_stats,
+                                     "channel string, n bigint, chi2 double, ndf bigint, mode_bin bigint")

@@ -12,7 +12,7 @@ from ..operators.select import Roles, role_split
 from ..session import scratch_path
 from ..sources import io, shards
 from ..sources.fixtures import CAND_D_COEF, CAND_Q_COEF, CAND_SQL, EVT_SQL, VEC_SQL, cand, evt, vec, with_views
-from ..sources.tables import read_head, read_pruned, read_table
+from ..sources.tables import read_all, read_head, read_pruned, read_table
 from .registry import register
 
 CAND = with_views(CAND_SQL)
@@ -31,6 +31,22 @@ def s2_pruned_scan(spark, sf):
     return read_pruned(spark, sf, "orders", ["key", "price", "date"], first="o_orderstatus")
 
 
+_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey",
+         "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id",
+         "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id"}
+
+
+@register("s2_all_tables", "\nUNION ALL ".join(f"SELECT '{t}' AS \"table\", COUNT(*) AS n, CAST(SUM({k}) AS BIGINT) AS key_sum FROM {t}"
+                                               for t, k in _KEYS.items()))
+def s2_all_tables(spark, sf):
+    """Every table by name."""
+    out = None
+    for t, df in read_all(spark, sf).items():
+        row = df.agg(F.lit(t).alias("table"), F.count(F.lit(1)).alias("n"), F.sum(F.col(_KEYS[t]).cast("bigint")).alias("key_sum"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register("s4_head_rows", "SELECT event_id, event_type, value FROM events ORDER BY event_id LIMIT 25000")
 def s4_head_rows(spark, sf):
     return read_head(read_table(spark, sf, "events", ["event_id", "event_type", "value"]), 25_000, ["event_id"])

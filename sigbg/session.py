@@ -95,22 +95,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
-
-    Used where a plan is re-read by several later jobs (e.g. an iterative
-    search) so that a lost executor recomputes from stored files, not from
-    the whole lineage.  Never ``localCheckpoint``.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 def write_through(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write an intermediate as Parquet under the shared checkpoint folder and read it back.
 
-    Same guarantees as ``cut_lineage`` (stored, recomputation starts from the
-    files) with Parquet's columnar write instead of serialized RDD blocks.
+    Recomputation after a lost executor starts from the stored files.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import sigmoid
+from ..functions.scalar import linear_score
 from .tables import read_table
 
 # Coefficients of the fixture scorers.
@@ -22,8 +22,8 @@ SIGNAL_EVENT_TYPES = ("purchase", "signup")
 def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates from lineitem: label R, fit variables price and discount-tax."""
     li = read_table(spark, sf_dir, "lineitem")
-    # The argument has two decimals; rounding it makes equal candidates score equally in every engine.
-    z = F.round(F.lit(CAND_Q_COEF) * F.col("l_quantity") + F.lit(CAND_D_COEF) * F.col("l_discount"), 6)
+    # The sum has two decimals; rounding it makes equal candidates score equally in every engine.
+    score = linear_score({"l_quantity": CAND_Q_COEF, "l_discount": CAND_D_COEF}, places=6)
     return li.select(
         F.col("l_orderkey"), F.col("l_linenumber"),
         (F.col("l_returnflag") == "R").cast("int").alias("labels"),
@@ -31,7 +31,7 @@ def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_discount") - F.col("l_tax")).alias("deltae"),
         F.col("l_linestatus").alias("channel"),
         F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax"),
-        sigmoid(z).alias("score"),
+        score.alias("score"),
     )
 
 
