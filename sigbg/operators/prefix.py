@@ -58,6 +58,11 @@ def join_group_stats(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> Data
     return nullsafe_join(df, F.broadcast(s) if s.count() <= MAX_BROADCAST_GROUPS else s, by)
 
 
+def one_group(col: str | Column) -> Column:
+    """0 for every row, as a value of ``col`` that the optimizer can't fold: one group that still joins by key."""
+    return F.xxhash64(col).bitwiseAND(F.lit(0)).cast("int")
+
+
 def _order_exprs(order: Sequence, descending: bool) -> list[Column]:
     out = []
     for o in order:
@@ -154,7 +159,7 @@ def value_blocks(df: DataFrame, col: str, n_blocks: int | None = None, rows_per_
         row = df.select(F.percentile_approx(value, probs, max(accuracy, 4 * n_blocks)).alias("e")).first()
         edges = sorted({float(e) for e in (row["e"] or []) if e is not None and e == e})
     if not edges:                                        # one block: an empty table, one value, few rows
-        return df.withColumn(out, F.lit(0))
+        return df.withColumn(out, one_group(col))
     splits = [float("-inf")] + edges + [float("inf")]
     bz = Bucketizer(splits=splits, inputCol="_bz_in", outputCol="_bz_out", handleInvalid="keep")
     d = bz.transform(df.withColumn("_bz_in", value))

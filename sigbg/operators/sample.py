@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_block, hash_bucket, hash_hex
 from ..session import write_through
-from .prefix import join_group_stats, nullsafe_join, row_number
+from .prefix import join_group_stats, nullsafe_join, one_group, row_number
 
 HASH = "_h"
 BLK = "_hb"
@@ -62,7 +62,7 @@ def first_by_hash(df: DataFrame, hashed: Column, k: Callable[[Column], Column],
     d = df.withColumn(HASH, hashed)
     part = list(by) or ["_all"]
     if not by:
-        d = d.withColumn("_all", F.lit(0))
+        d = d.withColumn("_all", one_group(HASH))
     digits = max(3, math.ceil(math.log(max(1, df.count()) / ROWS_PER_BLOCK + 1, 16)))
     d = d.withColumn(BLK, hash_block(F.col(HASH), digits))
     counts = write_through(d.groupBy(*part, BLK).agg(F.count(F.lit(1)).alias("_c")), "hash-blocks")

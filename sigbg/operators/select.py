@@ -126,14 +126,15 @@ def corr_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     The same path at every width: each task sums masked products of its rows
     (a few d x d matrix products an Arrow batch), one row per task and pair
     moves, and a pair uses the rows in which both of its columns are there
-    (null and NaN are missing).  Columns are shifted by their means first, so
+    (null and NaN are missing).  Columns are shifted to near zero first, so
     the sums lose no digits.  A pair without two rows or without spread has a
     null coefficient.
     """
     cols = list(cols)
     d = len(cols)
     nums = df.select(*[_num(c).alias(f"c{i}") for i, c in enumerate(cols)])
-    means = nums.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(d)]).first() if d else []
+    # Any number near a column's values will do as its shift: the mean of the rows at hand first.
+    means = nums.limit(1000).agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(d)]).first() if d else []
     finite = [float(m) if m is not None and np.isfinite(m) else 0.0 for m in means]
     part = nums.mapInArrow(_gram_rows(d, finite), "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double")
     t = part.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
