@@ -20,6 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.prefix import one_group
 from ..session import write_through
 from .common import NULL_ID, text_of
 
@@ -93,7 +94,7 @@ def neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
 
     def place(df: DataFrame) -> DataFrame:
         if blocks is None:
-            return df.withColumn("block", F.lit(0))
+            return df.withColumn("block", one_group("k_id"))
         df = blocks.transform(df.withColumn("key", F.col("k_id").cast("double")))
         return df.withColumn("block", F.col("block").cast("int")).drop("key")
 
