@@ -104,6 +104,21 @@ def test_passages_are_found_and_clean_texts_left_alone(spark):
     assert all(len(left[i]) < len(rows[i][1]) for i in range(20, 60))
 
 
+def test_no_passage_of_51_words_is_lost():
+    r, lost = random.Random(9), 0
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 9)))
+    for _ in range(6000):
+        p = [word() for _ in range(51)]
+        found = []
+        for _ in range(2):
+            before = [word() for _ in range(r.randint(0, 12))]
+            place, digest = chunk_dedup.chunks_of(" ".join(before + p + [word() for _ in range(r.randint(0, 12))]).encode())
+            found.append({d: (int(a) - len(before), int(b) - len(before)) for d, (a, b) in zip(digest, place.tolist())})
+        both = [found[0][d] for d in set(found[0]) & set(found[1])]
+        lost += not both or max(b for _, b in both) - min(a for a, _ in both) < chunk_dedup.MIN_PASSAGE
+    assert lost == 0
+
+
 def test_passages_edge_cases(spark):
     got = chunk_dedup.passages(with_clashes(edge_docs(spark))).collect()
     assert {x.doc_id for x in got} == {6, 7} and max(x.n_words for x in got) >= 29_990
