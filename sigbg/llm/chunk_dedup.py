@@ -106,9 +106,12 @@ def chunk_table(docs: DataFrame) -> DataFrame:
 def passages(docs: DataFrame, min_words: int = MIN_PASSAGE) -> DataFrame:
     """Passages of at least ``min_words`` words that repeat in another document.
 
-    One row per passage: doc_id, start_word, n_words, n_chunks, first_doc_id
-    (smallest id that holds one of its chunks), kept (whether that is this
-    document), k_id, k_hash.  Documents without a repeated passage have no row.
+    One row per passage, or per piece of it that is kept or dropped alike:
+    doc_id, start_word, n_words, n_chunks (that reach into it), first_doc_id
+    (smallest id that holds one of these), kept, k_id, k_hash.  Each chunk
+    belongs to the smallest id that holds it; a word is dropped if a chunk over
+    it belongs to an earlier document, and so, from chunk to chunk, stays in
+    one.  Kept rests of under ``min_words`` words have no row.  Documents without a repeated passage have no row.
     Null and empty texts have no chunks; repeated rows of one id don't make
     each other repeated; a null id sorts below all others and comes back null.
     An empty table gives an empty result; other columns are ignored.
@@ -119,17 +122,34 @@ def passages(docs: DataFrame, min_words: int = MIN_PASSAGE) -> DataFrame:
     hits = chunks.join(write_through(repeated, "chunk-repeats"), "digest") \
         .select("k_id", "k_hash", F.shiftright("place", 20).alias("start"),
                 (F.shiftright("place", 20) + F.col("place").bitwiseAND(F.lit((1 << 20) - 1))).alias("end"), "first")
-    w = Window.partitionBy("k_id", "k_hash").orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col("start") <= before, 0).otherwise(1)
-    runs = hits.withColumn("new", new).withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("k_id", "k_hash", "part").agg(
-        F.min("start").alias("start_word"), F.max("end").alias("e"), F.countDistinct("start").alias("n_chunks"),
-        F.min("first").alias("first"))
+    w = Window.partitionBy("k_id", "k_hash").orderBy("start")
+    one = hits.withColumn("before", F.lag("start").over(w)).filter("before IS NULL OR before < start")   # identical rows count once
+    one = one.withColumn("kept", F.col("first") == F.col("k_id"))
+    # Chunks end in the order in which they begin, so the row before has the largest end so far.
+    end_before, kept_before = F.lag("end").over(w), F.lag("kept").over(w)
+    new_part = F.coalesce(F.col("start") > end_before, F.lit(True))
+    runs = one.withColumn("new_part", new_part.cast("int")).withColumn("new_piece", (new_part | (F.col("kept") != kept_before)).cast("int"))
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = runs.withColumn("part", F.sum("new_part").over(so_far)).withColumn("piece", F.sum("new_piece").over(so_far))
+    pieces = runs.groupBy("k_id", "k_hash", "part", "piece").agg(
+        F.min("start").alias("s"), F.max("end").alias("e"), F.count(F.lit(1)).alias("n_chunks"), F.min("first").alias("first"),
+        F.first("kept").alias("kept"))
+    # Kept and dropped pieces take turns in a part; kept ones end where a dropped one begins.
+    part = Window.partitionBy("k_id", "k_hash", "part")
+    turn = part.orderBy("piece")
+    pieces = pieces.withColumn("all_words", F.max("e").over(part) - F.min("s").over(part)) \
+        .withColumn("e_before", F.lag("e").over(turn)).withColumn("s_after", F.lead("s").over(turn)) \
+        .withColumn("s", F.when(F.col("kept"), F.greatest("s", "e_before")).otherwise(F.col("s"))) \
+        .withColumn("e", F.when(F.col("kept"), F.least("e", "s_after")).otherwise(F.col("e"))) \
+        .filter(F.col("e") > F.col("s"))
+    pieces = pieces.withColumn("new", F.coalesce(F.lag("kept").over(turn) != F.col("kept"), F.lit(True)).cast("int")) \
+        .withColumn("run", F.sum("new").over(turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = pieces.groupBy("k_id", "k_hash", "part", "run", "kept", "all_words").agg(
+        F.min("s").alias("start_word"), F.max("e").alias("e"), F.sum("n_chunks").alias("n_chunks"), F.min("first").alias("first")) \
+        .filter((F.col("all_words") >= min_words) & (~F.col("kept") | (F.col("e") - F.col("start_word") >= min_words)))
     real = lambda c: F.when(F.col(c) != F.lit(NULL_ID), F.col(c))
-    return spans.withColumn("n_words", F.col("e") - F.col("start_word")).filter(F.col("n_words") >= min_words) \
-        .select(real("k_id").alias("doc_id"), "start_word", "n_words", "n_chunks", real("first").alias("first_doc_id"),
-                (F.col("first") == F.col("k_id")).alias("kept"), "k_id", "k_hash")
+    return spans.select(real("k_id").alias("doc_id"), "start_word", (F.col("e") - F.col("start_word")).alias("n_words"), "n_chunks",
+                        real("first").alias("first_doc_id"), "kept", "k_id", "k_hash")
 
 
 def remove_passages(docs: DataFrame, found: DataFrame) -> DataFrame:

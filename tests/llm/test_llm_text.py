@@ -119,6 +119,23 @@ def test_no_passage_of_51_words_is_lost():
     assert lost == 0
 
 
+def test_every_chunk_survives_in_its_first_document(spark):
+    text = lambda n, seed: invented(n, seed, 9000)
+    a, b, c = text(60, 70_001), text(80, 70_002), text(70, 70_003)
+    rows = [(1, f"{text(50, 1)} {a} {text(50, 2)}"), (5, f"{text(50, 3)} {a} {b} {text(50, 4)}"), (7, f"{text(50, 5)} {a} {b} {c}"),
+            (8, f"{c} {a} {text(50, 6)}"), (9, f"{text(50, 3)} {a} {b} {text(50, 4)}")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = chunk_dedup.passages(df)
+    left = {x.doc_id: x.text for x in chunk_dedup.remove_passages(df, got).collect()}
+    assert left[1] == rows[0][1] and len(left[9].split()) < 40
+    for passage, holder in ((a, 1), (b, 5), (c, 7)):
+        assert passage in left[holder]
+        middle = " ".join(passage.split()[25:-25])
+        assert [i for i in left if middle in left[i]] == [holder]
+    firsts = {(x.doc_id, x.kept): x.first_doc_id for x in got.collect()}
+    assert firsts[5, True] == 5 and firsts[5, False] == 1 and firsts[7, True] == 7
+
+
 def test_passages_edge_cases(spark):
     got = chunk_dedup.passages(with_clashes(edge_docs(spark))).collect()
     assert {x.doc_id for x in got} == {6, 7} and max(x.n_words for x in got) >= 29_990
