@@ -1,9 +1,13 @@
 """Licence scan with directory inheritance (operator 6); DataFrame functions only.
 
-Whole texts are cut into sentences; those with a word that every template has
-one of are compared with the templates by the cosine of sparse TF-IDF vectors:
-words join a table of template weights, products are summed by sentence and
-template.  A file takes its best sentence's licence; a file that is named like
+Whole texts are cut into lines' sentences, and into blocks between blank lines
+whose wrapped lines and comment marks are joined, and these into sentences;
+those with a word that every template has one of are compared with the
+templates by the cosine of sparse TF-IDF vectors: words join a table of template
+weights, products are summed by sentence and template.  Blocks, and files named
+like a licence file as a whole, are compared with standard headers and whole
+licences in the same way.  SPDX tags say their licence themselves.  A file takes
+the licence of its tag, else of its whole text, else of its best piece; a file that is named like
 a licence file, or that consists mostly of licence sentences, also speaks for
 its directory.  Files without a licence of their own take that of the nearest
 ancestor directory that has one, found by joining directories with their
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_through
 from .common import NULL_ID, join_groups, row_key, text_of
+from .license_texts import headers
 
 #: Short notices by licence identifier.
 TEMPLATES = (
@@ -51,6 +56,13 @@ CUE = r"(?i)licen[cs]|copyright|public domain|hereby granted|\bgpl\b"
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 SENTENCE = r"[\n\r]+|(?<=[.!?])[\x20\t]+"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
+BLANK = r"\r?\n[\x20\t]*(?:\r?\n[\x20\t]*)+"
+WRAP = r"[\x20\t]*\r?\n[\x20\t]*(?:/?\*+/?|//+[!/]?|#+|;+|--+|%+)?[\x20\t]*"
+SPDX_ID = r"\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*"
+SPDX = rf"SPDX-License-Identifier:[\x20\t]*({SPDX_ID}(?:[\x20\t]+(?:OR|AND|WITH)[\x20\t]+{SPDX_ID})*)"
+#: What a text must say besides to be taken for these licences.
+NEEDS = (("LGPL", r"(?i)lesser|library|\blgpl"), ("AGPL", r"(?i)affero|\bagpl"), ("GPL-2", r"(?i)2|\btwo\b"), ("GPL-3", r"(?i)3|\bthree\b"))
+LINE, BLOCK_SENTENCE, BLOCK, WHOLE, TAG = range(5)
 THRESHOLD = 0.6
 SHARE = 0.5
 
@@ -72,14 +84,15 @@ def template_weights(spark: SparkSession, templates=TEMPLATES) -> tuple[DataFram
 def sentence_licences(sentences: DataFrame, templates=TEMPLATES) -> DataFrame:
     """(seg, n_words, license, score): best template of each distinct ``seg`` string, with its cosine."""
     idf, weights, unknown = template_weights(sentences.sparkSession, templates)
-    words = sentences.select("seg").distinct().withColumn("word", F.explode(F.regexp_extract_all(F.lower("seg"), F.lit(WORD), F.lit(0))))
-    tf = words.groupBy("seg", "word").agg(F.count(F.lit(1)).alias("tf"))
+    segs = sentences.select("seg").distinct().withColumn("id", F.xxhash64("seg"))       # a whole text stands for its words once
+    words = segs.select("id", F.explode(F.regexp_extract_all(F.lower("seg"), F.lit(WORD), F.lit(0))).alias("word"))
+    tf = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
     vec = tf.join(F.broadcast(idf), "word", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    vec = write_through(vec.select("seg", "word", "tf", "v"), "licence-vectors")
-    norm = vec.groupBy("seg").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("tf").alias("n_words"))
-    dot = vec.join(F.broadcast(weights), "word").groupBy("seg", "template", "license").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
-    best = dot.groupBy("seg").agg(F.max(F.struct("dot", -F.col("template"), "license")).alias("b"))
-    return best.join(norm, "seg").select("seg", "n_words", F.col("b.license").alias("license"), (F.col("b.dot") / F.col("norm")).alias("score"))
+    vec = write_through(vec.select("id", "word", "tf", "v"), "licence-vectors")
+    norm = vec.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("tf").alias("n_words"))
+    dot = vec.join(F.broadcast(weights), "word").groupBy("id", "template", "license").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
+    best = dot.groupBy("id").agg(F.max(F.struct("dot", -F.col("template"), "license")).alias("b"))
+    return segs.join(best.join(norm, "id"), "id").select("seg", "n_words", F.col("b.license").alias("license"), (F.col("b.dot") / F.col("norm")).alias("score"))
 
 
 def scan(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
@@ -93,19 +106,46 @@ def scan(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) ->
     """
     files = files.select("k_id", "k_hash", F.coalesce("path", F.lit("")).alias("path"), text_of("text").alias("text")) \
         .withColumn("named", F.col("path").rlike(LICENCE_FILE))
-    cut = F.filter(F.split("text", SENTENCE), lambda s: s.rlike(CUE))
+    cued = lambda c: F.filter(c, lambda x: x.rlike(CUE))
+    blocks = F.transform(cued(F.split("text", BLANK)), lambda x: F.regexp_replace(x, WRAP, " "))
+    # A line's own sentences come out once; joined ones only where they aren't such.
+    lines = cued(F.split("text", SENTENCE))
+    joined = F.array_except(cued(F.flatten(F.transform(blocks, lambda x: F.split(x, SENTENCE)))), lines)
     whole = F.when(F.col("named"), F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    tags = F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))
+    # The names of an expression, without what follows WITH, joiners and brackets.
+    tags = F.flatten(F.transform(tags, lambda x: F.filter(F.split(F.regexp_replace(x, r"[\x20\t]WITH[\x20\t]+[^\x20\t]+|[()]", ""), r"[\x20\t]+"),
+                                                          lambda y: ~y.isin("OR", "AND", ""))))
+    of_kind = lambda k, c: F.transform(c, lambda x: F.struct(F.lit(k).alias("kind"), F.trim(x).alias("seg")))
+    pieces = [of_kind(*x) for x in ((LINE, lines), (BLOCK_SENTENCE, joined), (BLOCK, blocks), (WHOLE, whole), (TAG, tags))]
     n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     rows = write_through(files.filter(F.col("text").rlike(CUE) | F.col("named"))
-                         .select("k_id", "k_hash", "path", "named", n_words.alias("total"), F.explode(F.concat(cut, whole)).alias("seg"))
-                         .withColumn("seg", F.trim("seg")), "licence-sentences")
-    scored = write_through(sentence_licences(rows, templates), "licence-scores")
-    hits = rows.join(scored, "seg")
+                         .select("k_id", "k_hash", "path", "named", n_words.alias("total"), F.explode(F.concat(*pieces)).alias("p"))
+                         .select("k_id", "k_hash", "path", "named", "total", "p.kind", "p.seg"), "licence-sentences")
+    scored = sentence_licences(rows.filter(F.col("kind") != TAG), templates)
+    full = sentence_licences(rows.filter(F.col("kind").isin(BLOCK_SENTENCE, BLOCK, WHOLE)), headers())
+    scored = scored.select("*", F.lit(False).alias("by_header")).unionByName(full.select("*", F.lit(True).alias("by_header")))
+    for family, words in NEEDS:
+        scored = scored.withColumn("score", F.when(F.col("license").startswith(family) & ~F.col("seg").rlike(words), 0.0).otherwise(F.col("score")))
+    # The Affero licence is the GPL nearly word for word; the title tells them apart.
+    scored = scored.withColumn("license", F.when((F.col("license") == "GPL-3.0") & F.lower("seg").rlike(r"^\W*gnu affero"), "AGPL-3.0").otherwise(F.col("license")))
+    scored = write_through(scored, "licence-scores")
+    known = F.create_map(*[F.lit(x) for lic in sorted({t[0] for t in (*templates, *headers())}) for x in (lic.lower(), lic)])
+    plain = F.regexp_replace("seg", r"(?i)(-only|-or-later|\+)$", "")
+    said = rows.filter(F.col("kind") == TAG).select("*", F.lit(2).cast("long").alias("n_words"),
+                                                    F.coalesce(known[F.lower(plain)], plain).alias("license"), F.lit(1.0).alias("score"))
+    hits = rows.join(scored, "seg").filter((F.col("kind") != TAG) & (~F.col("by_header") | (F.col("kind") != LINE))).drop("by_header")
+    hits = hits.unionByName(said.select(*hits.columns))
     good = F.col("score") >= threshold
-    own = hits.groupBy("k_id", "k_hash", "path").agg(
-        F.max_by(F.when(good, F.col("license")), F.struct("score", "license")).alias("own_license"), F.max("score").alias("score"),
-        F.count_distinct(F.when(good, F.col("license"))).alias("n_licenses"),
-        F.max("named").alias("named"), F.max("total").alias("total"), F.sum(F.when(good, F.col("n_words"))).alias("licence_words"))
+    best = F.struct(good.alias("good"), F.when(good, F.greatest(F.col("kind"), F.lit(BLOCK))).alias("rank"), "score", "license")
+    covered = [F.coalesce(F.sum(F.when(good & F.col("kind").isin(*k), F.col("n_words"))), F.lit(0)) for k in ((LINE,), (BLOCK_SENTENCE,), (BLOCK,), (WHOLE,), (TAG,))]
+    own = hits.groupBy("k_id", "k_hash", "path", "kind", "seg", "named", "total").agg(
+        F.max(best).alias("best"), F.max("n_words").alias("n_words")) \
+        .select("k_id", "k_hash", "path", "kind", "named", "total", "n_words", "best.*") \
+        .groupBy("k_id", "k_hash", "path").agg(
+        F.max_by(F.when(F.col("good"), F.col("license")), F.struct("good", "rank", "score", "license")).alias("own_license"), F.max("score").alias("score"),
+        F.count_distinct(F.when(F.col("good"), F.col("license"))).alias("n_licenses"),
+        F.max("named").alias("named"), F.max("total").alias("total"), F.greatest(*covered).alias("licence_words"))
     own = write_through(own, "licence-own")
     everyone = files.select("k_id", "k_hash", "path").withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))
     all_ = write_through(everyone, "licence-paths")

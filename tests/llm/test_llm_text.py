@@ -181,6 +181,33 @@ def test_inheritance_from_the_nearest_ancestor(spark):
     assert got["other/q.py"].own_license is None and got["other/q.py"].score < license_scan.THRESHOLD and got[""].license == "MIT"
 
 
+def test_wrapped_headers_tags_and_whole_licences(spark):
+    from sigbg.llm import license_texts
+    whole = dict(license_texts.headers()[-7:])
+    gpl = ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+           "the Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n\n"
+           "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+           "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n")
+    apache = ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n'
+              "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n")
+    hashed = lambda t: "".join(f"# {x}\n" for x in t.splitlines())
+    starred = lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */\n"
+    code = "\nimport os\n\ndef f(x):\n    return x\n" * 20
+    rows = [("a1/x.py", hashed(gpl) + code, "GPL-2.0"), ("a2/x.c", starred("Copyright 2020 A. Person\n\n" + gpl) + code, "GPL-2.0"),
+            ("a3/x.c", starred(gpl.replace("version 2", "version 3")) + code, "GPL-3.0"), ("a4/x.py", gpl + code, "GPL-2.0"),
+            ("a5/x.c", starred(gpl.replace("General", "Lesser General").replace("version 2", "version 2.1")) + code, "LGPL-2.1"),
+            ("a6/x.go", hashed(apache).replace("#", "//") + code, "Apache-2.0"), ("a7/x.py", "# SPDX-License-Identifier: Apache-2.0" + code, "Apache-2.0"),
+            ("a8/x.py", "SPDX-License-Identifier: MIT" + code, "MIT"), ("a9/x.c", "// SPDX-License-Identifier: GPL-2.0-or-later" + code, "GPL-2.0"),
+            ("b1/x.c", "/* SPDX-License-Identifier: (GPL-2.0 WITH Linux-syscall-note) */" + code, "GPL-2.0"),
+            ("b2/LICENSE", "GNU GENERAL PUBLIC LICENSE", None), ("b3/x.py", "# GNU GENERAL PUBLIC LICENSE" + code, None),
+            ("b4/COPYING", whole["GPL-2.0"][:1500], "GPL-2.0"),
+            ("b5/x.py", "# This work is licensed under the GNU General\n# Public License, version 3.\n" + code, "GPL-3.0")]
+    rows += [(f"whole/{lic}/LICENSE", t, lic) for lic, t in whole.items()] + [(f"whole/{lic}/src/x.py", "code", lic) for lic in whole]
+    df = spark.createDataFrame([(i, i, p, t) for i, (p, t, _) in enumerate(rows)], "k_id long, k_hash long, path string, text string")
+    got = {r.path: r.license for r in license_scan.scan(df).collect()}
+    assert got == {p: lic for p, _, lic in rows}
+
+
 def test_license_edge_cases(spark):
     got = license_scan.scan_documents(with_clashes(edge_docs(spark))).collect()
     assert len(got) == len(edge_rows()) and all(r.license is None for r in got)
