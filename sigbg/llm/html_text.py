@@ -3,7 +3,8 @@
 A page is cut into text blocks at block-level tags.  Each block has its word
 count, its link density and those of the blocks before and after it, and a few
 marks of where it stands (inside an article, inside menus, notices, forms and
-the like by tag, role, class or id).  A Spark ML decision tree, trained on the
+the like by tag, role, class or id).  What wraps the main part, or most of a
+page without one, speaks against nothing (``_wrappers``).  A Spark ML decision tree, trained on the
 small labelled table of ``labelled_blocks``, says which blocks are main text.
 The tree has a few dozen nodes and goes to the tasks as a list.
 """
@@ -56,11 +57,35 @@ def _marks(tag: str, attrs: dict[str, str], in_main: bool) -> tuple[int, bool, b
     return side, main, hidden
 
 
+def _wrappers(out: list[dict], elements: list[list]) -> set[int]:
+    """Marked elements that hold the main part or, without one, most of the page's words.
+
+    The main part is the opening element with most words, each mark around it
+    quartering them unless it holds most of the page, so that an article beside
+    its comments is the main part.
+    ``elements`` holds [marks, whether it opens the main part, words] of each.
+    """
+    for b in out:
+        for e in b["chain"]:
+            elements[e][2] += b["words"]
+    openers: dict[tuple, list] = {}
+    for b in out:
+        for k, e in enumerate(b["chain"]):
+            if elements[e][1]:
+                openers[b["chain"][:k + 1]] = elements[e]
+    half = sum(b["words"] for b in out) / 2
+    if openers:
+        marks = lambda chain: sum(elements[e][0] for e in chain if elements[e][2] <= half)
+        return set(max(openers, key=lambda chain: openers[chain][2] / 4 ** marks(chain)))
+    return {e for b in out for e in b["chain"] if elements[e][2] > half}
+
+
 def blocks(page: str) -> list[dict]:
     """Text blocks of a page in order, with their features (and the training mark y where given)."""
     out: list[dict] = []
-    stack: list[tuple] = []                # tag, side marks, in main, silent, heading, y
-    state = (0, False, False, False, None)
+    stack: list[tuple] = []                # tag, state around it
+    state = ((), False, False, False, None)   # marked or opening elements around, in main, silent, heading, y
+    elements: list[list] = []
     parts: list[str] = []
     linked = 0
     link = False
@@ -70,8 +95,8 @@ def blocks(page: str) -> list[dict]:
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
             n = len(text.split())
-            side, main, _, heading, y = state
-            out.append({"text": text, "words": n, "links": min(1.0, linked / n), "in_main": int(main), "side_marks": side,
+            chain, main, _, heading, y = state
+            out.append({"text": text, "words": n, "links": min(1.0, linked / n), "in_main": int(main), "chain": chain,
                         "heading": int(heading), "ends_sentence": int(text[-1] in ".!?:;…\"'”)"), "y": y})
         parts, linked = [], 0
 
@@ -117,16 +142,23 @@ def blocks(page: str) -> list[dict]:
             continue
         if block and stack and (stack[-1][0] == "p" or (stack[-1][0] == tag and tag in ("li", "dt", "dd", "option", "tr", "td"))):
             state = stack.pop()[1]          # these end where the next block begins
-        side, main, silent, heading, y = state
+        chain, main, silent, heading, y = state
         attrs = {a.group(1).lower(): (a.group(2) or a.group(3) or a.group(4) or "") for a in ATTR.finditer(m.group(3) or m.group(6) or "")}
         s, opens, hidden = _marks(tag, attrs, main)
         stack.append((tag, state))
-        state = (side + s, main or opens, silent or hidden or tag in SILENT_TAGS, tag in HEADINGS, attrs.get("y", y))
+        s = 0 if tag in ("html", "body") else s
+        if s or (opens and not main):
+            chain = (*chain, len(elements))
+            elements.append([s, opens and not main, 0])
+        state = (chain, main or opens, silent or hidden or tag in SILENT_TAGS, tag in HEADINGS, attrs.get("y", y))
         if tag in RAW_TAGS:
             stop = re.compile(rf"</{tag}\b", re.I).search(page, pos)
             pos = stop.start() if stop else end
     flush()
     has_main = int(any(b["in_main"] for b in out))
+    wrappers = _wrappers(out, elements)
+    for b in out:
+        b["side_marks"] = sum(elements[e][0] for e in b.pop("chain") if e not in wrappers)
     for i, b in enumerate(out):
         b["page_has_main"] = has_main
         for name, j in (("before", i - 1), ("after", i + 1)):
@@ -161,6 +193,9 @@ LABELLED_PAGES = (
     '<body><main y=1><p><a href="1">N12</a> N8.</p><p>N2 <a href="2">N1</a></p><h3>N3</h3><p><a href="3">N6</a>.</p></main><div y=0><a href="4">N3</a></div></body>',
     '<body><p y=1>N40.</p><p y=1>N62.</p><p y=1>N5.</p><p y=1>N37.</p></body>',
     '<body><article y=1><h1>N4</h1><p>N1.</p></article><footer y=0>N30.</footer></body>',
+    '<body class="single has-sidebar"><nav y=0><a href="1">N2</a></nav><div id="page" class="site has-footer"><article class="post comments-open" y=1>'
+    '<h1>N6</h1><p>N48.</p><p>N3.</p><p>N37.</p></article><div class="comments" y=0><p>N26.</p></div></div><div class="footer" y=0>N9</div></body>',
+    '<body><form id="page" class="has-sidebar"><div y=1><p>N50.</p><p>N42.</p><p>N38.</p></div><div class="sidebar" y=0><p>N11.</p></div></form></body>',
     '<body><div class="header" y=0><p>N10.</p></div><p y=1>N34.</p><p y=1>N44.</p><ul class="social" y=0><li><a href="1">N1</a><li>N2</ul></body>',
 )
 SCALES = (0.3, 0.6, 1.0, 1.6, 2.5, 4.0)

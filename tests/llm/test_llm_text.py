@@ -59,6 +59,22 @@ def test_page_edge_cases(spark, tree):
     assert html_text.extract(df.limit(0), tree).count() == 0
 
 
+def test_classes_of_wrappers_speak_against_nothing(tree):
+    words = lambda n: " ".join(["word"] * n)
+    article = f"<h1>{words(6)}</h1><p>{words(50)}.</p><p>{words(3)}.</p><p>{words(40)}.</p>"
+    side = f'<div class="comments"><article class="comment"><p>{words(31)}.</p></article></div><div class="sidebar"><p>{words(29)}.</p></div>'
+    for before, after in (("<html class='has-menu'><body class='single has-sidebar'><article>", "</article>"),
+                          ("<body><div id='page' class='site has-footer'><main>", "</main></div>"),
+                          ("<body><article class='post comments-open'>", "</article>"),
+                          ("<body class='search'><div class='site has-footer'><div class='content'>", f"{side}</div></div>"),
+                          ("<body><form class='share tags'><article>", "</article></form>")):
+        for more in ("", side):
+            found = html_text.blocks(before + article + after + more + "</body>")
+            main = [b["words"] for b in found if html_text.is_main(b, tree)]
+            assert main == [6, 50, 3, 40], (before, more, main)
+
+
+
 # --- chunks ------------------------------------------------------------------------------------
 
 def test_gear_hash_depends_on_the_window_only():
