@@ -2,11 +2,10 @@
 
 Texts are read as words (A-Z lower-cased, split at ASCII white space).  A gear
 hash runs over the bytes; of any ``AMONG`` adjoining words, the one with the
-smallest hash of the last ``WINDOW`` bytes at its end is a boundary, so
+smallest hash of the last ``WINDOW`` bytes at its end (the last of equals) is a boundary, so
 boundaries move with the text, an insertion only disturbs what it touches, and
 a passage has the same ones in every document from its first ``AMONG`` words
-on.  Inside one word over and over none is picked; there one is set every
-``MAX_GAP`` words.  A chunk begins at every boundary and
+on.  A chunk begins at every boundary and
 ends at the first boundary at least ``MIN_WORDS`` words on.  Chunks are
 deduplicated by their 64-bit digests; a chunk whose digest occurs under two
 document ids is repeated, and adjoining or overlapping repeated chunks of a
@@ -28,7 +27,6 @@ from .common import NULL_ID, row_key, text_of
 
 WINDOW = 16
 AMONG = 4
-MAX_GAP = 8
 MIN_WORDS = 16
 MIN_PASSAGE = 24
 GEAR = np.random.default_rng(5).integers(0, 1 << WINDOW, 256, dtype=np.uint32)
@@ -55,14 +53,10 @@ def chunks_of(text: bytes) -> tuple[np.ndarray, list[int]]:
     data = np.frombuffer(flat, dtype=np.uint8)
     ends = np.append(np.flatnonzero(data == 32), len(data))            # the byte after each word
     h = gear_hashes(data)[ends[:-1] - 1]
-    h = np.where(np.append(False, h[1:] == h[:-1]), 1 << WINDOW, h)    # one word over and over picks none
     near = np.lib.stride_tricks.sliding_window_view(h, AMONG)[:, ::-1]
     pick = np.argmin(near, axis=1)
-    at = np.arange(len(near)) + AMONG - 1 - pick
-    cut = at[h[at] < (1 << WINDOW)] + 1                                # a chunk may begin at these words
+    cut = np.arange(len(near)) + AMONG - pick                          # a chunk may begin at these words
     cut = np.unique(np.concatenate([[0], cut, [n]]))
-    more = (np.diff(cut) - 1) // MAX_GAP                               # boundaries to set after each one
-    cut = np.sort(np.concatenate([cut, np.repeat(cut[:-1], more) + MAX_GAP * (np.arange(more.sum()) + 1 - np.repeat(np.cumsum(more) - more, more))]))
     start = cut[:-1]
     at = np.searchsorted(cut, start + MIN_WORDS)
     start, end = start[at < len(cut)], cut[at[at < len(cut)]]
