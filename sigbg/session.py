@@ -57,7 +57,9 @@ def ship_package(spark: SparkSession) -> None:
     """Give the workers this package, once an application: a zip served by the driver.
 
     Python functions that run in tasks import their module there; on a cluster
-    the workers' import path doesn't hold the driver's folders.
+    the workers' import path doesn't hold the driver's folders.  A function
+    takes the list of shipped files along when it is bound to a plan, so this
+    must come before any plan: table scans and scratch paths call it.
     """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
@@ -68,7 +70,7 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, files in os.walk(root):
             for f in sorted(files):
-                if f.endswith(".py"):
+                if "__pycache__" not in folder:
                     full = os.path.join(folder, f)
                     z.write(full, os.path.join(name, os.path.relpath(full, root)))
     sc.addPyFile(path)

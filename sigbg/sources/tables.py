@@ -11,6 +11,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -22,6 +24,7 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: Sequence[str] | None = None) -> DataFrame:
     """Scan a named table; optional column list is pruned into the scan."""
+    ship_package(spark)
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
 
@@ -33,7 +36,7 @@ def read_pruned(spark: SparkSession, sf_dir: str, name: str, keep_substrings: It
     Order of the table is kept, duplicates removed, and ``first`` (the label)
     re-appended in front, as the reference's branch pruning does.
     """
-    df = spark.read.parquet(table_path(sf_dir, name))
+    df = read_table(spark, sf_dir, name)
     cols = pruned_columns(df.columns, keep_substrings, first)
     return df.select(*cols)
 
