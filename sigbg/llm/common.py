@@ -25,23 +25,32 @@ def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             F.xxhash64(docs[text_col].cast("string")))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """64-bit hash of all columns: tells rows of one identity apart; maps count by their JSON."""
+    cols = [docs[c] if "map<" not in t else F.to_json(F.struct(docs[c])) for c, t in docs.dtypes]
+    return F.xxhash64(*cols, *[docs[c].isNull() for c in docs.columns])
+
+
 def restrict(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` named by ``kept(k_id, k_hash, k_n)``: ``k_n`` rows per identity.
 
     All columns of ``docs`` come back unchanged and nothing else, whatever
-    their names.  The whole texts move once, on the identity; identical rows
-    are told apart by a row number so that exactly ``k_n`` rows come out.
+    their names.  The whole texts move once, on the identity.  Rows of one
+    identity that differ elsewhere are numbered in the order of a hash of all
+    columns: the first ``k_n`` come out once each; where ``k_n`` is more than
+    there are, copies go round all of them.  Reruns give the same rows.
     """
     from pyspark.sql import Window
 
     cols = docs.columns
     kid, kh = row_key(docs, id_col, text_col)
-    packed = docs.select(kid.alias("k_id"), kh.alias("k_hash"),
+    packed = docs.select(kid.alias("k_id"), kh.alias("k_hash"), row_hash(docs).alias("k_row"),
                          F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(cols)]).alias("row"))
     j = packed.join(kept.select("k_id", "k_hash", "k_n"), ["k_id", "k_hash"])
-    w = Window.partitionBy("k_id", "k_hash").orderBy("k_n")
-    one = j.withColumn("k_i", F.row_number().over(w)).filter("k_i = 1")
-    out = one.withColumn("k_copy", F.explode(F.expr("sequence(1, cast(k_n as int))")))
+    w = Window.partitionBy("k_id", "k_hash")
+    ranked = j.withColumn("k_i", F.row_number().over(w.orderBy("k_row"))).withColumn("k_rows", F.count(F.lit(1)).over(w))
+    taken = ranked.filter("k_i <= k_n")
+    out = taken.withColumn("k_copy", F.explode(F.expr("sequence(0, cast(k_n - k_i as int), cast(k_rows as int))")))
     return out.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(cols)])
 
 

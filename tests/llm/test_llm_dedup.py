@@ -84,6 +84,30 @@ def test_restrict_keeps_columns_and_counts(spark):
     assert {r.kept for r in out.select("kept").collect()} == {"xkept"} and CLASHING
 
 
+def test_restrict_returns_the_rows_asked_for(spark):
+    """Rows of one id and text that differ elsewhere come out once each; more copies go round all of them."""
+    from pyspark.sql import functions as F
+
+    from sigbg.llm.common import row_key
+    docs = spark.createDataFrame([(1, "same text", "en", "A", 9), (1, "same text", "en", "B", 9), (1, "same text", None, "A", 9),
+                                  (2, "", "en", "A", 0), (2, None, "en", "A", 0), (3, "alone", "en", "C", 5)], SCHEMA)
+    kid, kh = row_key(docs)
+
+    def run(n):
+        kept = docs.select(kid.alias("k_id"), kh.alias("k_hash")).distinct().withColumn("k_n", F.lit(n))
+        return sorted((r.doc_id, str(r.text), str(r.lang), r.source) for r in restrict(docs, kept).collect())
+
+    all_rows = sorted((r.doc_id, str(r.text), str(r.lang), r.source) for r in docs.collect())
+    once = run(1)
+    assert len(once) == 4 and set(once) <= set(all_rows) and once == run(1)
+    two = run(2)
+    assert len([r for r in two if r[0] == 1]) == 2 and len(set(r for r in two if r[0] == 1)) == 2
+    assert [r for r in two if r[0] == 3] == [all_rows[-1]] * 2
+    three = run(3)
+    assert [r for r in three if r[0] == 1] == [r for r in all_rows if r[0] == 1]
+    assert sorted(set(run(7))) == all_rows and len([r for r in run(7) if r[0] == 1]) == 7
+
+
 # --- near dedup --------------------------------------------------------------------------------
 
 def near_rows(seed=1, families=25):
