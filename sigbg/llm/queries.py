@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (chunk_dedup, cuckoo_dedup, curve_packing, html_text, license_scan, near_dedup, pfor_files, quality_lm,
-               spot_signatures, systematic_mix)
+from . import (burst_trie, chunk_dedup, cuckoo_dedup, curve_packing, hard_negatives, html_text, license_scan, near_dedup,
+               pfor_files, quality_lm, spot_signatures, systematic_mix, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,3 +80,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_spot_signatures")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spot_signatures.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_hard_negatives", hard_negatives.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = read_table(spark, sf_dir, "embeddings") \
+        .withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(rows)
+
+
+@_query("op12_conversation_trie", burst_trie.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return burst_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
+@_query("op13_warc_index", warc.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read_table(spark, sf_dir, "pages")) \
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
