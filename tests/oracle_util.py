@@ -18,6 +18,11 @@ def duck(sql: str, sf_dir: str) -> pd.DataFrame:
     return con.sql(sql).df()
 
 
+def frame(df) -> pd.DataFrame:
+    """A Spark result with its nulls as None (pandas would make a long column with nulls a float one)."""
+    return pd.DataFrame([tuple(r) for r in df.collect()], columns=df.columns, dtype=object)
+
+
 def _norm(v):
     if v is None:
         return None

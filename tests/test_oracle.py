@@ -4,14 +4,14 @@ import pytest
 
 import __spark_entry__ as ent
 from conftest import SF_SMALL
-from oracle_util import compare, duck
+from oracle_util import compare, duck, frame
 
 SQL = ent.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, name):
-    sp = ent.queries()[name](spark, SF_SMALL).toPandas()
+    sp = frame(ent.queries()[name](spark, SF_SMALL))
     ok, msg = compare(sp, duck(SQL[name], SF_SMALL))
     assert ok, msg
 
