@@ -4,8 +4,9 @@ The curve is built on the *distinct scores*, as they are: rows are first
 reduced with a partial aggregate to one row per (group, score) carrying
 (tp_s, fp_s), so the only data that is ever ordered is the set of distinct
 scores, and its running sums use the blocked prefix helper -- no single-task
-window over the full table.  Blocks are quantiles of the distinct scores, so
-saturated scores (many values within a hair of 0 or 1) spread like any others.
+window over the full table.  Blocks come from an exact radix count of the
+distinct scores, so saturated ones (many values within a hair of 0 or 1) spread
+like any others.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_through
-from .prefix import join_group_stats, running, value_blocks
+from .blocks import value_blocks
+from .prefix import join_group_stats, running
 
 
 def score_counts(df: DataFrame, label: str = "labels", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
@@ -35,22 +37,22 @@ def score_counts(df: DataFrame, label: str = "labels", score: str = "score", by:
     return write_through(counts, "score-counts")
 
 
-def cumulative_counts(counts: DataFrame, by: Sequence[str] = (), n_blocks: int | None = None) -> DataFrame:
+def cumulative_counts(counts: DataFrame, by: Sequence[str] = (), rows_per_block: int | None = None) -> DataFrame:
     """Descending running tp/fp over distinct scores (inclusive)."""
-    blocked = value_blocks(counts, "score", n_blocks=n_blocks)
+    blocked = value_blocks(counts, "score", rows_per_block)
     return running(blocked, order=["score"], values={"tp": "tp_s", "fp": "fp_s"},
                    block="_vblk", partition_by=by, descending=True)
 
 
 def roc_curve(df: DataFrame, label: str = "labels", score: str = "score", by: Sequence[str] = (),
-              n_blocks: int | None = None) -> DataFrame:
+              rows_per_block: int | None = None) -> DataFrame:
     """K3: one row per distinct score (threshold) plus the (0,0) start point.
 
     Columns: [by...], threshold, tp, fp, tpr, fpr (threshold null for the start).
     """
     counts = score_counts(df, label, score, by)
     total = counts.groupBy(*by).agg(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"))
-    cum = cumulative_counts(counts, by, n_blocks).select(*by, F.col("score").alias("threshold"), "tp", "fp")
+    cum = cumulative_counts(counts, by, rows_per_block).select(*by, F.col("score").alias("threshold"), "tp", "fp")
     starts = total.select(*by, F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("bigint").alias("tp"),
                           F.lit(0).cast("bigint").alias("fp"))
     if not by:
@@ -71,12 +73,12 @@ def efficiency_rejection(roc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def auc(df: DataFrame, label: str = "labels", score: str = "score", by: Sequence[str] = (),
-        n_blocks: int | None = None) -> DataFrame:
+        rows_per_block: int | None = None) -> DataFrame:
     """K4: trapezoidal area under the ROC = P(score+ > score-) + 0.5 P(tie).
 
     Sum over distinct scores of fp_s * (tp strictly above + tp_s / 2), / (P N).
     """
-    cum = cumulative_counts(score_counts(df, label, score, by), by, n_blocks)
+    cum = cumulative_counts(score_counts(df, label, score, by), by, rows_per_block)
     part = cum.groupBy(*by).agg(
         F.sum(F.col("fp_s") * (F.col("tp") - F.col("tp_s") / F.lit(2.0))).alias("_num"),
         F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"))

@@ -6,7 +6,7 @@ batch numbering all need such running totals over a global order, so they
 share this helper:
 
 1. every row gets a *block* id that is a monotone function of the order key
-   (hash prefix for md5 orders, approximate-quantile edges for values);
+   (hash prefix for md5 orders, ``blocks.value_blocks`` for values);
 2. the running total inside each (partition, block) is a window over that
    block only (the one full shuffle, on the block keys);
 3. per (partition, block) totals are a partial aggregate of the input (a
@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,29 +137,3 @@ def fixed_blocks(key, lo: int, hi: int, n_blocks: int) -> Column:
     width = (hi - lo + 1) / float(n_blocks)
     b = F.floor((k.cast("double") - F.lit(float(lo))) / F.lit(width)).cast("int")
     return F.least(F.greatest(b, F.lit(0)), F.lit(n_blocks - 1))
-
-
-def value_blocks(df: DataFrame, col: str, n_blocks: int | None = None, rows_per_block: int = 100_000,
-                 accuracy: int = 10000, out: str = "_vblk") -> DataFrame:
-    """Add a block id that is monotone in ``col`` and balanced by row count.
-
-    Edges are approximate quantiles (one small aggregate job that also counts
-    the rows; without ``n_blocks`` there is a block for every
-    ``rows_per_block`` rows) frozen as literal splits, so every later stage of
-    the plan sees the same assignment even when tasks are recomputed.
-    Bucketizer does a binary search per row in the JVM.
-    """
-    value = F.col(col).cast("double")
-    if n_blocks is None:
-        n_blocks = -(-df.count() // rows_per_block)
-    edges: list[float] = []
-    if n_blocks > 1:
-        probs = [i / n_blocks for i in range(1, n_blocks)]
-        row = df.select(F.percentile_approx(value, probs, max(accuracy, 4 * n_blocks)).alias("e")).first()
-        edges = sorted({float(e) for e in (row["e"] or []) if e is not None and e == e})
-    if not edges:                                        # one block: an empty table, one value, few rows
-        return df.withColumn(out, one_group(col))
-    splits = [float("-inf")] + edges + [float("inf")]
-    bz = Bucketizer(splits=splits, inputCol="_bz_in", outputCol="_bz_out", handleInvalid="keep")
-    d = bz.transform(df.withColumn("_bz_in", value))
-    return d.withColumn(out, F.col("_bz_out").cast("int")).drop("_bz_in", "_bz_out")

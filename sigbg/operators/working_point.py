@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_through
+from .blocks import value_blocks
 from .hist import histogram
-from .prefix import row_number, running, value_blocks
+from .prefix import row_number, running
 
 
 def rejection_working_point(df: DataFrame, key: str, label: str = "labels", score: str = "score",
@@ -38,10 +39,21 @@ def rejection_working_point(df: DataFrame, key: str, label: str = "labels", scor
     if at is None:                                       # fewer scored rows than asked for: all of them
         return bkg.filter(value.isNotNull()), real.agg(F.min("_s")).first()[0]
     above, ties = bkg.filter(value > F.lit(at["_s"])), bkg.filter(value == F.lit(at["_s"]))
+    ties = write_through(ties, "working-point-ties")
     first = row_number(value_blocks(ties, key), order=[key], block="_vblk").filter(F.col("rn") <= at["need"]).drop("rn", "_vblk")
     return above.unionByName(first), at["_s"]
 
 
+def global_rank(df: DataFrame, order: str, key: str, name: str = "rank", rows_per_block: int | None = None) -> DataFrame:
+    """1-based place of every row in the order of (``order``, ``key``), nulls first; no task holds more than a block.
+
+    Rows of one value of ``order`` are one block; ``key`` breaks its ties.
+    """
+    d = write_through(df, "global-rank")
+    ranked = row_number(value_blocks(d, order, rows_per_block, "_gr_blk"), order=[order, key], block="_gr_blk", name="_gr")
+    return ranked.withColumn(name, F.col("_gr").cast("bigint")).drop("_gr", "_gr_blk")
+
+
 def working_point_summary(df: DataFrame, key: str, label: str = "labels", score: str = "score",
                           rejection: float = 0.995) -> DataFrame:
     """K1 summary row: threshold, background kept, signal kept (score > threshold), efficiencies."""

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import curves
 from ..operators import working_point as wp
+from ..operators.blocks import value_blocks
+from ..operators.prefix import one_group
+from ..session import write_through
 from ..sources.fixtures import EVT_SQL, evt, with_views
+from ..sources.tables import read_table
 from .registry import register
 from .sqlgen import hist_sql
 
@@ -45,6 +50,26 @@ def k1_close_scores(spark, sf):
     return wp.rejection_working_point(e, "event_id", rejection=REJECTION)[0].select("event_id")
 
 
+@register("k1_global_rank", EVT + """SELECT event_id, row_number() OVER (ORDER BY value NULLS FIRST, event_id) AS rank FROM evt""")
+def k1_global_rank(spark, sf):
+    """Place of every event in the order of its value, over blocks of 200 rows."""
+    return wp.global_rank(evt(spark, sf), "value", "event_id", rows_per_block=200).select("event_id", "rank")
+
+
+@register("k2_block_edges", """
+WITH c AS (SELECT l_extendedprice AS v, COUNT(*) AS n FROM lineitem GROUP BY ALL)
+SELECT SUM(n)::BIGINT AS n_rows, COUNT(*) AS n_values, TRUE AS ordered, TRUE AS bounded FROM c""")
+def k2_block_edges(spark, sf):
+    """Blocks of at most 100 distinct prices: they hold all rows, follow each other in order, and none is overfull."""
+    c = write_through(read_table(spark, sf, "lineitem", ["l_extendedprice"]).groupBy("l_extendedprice").agg(F.count(F.lit(1)).alias("n")), "prices")
+    b = value_blocks(c, "l_extendedprice", 100).groupBy("_vblk").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
+    nxt = F.lead("lo").over(Window.partitionBy(one_group("_vblk")).orderBy("_vblk"))       # one row a block
+    return b.withColumn("next", nxt).agg(F.sum("n").alias("n_rows"), F.sum("rows").alias("n_values"),
+                                         F.min(F.coalesce(F.col("hi") < F.col("next"), F.lit(True))).alias("ordered"),
+                                         (F.max("rows") <= 200).alias("bounded"))
+
+
 _SCULPT_IN = """sc AS (
   SELECT 'bkg' AS sample, mbc FROM evt WHERE labels < 0.5
   UNION ALL SELECT 'bkg_post', mbc FROM post

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pandas as pd
@@ -15,7 +16,8 @@ def duck(sql: str, sf_dir: str) -> pd.DataFrame:
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
-    return con.sql(sql).df()
+    rel = con.sql(sql)
+    return pd.DataFrame(rel.fetchall(), columns=rel.columns, dtype=object)
 
 
 def frame(df) -> pd.DataFrame:
@@ -26,6 +28,8 @@ def frame(df) -> pd.DataFrame:
 def _norm(v):
     if v is None:
         return None
+    if isinstance(v, Decimal):
+        v = float(v)
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"

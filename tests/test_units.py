@@ -78,9 +78,9 @@ def test_roc_monotone_and_auc_symmetry(spark):
 def test_auc_does_not_depend_on_blocks_or_scale(spark):
     rows = [(int(i % 3 == 0), float(i * 37 % 200) * 3.5 - 100.0) for i in range(200)]
     df = _df(spark, rows, "labels int, score double")
-    a = curves.auc(df, n_blocks=1).first()["auc"]
-    b = curves.auc(df, n_blocks=37).first()["auc"]
-    c = curves.auc(df.withColumn("score", F.col("score") * 1e-14 + 0.5), n_blocks=16).first()["auc"]
+    a = curves.auc(df).first()["auc"]
+    b = curves.auc(df, rows_per_block=3).first()["auc"]
+    c = curves.auc(df.withColumn("score", F.col("score") * 1e-14 + 0.5), rows_per_block=7).first()["auc"]
     assert abs(a - b) < 1e-12 and abs(a - c) < 1e-12
 
 
