@@ -346,14 +346,14 @@ class Data:
             done.unpersist()
 
     def _level(self, state, tasks: list[dict]) -> dict[int, np.ndarray]:
-        shared = self.spark.sparkContext.broadcast(tasks)
-        parts = state.mapPartitions(lambda blocks: _histograms(blocks, shared.value))
+        # What a pass needs travels with its tasks: a broadcast of its own would cost more than the pass.
+        parts = state.mapPartitions(lambda blocks: _histograms(blocks, tasks))
         if state.getNumPartitions() > 1:
             parts = parts.reduceByKey(lambda a, b: a + b, min(state.getNumPartitions(), 4 * sum(t is not None for t in tasks)))
 
         def best(item):
             (m, c), hist = item
-            t = shared.value[m]
+            t = tasks[m]
             return m, best_splits(hist, t["features"][c:c + CHUNK], t["cuts"][c:c + CHUNK], t["lambda"], t["least"])
 
         out: dict[int, np.ndarray] = {}
@@ -364,7 +364,6 @@ class Data:
                 out[m] = np.where(better[:, None], b, a)
             else:
                 out[m] = b
-        shared.destroy()
         return out
 
 

@@ -12,13 +12,16 @@ thousands of tasks instead of one.
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_block, hash_bucket, hash_hex
-from ..session import write_through
+from ..session import ship_package, write_through
 from .prefix import join_group_stats, nullsafe_join, one_group, row_number
 
 HASH = "_h"
@@ -87,6 +90,55 @@ def shuffle(df: DataFrame, seed, key) -> DataFrame:
     return df.withColumn(HASH, hash_hex(seed, *_keys(key))).orderBy(HASH, *_keys(key)).drop(HASH)
 
 
+def buffer_shuffle(df: DataFrame, buffer: int, seed: int = 42) -> DataFrame:
+    """K9, buffered form: each partition's rows leave through a buffer of ``buffer`` rows, a random one at a time.
+
+    Nothing moves between tasks and a task holds the buffer and one batch.
+    Adds part, source_place (of the row in its partition) and place (after the
+    shuffle): a row never leaves more than ``buffer`` places early.  The draws
+    hang on seed and partition alone, so a task that runs again gives the same
+    order if its input does, as a file scan's is.
+    """
+    ship_package(df.sparkSession)
+    cols = df.columns
+
+    def task(batches):
+        part = TaskContext.get().partitionId()
+        r = random.Random(f"{seed}:{part}")
+        held, seen, given = None, 0, 0
+
+        def out(table, order):
+            nonlocal given
+            got = table.take(pa.array(order, pa.int64()))
+            places = pa.array(range(given, given + len(order)), pa.int64())
+            given += len(order)
+            return got.append_column("part", pa.array([part] * len(order), pa.int32())).append_column("place", places).to_batches()
+
+        for b in batches:
+            t = pa.Table.from_batches([b]).append_column("source_place", pa.array(range(seen, seen + b.num_rows), pa.int64()))
+            seen += b.num_rows
+            at = held.num_rows if held is not None else 0
+            t = pa.concat_tables([held, t]).combine_chunks() if at else t
+            slots, order = list(range(at)), []
+            for i in range(at, t.num_rows):
+                if len(slots) < buffer:
+                    slots.append(i)
+                else:
+                    j = r.randrange(buffer)
+                    order.append(slots[j])
+                    slots[j] = i
+            if order:
+                yield from out(t, order)
+            held = t.take(pa.array(slots, pa.int64()))
+        if held is not None and held.num_rows:
+            order = list(range(held.num_rows))
+            r.shuffle(order)
+            yield from out(held, order)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", source_place long, part int, place long"
+    return df.select(*cols).mapInArrow(task, schema)
+
+
 def hash_split(df: DataFrame, fractions: Sequence[float], seed, key, name: str = "split") -> DataFrame:
     """Split by hash bucket (approximate fractions, no shuffle at all)."""
     b = hash_bucket(seed, *_keys(key), modulo=10000)

@@ -276,3 +276,17 @@ def g11_per_channel_apply(spark, sf):
     j = h.join(pooled, "bin", "inner")
     return metrics.per_channel_apply(j, "channel", _channel_shape_stats,
                                      "channel string, n bigint, chi2 double, ndf bigint, mode_bin bigint")
+
+
+@register("g11_group_function", EVT + """
+SELECT channel, COUNT(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS spread,
+       round((list(value ORDER BY value DESC))[1], 9) AS first, round((list(value ORDER BY value DESC))[2], 9) AS second,
+       round((list(value ORDER BY value DESC))[3], 9) AS third
+FROM evt WHERE value IS NOT NULL GROUP BY channel""")
+def g11_group_function(spark, sf):
+    """A custom function over a channel's raw rows by mergeable states."""
+    from ..operators import groups
+    g = groups.apply_mergeable(evt(spark, sf), "channel", ["value"], groups.moments_and_largest("value"),
+                               "n bigint, mean double, spread double, largest array<double>")
+    return g.select("channel", "n", F.round("mean", 6).alias("mean"), F.round("spread", 6).alias("spread"),
+                    *[F.round(F.get("largest", F.lit(i)), 9).alias(c) for i, c in enumerate(("first", "second", "third"))])

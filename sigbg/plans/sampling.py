@@ -8,6 +8,7 @@ from ..functions.hashing import sql_hash_bucket, sql_hash_hex
 from ..operators import metrics
 from ..operators import sample as smp
 from ..sources.fixtures import EVT_SQL, evt, with_views
+from ..sources.tables import read_table
 from .registry import register
 
 EVT = with_views(EVT_SQL)
@@ -20,6 +21,17 @@ def k9_shuffle_rank(spark, sf):
     return smp.ranked(evt(spark, sf).select("event_id"), 42, "event_id")
 
 
+@register("k9_buffer_shuffle", """SELECT COUNT(*) AS n, SUM(event_id)::BIGINT AS ids, TRUE AS whole, TRUE AS within_buffer, TRUE AS mixed FROM events""")
+def k9_buffer_shuffle(spark, sf):
+    """K9 through a buffer of 500 rows: every place is filled once, no row is more than 500 places early, and the order changes."""
+    s = smp.buffer_shuffle(read_table(spark, sf, "events", ["event_id"]), 500)
+    per = s.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.countDistinct("place").alias("places"),
+                                F.max("place").alias("last"), F.max(F.col("source_place") - F.col("place")).alias("early"),
+                                F.sum((F.col("source_place") != F.col("place")).cast("long")).alias("moved"))
+    return per.agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.min((F.col("places") == F.col("n")) & (F.col("last") == F.col("n") - 1)).alias("whole"),
+                   (F.max("early") <= 500).alias("within_buffer"), (F.sum("moved") * 2 > F.sum("n")).alias("mixed"))
+
+
 _BATCH_SQL = EVT.rstrip() + f""",
 rep AS (SELECT evt.*, e.epoch FROM evt CROSS JOIN (SELECT CAST(range AS INTEGER) AS epoch FROM range(2)) e),
 b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY epoch ORDER BY
