@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import guarded_logit
 from ..operators import models as mdl
 from ..session import scratch_path
 from ..sources.fixtures import EVT_SQL, evt_view, vec, with_views
 from ..streaming import stream as st
+from ..streaming import windows as win
 from .registry import register
 
 EVT = with_views(EVT_SQL)
@@ -89,6 +91,46 @@ def t3_stream_pearson_late(spark, sf):
     return state.select("day", "n", F.round("r", 6).alias("r"))
 
 
+# Events come five days a micro-batch; each fortieth comes a batch late.  A window is closed by the latest event of earlier batches.
+DAYS = 5
+CLOSING_SQL = EVT.rstrip() + f""",
+d AS (SELECT *, date_diff('day', (SELECT min(ts)::DATE FROM evt), ts::DATE) AS day_no FROM evt),
+b AS (SELECT *, day_no // {DAYS} + CASE WHEN event_id % 40 = 0 THEN 1 ELSE 0 END AS batch FROM d),
+m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM b GROUP BY batch),
+l AS (SELECT b.*, m.mark IS NOT NULL AND ts::DATE + INTERVAL 1 DAY <= mark AS late FROM b JOIN m USING (batch))"""
+
+
+def _daily_stream(spark, sf):
+    """The events as one file a batch: those of DAYS days, and those of the batch before that come late."""
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    path = scratch_path(spark, "daily-events")
+    first = ev.agg(F.min(F.to_date("ts"))).first()[0]
+    no = F.floor(F.date_diff(F.to_date("ts"), F.lit(first)) / DAYS).cast("int") + F.when(F.col("event_id") % 40 == 0, 1).otherwise(0)
+    numbered = ev.withColumn("batch", no).persist()
+    for i in [r["batch"] for r in numbered.select("batch").distinct().orderBy("batch").collect()]:
+        numbered.filter(F.col("batch") == i).drop("batch").coalesce(1).write.mode("append").parquet(path)
+    numbered.unpersist()
+    return st.file_stream(spark, path, ev.schema, max_files_per_trigger=1)
+
+
+@register("t2_stream_reset", CLOSING_SQL + """
+SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(COUNT(*) FILTER (WHERE NOT late) AS BIGINT) AS n,
+       round(avg(CAST(CAST(score > 0.5 AS INTEGER) = labels AS DOUBLE)) FILTER (WHERE NOT late), 9) AS accuracy,
+       round(corr(ln(score / (1.0 - score + 1e-8) + 1e-8), mbc) FILTER (WHERE NOT late), 6) AS r,
+       CAST(COUNT(*) FILTER (WHERE late) AS BIGINT) AS n_late
+FROM l GROUP BY 1""")
+def t2_stream_reset(spark, sf):
+    """T2/T3 with closing windows: accuracy and Pearson of each day, reset when it closes, late events counted apart."""
+    out, ck = st.fresh_paths(spark, "t2-reset")
+    right = ((F.col("score") > 0.5).cast("int") == F.col("labels")).cast("long")
+    sums = win.pearson_sums(guarded_logit("score"), F.col("mbc")) | {"rows": F.lit(1).cast("long"), "correct": right}
+    store = win.WindowStore(spark, out, [], sums)
+    store.run(evt_view(_daily_stream(spark, sf)), ck)
+    day = F.date_format(F.timestamp_micros("win"), "yyyy-MM-dd").alias("day")
+    got = store.results().select("win", F.col("rows").alias("n"), F.round(F.col("correct") / F.col("rows"), 9).alias("accuracy"), F.round(win.pearson(), 6).alias("r"))
+    return got.join(store.late().withColumnRenamed("n", "n_late"), "win", "left").select(day, "n", "accuracy", "r", F.coalesce("n_late", F.lit(0)).cast("long").alias("n_late"))
+
+
 @register("t4_stream_scoring", "SELECT vec_id, TRUE AS is_probability FROM embeddings")
 def t4_stream_scoring(spark, sf):
     v = mdl.with_vector(vec(spark, sf).withColumnRenamed("embedding", "features"))
