@@ -27,6 +27,8 @@ from .prefix import join_group_stats, nullsafe_join, one_group, row_number
 HASH = "_h"
 BLK = "_hb"
 ROWS_PER_BLOCK = 100_000
+#: Draws that one row's key holds on average, in oversampling.
+SLOTS_PER_KEY = 1_000
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -177,8 +179,10 @@ def oversample(df: DataFrame, label: str, seed, key) -> DataFrame:
     largest class (exactly M rows, spread over the tasks like the data; the
     class list is a bounded array), so a tiny class never makes one task
     emit M slots.  Each slot picks a row index by md5 and is joined back on
-    (class, rank); a hot index on the small side is handled by AQE's skew
-    join or a size-checked broadcast.
+    (class, rank, share): where a class is so small that a row is drawn more
+    than SLOTS_PER_KEY times on average, its slots are dealt to shares by their
+    number and its rows are copied to each, M / SLOTS_PER_KEY copies a class at
+    most, so that no key holds many more slots than that.
     """
     sizes = class_sizes(df, label)
     classes = sizes.agg(F.collect_list(F.struct(F.col(label).alias("c"), F.col("_n").alias("n"))).alias("a"),
@@ -190,8 +194,12 @@ def oversample(df: DataFrame, label: str, seed, key) -> DataFrame:
                .select(F.col("_cls.c").alias(label), F.col("_cls.n").alias("_n"), "draw")
     h = hash_hex(seed, F.coalesce(F.col(label).cast("string"), F.lit("null")), F.col("draw"))
     pick = (F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint") % F.col("_n")) + 1
-    slots = slots.select(label, "draw", pick.alias("rn"))
-    return nullsafe_join(slots, r, [label, "rn"]).drop("rn")
+    shares = lambda n, most: F.greatest(F.ceil(most / n / SLOTS_PER_KEY), F.lit(1)).cast("int")
+    most = F.array_max(F.transform(F.col("_info.a"), lambda x: x["n"]))
+    slots = slots.withColumn("_info", info).select(label, "draw", pick.alias("rn"), F.pmod("draw", shares(F.col("_n"), most)).cast("int").alias("_share"))
+    own = F.filter(F.col("_info.a"), lambda x: x["c"].eqNullSafe(F.col(label)))[0]["n"]
+    r = r.withColumn("_info", info).withColumn("_share", F.explode(F.sequence(F.lit(0), shares(own, most) - 1))).drop("_info")
+    return nullsafe_join(slots, r, [label, "rn", "_share"]).drop("rn", "_share")
 
 
 def drop_fraction(df: DataFrame, label: str, cls: int, fraction: float, seed, key) -> DataFrame:

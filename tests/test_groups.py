@@ -48,3 +48,14 @@ def test_buffered_shuffle(spark, buffer):
         if buffer >= 400:
             assert np.mean([abs(r.source_place - r.place) for r in part]) > 100
     assert [tuple(r) for r in smp.buffer_shuffle(df, buffer).collect()] == [tuple(r) for r in got]
+
+
+def test_oversampling_splits_a_tiny_class(spark, monkeypatch):
+    """The draws don't depend on the shares; a class of one row is dealt to many keys."""
+    rows = [(i, 0) for i in range(900)] + [(5000, 1)] + [(6000 + i, None) for i in range(7)]
+    df = spark.createDataFrame(rows, "k long, y int")
+    want = sorted(((r.k, r.y) for r in smp.oversample(df, "y", 3, "k").collect()), key=str)
+    monkeypatch.setattr(smp, "SLOTS_PER_KEY", 10)
+    got = smp.oversample(df, "y", 3, "k")
+    assert sorted(((r.k, r.y) for r in got.collect()), key=str) == want
+    assert len(want) == 2700 and sum(k == 5000 for k, _ in want) == 900
