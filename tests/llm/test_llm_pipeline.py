@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 def test_registered():
     q = entry.queries()
     numbers = {n.split("_")[0] for n in q if n.startswith("op")}
-    assert numbers == {f"op{i}" for i in range(1, 11)} and "pipeline" in q
+    assert numbers == {f"op{i}" for i in range(1, 14)} and "pipeline" in q
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mix", "pack"]
 
 
