@@ -1,112 +1,155 @@
 """Quality classifier: interpolated modified Kneser-Ney n-gram model (operator 10).
 
-The model's words are symbols: every byte of the text falls into one of 32
-classes (a-z, capitals, digits, white space, punctuation, other signs, bytes of
-non-ASCII letters).  Order 4 over 32 symbols has 2**20 n-grams whatever the
-corpus, which is the proven bound of everything that is sent to all tasks.
-
-1. counts: each task sums the n-grams of its texts, trusted ones apart; one
-   row per task and n-gram moves, so what is gathered grows with the input;
-2. model: counts, continuation counts, context totals and discounts are tables
+The model's words are code points: letters of every script stand for
+themselves (from U+4000 on, hashed to 2**14 symbols), digits are one symbol,
+white space another.  The n-grams of order 4 are exact 60-bit numbers, so every
+table here grows with the texts and is dealt by n-gram, context or block; none
+goes to the driver or to all tasks.
+
+1. blocks: the documents are stored once, in blocks of ``BLOCK`` bytes of text,
+   bucketed by block, so that later passes meet other tables block by block
+   without moving the texts;
+2. counts: trusted ids are dealt to the blocks; a block gives each of its
+   distinct n-grams once, with its number in training texts;
+3. model: counts, continuation counts, context totals and discounts are tables
    dealt by n-gram or context and joined there; every n-gram type that occurs
    anywhere gets its interpolated log-probability;
-3. scores: the table (at most 2**20 floats) goes to the tasks, which sum it
-   over whole texts; a score is the mean negative log-probability, shrunk
-   towards the language's trusted mean by ``PRIOR`` symbols;
-4. thresholds: per language, quantiles of the trusted documents' scores on both
+4. scores: the distinct n-grams of each block are joined with the model, and
+   the block's texts with those; a score is the mean negative log-probability,
+   shrunk towards the language's trusted mean by ``PRIOR`` symbols;
+5. thresholds: per language, quantiles of the trusted documents' scores on both
    sides (gibberish is improbable, endless repetition too probable); see Judge.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import write_through
-from .common import NULL_ID, row_key, text_of
+from ..session import scratch_path, write_through
+from .common import NULL_ID
 
-BITS = 5
+BITS = 15
 ORDER = 4
 SYMBOLS = 1 << BITS
-TYPES = 1 << (BITS * ORDER)
 PRIOR = 64
 CHUNK = 1 << 20
+BLOCK = 1 << 24
+MAX_BUCKETS = 100_000
 
 
-def _symbol_classes() -> np.ndarray:
-    """Byte -> symbol: 0 white space, 1-26 a-z, 27 capital, 28 digit, 29 prose mark, 30 other sign, 31 above ASCII."""
-    t = np.full(256, 30, dtype=np.uint32)
-    t[[9, 10, 11, 12, 13, 32]] = 0
-    t[97:123] = np.arange(1, 27)
-    t[65:91] = 27
-    t[48:58] = 28
-    t[[ord(c) for c in ".,;:!?'\"()-"]] = 29
-    t[128:] = 31
+def _symbol_table() -> np.ndarray:
+    """Code point -> symbol: 0 white space and controls, one for all digits, itself below 2**14, hashed above."""
+    cp = np.arange(0x110000, dtype=np.uint64)
+    t = np.where(cp < SYMBOLS // 2, cp, SYMBOLS // 2 + (cp * np.uint64(0x9E3779B1) >> np.uint64(7)) % (SYMBOLS // 2)).astype(np.int64)
+    t[:33] = 0
+    t[48:58] = 48
+    t[[0xA0, 0x2028, 0x2029, 0x3000]] = 0
     return t
 
 
-CLASSES = _symbol_classes()
+SYMBOL = _symbol_table()
 
 
-def ngram_codes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, row of each position counted from it, n-gram code of each position), ``CHUNK`` bytes at a time.
+def ngram_codes(text: bytes | None) -> Iterator[np.ndarray]:
+    """Codes of the n-grams that end at each code point of a text, at most ``CHUNK`` at a time.
 
-    Works on the batch's own buffers and cuts inside long texts, so memory
-    doesn't grow with a text.  White space stands before each text.
+    White space stands before the text; bytes that aren't UTF-8 are U+FFFD.
     """
-    if not len(texts):
-        return
-    kind = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
-    off = np.frombuffer(texts.buffers()[1], dtype=kind)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
-    if off[-1] == off[0]:
-        return
-    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)
-    for a in range(int(off[0]), int(off[-1]), CHUNK):
-        b = min(a + CHUNK, int(off[-1]))
-        first, last = np.searchsorted(off, a, side="right") - 1, np.searchsorted(off, b, side="left") - 1
-        inside = np.minimum(off[first + 1:last + 2], b) - np.maximum(off[first:last + 1], a)
-        row = np.repeat(np.arange(last - first + 1, dtype=np.int32), inside)
-        since = np.arange(a, b, dtype=np.int64) - off[first:last + 1][row]         # bytes of the text before each position
-        lead = min(ORDER - 1, a)
-        s = CLASSES[data[a - lead:b]]
-        code = s[lead:].copy()
-        for k in range(1, ORDER):
-            before = np.zeros(b - a, dtype=np.uint32)
-            before[max(0, k - lead):] = s[max(0, lead - k):lead - k + b - a]
-            before[since < k] = 0
-            code |= before << np.uint32(BITS * k)
-        yield int(first), row, code
-
-
-def ngram_counts(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """(code, n_trusted, n_all) summed over the corpus; trusted_ids(doc_id) names the training texts.
-
-    The texts meet their labels by a shuffle of both at every size: the labels
-    grow with the corpus, so they are never sent to all tasks.
+    s = (text or b"").decode("utf-8", "replace")
+    lead = np.zeros(ORDER - 1, dtype=np.int64)
+    for a in range(0, len(s), CHUNK):
+        x = np.concatenate([lead, SYMBOL[np.frombuffer(s[a:a + CHUNK].encode("utf-32-le"), dtype="<u4")]])
+        n = len(x) - ORDER + 1
+        code = np.zeros(n, dtype=np.int64)
+        for k in range(ORDER):
+            code = code << BITS | x[k:k + n]
+        yield code
+        lead = x[n:]
+
+
+def _texts(column: pa.ChunkedArray) -> Iterator[bytes | None]:
+    """Texts of a column as raw bytes, one at a time."""
+    for chunk in column.chunks:
+        for x in chunk.cast(pa.large_binary() if pa.types.is_large_string(chunk.type) else pa.binary()):
+            yield x.as_py()
+
+
+class Blocks:
+    """Documents stored in blocks: ``k_id`` (a null id is NULL_ID),
+    c0, c1, ... for the columns of ``docs``, and the block ``b``.
+
+    The table is bucketed by ``b`` and lies in the shared folder.  A task cuts
+    its rows into blocks as it reads them, so blocks hold like amounts of text
+    whatever the ids, and no text is shuffled, now or when a block meets what
+    is dealt to it.
     """
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").cast("binary").alias("t")) \
-        .join(trusted_ids.select("doc_id", F.lit(True).alias("trusted")).hint("shuffle_hash"), "doc_id", "left") \
-        .select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "t")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, TYPES), dtype=np.int64)
-        for b in batches:
-            trusted = np.array(b.column(0).to_pylist(), dtype=bool)
-            for first, row, code in ngram_codes(b.column(1)):
-                good = trusted[first + row]
-                for k, c in enumerate((code[good], code)):
-                    if len(c):
-                        n[k] += np.bincount(c, minlength=TYPES)
-        seen = np.flatnonzero(n[1])
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), *(pa.array(x[seen]) for x in n)],
-                                         ["code", "n_trusted", "n_all"])
-
-    return marked.mapInArrow(run, "code int, n_trusted long, n_all long") \
-        .groupBy("code").agg(F.sum("n_trusted").alias("n_trusted"), F.sum("n_all").alias("n_all"))
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        spark, at = docs.sparkSession, {c: f"c{i}" for i, c in enumerate(docs.columns)}
+        self.columns, self.lang, self.text = list(at.values()), at["lang"], at["text"]
+        flat = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("k_id"),
+                           *[docs[c].alias(at[c]) for c in docs.columns])
+        text = self.text
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task, before = TaskContext.get().partitionId() << 32, 0
+            for b in batches:
+                size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                end = before + np.cumsum(size)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(task + (end - size) // BLOCK)], [*b.schema.names, "b"])
+                before = int(end[-1]) if len(end) else before
+
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema)
+        size = flat.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        buckets = min(MAX_BUCKETS, 1 + 2 * size // BLOCK)
+        name = "lm_blocks_" + os.urandom(6).hex()
+        flat.mapInArrow(run, f"{schema}, b long").write.format("parquet").bucketBy(buckets, "b") \
+            .option("path", scratch_path(spark, "lm-blocks")).saveAsTable(name)
+        self.table = spark.table(name)
+
+    def meet(self, columns: list[str], side: DataFrame, run, schema: str) -> DataFrame:
+        """``run(columns of a block, its rows of side)`` for every block that has documents."""
+        return self.table.select("b", *columns).groupBy("b").cogroup(side.groupBy("b")).applyInArrow(run, schema)
+
+
+def ngram_counts(blocks: Blocks, train: DataFrame) -> DataFrame:
+    """(b, code, n): each block's distinct n-grams with their number in the texts named by train(doc_id)."""
+    ids = write_through(blocks.table.select("k_id", "b").join(train.select(F.col("doc_id").alias("k_id")), "k_id")
+                        .select("b", "k_id").distinct(), "lm-ids")
+    text = blocks.text
+
+    def merged(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        seen, at = np.unique(np.concatenate(parts), return_inverse=True)
+        return seen, np.bincount(at, weights=np.concatenate(counts), minlength=len(seen)).astype(np.int64)
+
+    def run(docs: pa.Table, side: pa.Table) -> pa.Table:
+        good = set(side.column("k_id").to_pylist())
+        seen, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        parts: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        held = 0
+        for k, t in zip(docs.column("k_id").to_pylist(), _texts(docs.column(text))):
+            for code in ngram_codes(t):
+                parts.append(code)
+                counts.append(np.full(len(code), int(k in good), dtype=np.int64))
+                held += len(code)
+                if held > 2 * CHUNK:
+                    seen, n = merged([seen, *parts], [n, *counts])
+                    parts, counts, held = [], [], 0
+        seen, n = merged([seen, *parts], [n, *counts])
+        b = docs.column("b")[0].as_py() if len(docs) else 0
+        return pa.table({"b": pa.array(np.full(len(seen), b, dtype=np.int64)), "code": seen, "n": n})
+
+    return blocks.meet(["k_id", text], ids, run, "b long, code long, n long")
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -123,65 +166,59 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(code, logp) for every n-gram type of ``counts(code, n_trusted, n_all)``.
+    """(code, logp) for every n-gram type of ``counts(code, n)``; n is 0 for types outside the training texts.
 
-    The highest order uses the trusted counts, each lower order the number of
+    The highest order uses the training counts, each lower order the number of
     distinct left neighbours; unseen contexts fall through to the next order,
     the lowest to the uniform distribution.
     """
-    level = counts.filter("n_trusted > 0").select("code", F.col("n_trusted").alias("n"))
-    probs = counts.select("code", F.lit(1.0 / SYMBOLS).alias("p"))
+    level = counts.filter("n > 0").select("code", "n")
     tables = []
     for order in range(ORDER, 0, -1):
         tables.append((order, level))
         level = level.groupBy(F.col("code").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1)).alias("code")) \
             .agg(F.count(F.lit(1)).alias("n"))
+        if order > 1:
+            level = write_through(level, "lm-level")
+    probs = None
     for order, c in reversed(tables):
         d1, d2, d3 = _discounts(c)
         off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         ctx = c.withColumn("ctx", F.shiftright("code", BITS)).groupBy("ctx").agg(
             F.sum("n").alias("total"), (F.sum(off) / F.sum("n")).alias("gamma"))
-        seen = c.select(F.col("code").alias("g"), F.greatest(F.col("n") - off, F.lit(0.0)).alias("above"))
+        seen = c.select("code", F.greatest(F.col("n") - off, F.lit(0.0)).alias("above"))
+        # Distinct n-grams of this order: a context or suffix is then shared by at most SYMBOLS rows.
         mask = (1 << (BITS * order)) - 1
-        probs = probs.withColumn("g", F.col("code").bitwiseAND(F.lit(mask))) \
-            .withColumn("ctx", F.shiftright("g", BITS)) \
-            .join(seen, "g", "left").join(ctx, "ctx", "left") \
-            .select("code", F.when(F.col("total").isNull(), F.col("p"))
-                    .otherwise(F.coalesce("above", F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("p")).alias("p"))
+        grams = counts.select(F.col("code").bitwiseAND(F.lit(mask)).alias("code")).distinct() \
+            .withColumn("ctx", F.shiftright("code", BITS))
+        if probs is None:
+            grams = grams.withColumn("low", F.lit(1.0 / SYMBOLS))
+        else:
+            grams = grams.withColumn("suffix", F.col("code").bitwiseAND(F.lit(mask >> BITS))) \
+                .join(probs.select(F.col("code").alias("suffix"), F.col("p").alias("low")), "suffix")
+        probs = grams.join(seen, "code", "left").join(ctx, "ctx", "left") \
+            .select("code", F.when(F.col("total").isNull(), F.col("low"))
+                    .otherwise(F.coalesce("above", F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("low")).alias("p"))
     return probs.select("code", F.log("p").alias("logp"))
 
 
-def scorer(model: DataFrame):
-    """Function of a batch's texts: (nll, n_symbols) per text; ``model(code, logp)`` goes to all tasks as one array."""
-    table = np.full(TYPES, -BITS * np.log(2.0), dtype=np.float32)
-    pdf = model.toPandas()                                   # at most TYPES rows, whatever the corpus
-    table[pdf["code"].to_numpy(dtype=np.int64)] = pdf["logp"].to_numpy(dtype=np.float32)
-    shared = model.sparkSession.sparkContext.broadcast(table.tobytes())   # 4 MB
-
-    def texts(t: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        logp = np.frombuffer(shared.value, dtype=np.float32)
-        nll, n = np.zeros(len(t)), np.zeros(len(t), dtype=np.int64)
-        for first, row, code in ngram_codes(t):
-            m = int(row[-1]) + 1 if len(row) else 0
-            nll[first:first + m] -= np.bincount(row, weights=logp[code], minlength=m)
-            n[first:first + m] += np.bincount(row, minlength=m)
-        return nll, n
-
-    return texts
-
+def score(blocks: Blocks, grams: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of every row of the blocks with its nll and n_symbols; grams(b, code, logp) holds each block's n-grams."""
+    text, types = blocks.text, dict(blocks.table.dtypes)
+    need = list(dict.fromkeys([*columns, text]))
 
-def score(docs: DataFrame, texts) -> DataFrame:
-    """(k_id, k_hash, lang, nll, n_symbols) of every whole text; ``texts`` comes from ``scorer``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nll, n = texts(b.column(3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(nll), pa.array(n)],
-                                             ["k_id", "k_hash", "lang", "nll", "n_symbols"])
+    def run(docs: pa.Table, side: pa.Table) -> pa.Table:
+        code = side.column("code").to_numpy()
+        order = np.argsort(code)
+        code, logp = code[order], side.column("logp").to_numpy()[order]
+        nll, n = np.zeros(len(docs)), np.zeros(len(docs), dtype=np.int64)
+        for i, t in enumerate(_texts(docs.column(text))):
+            for c in ngram_codes(t):
+                nll[i] -= logp[np.searchsorted(code, c)].sum()
+                n[i] += len(c)
+        return docs.select(columns).append_column("nll", pa.array(nll)).append_column("n_symbols", pa.array(n))
 
-    kid, kh = row_key(docs)
-    return docs.select(kid.alias("k_id"), kh.alias("k_hash"), F.col("lang").cast("string").alias("lang"),
-                       text_of("text").cast("binary").alias("t")) \
-        .mapInArrow(run, "k_id long, k_hash long, lang string, nll double, n_symbols long")
+    return blocks.meet(need, grams, run, ", ".join(f"{c} {types[c]}" for c in columns) + ", nll double, n_symbols long")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -205,9 +242,13 @@ class Judge:
     def __init__(self, docs: DataFrame, labels: DataFrame, low: float = 0.002, high: float = 0.998, slack: float = 0.05):
         half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
         good = write_through(trusted_ids(labels).withColumn("seen", half), "lm-trusted")
-        counts = write_through(ngram_counts(docs, good.filter("seen")), "lm-counts")
-        self.texts = scorer(kneser_ney(counts))
-        self.rows = write_through(score(docs, self.texts), "lm-scores")
+        self.blocks = Blocks(docs)
+        types = write_through(ngram_counts(self.blocks, good.filter("seen")), "lm-types")
+        model = kneser_ney(types.groupBy("code").agg(F.sum("n").alias("n")))
+        self.grams = write_through(types.select("b", "code").join(model, "code"), "lm-grams")
+        self.rows = write_through(
+            score(self.blocks, self.grams, ["k_id", self.blocks.lang]).withColumnRenamed(self.blocks.lang, "lang")
+            .withColumn("lang", F.col("lang").cast("string")), "lm-scores")
         of = self.rows.join(good.select(F.col("doc_id").alias("k_id"), "seen"), "k_id").filter("n_symbols > 0")
         total = of.agg(F.sum("nll").alias("a"), F.sum("n_symbols").alias("b")).first()
         self.mean = (total["a"] / total["b"]) if total["b"] else 0.0
@@ -249,7 +290,7 @@ def classify(docs: DataFrame, labels: DataFrame, **limits: float) -> DataFrame:
     empty text has perplexity null and isn't kept.  Repeated rows are scored
     alike; an empty table gives an empty result; other columns are ignored.
     """
-    j = Judge(docs, labels, **limits)
+    j = Judge(docs.select("doc_id", "lang", "text"), labels, **limits)
     return j.decide(j.rows).select(
         F.when(F.col("k_id") != F.lit(NULL_ID), F.col("k_id")).alias("doc_id"), "lang", "n_symbols", "score",
         F.exp("score").alias("perplexity"), "lower", "upper", "kept")
@@ -257,17 +298,6 @@ def classify(docs: DataFrame, labels: DataFrame, **limits: float) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, **limits: float) -> DataFrame:
     """Rows of ``docs`` that ``classify`` keeps, with all columns of ``docs`` and no other; no text is shuffled for it."""
-    texts = (j := Judge(docs, labels, **limits)).texts
-    cols = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nll, n = texts(b.column("t"))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("lang"), pa.array(nll), pa.array(n)],
-                                             ["row", "lang", "nll", "n_symbols"])
-
-    packed = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(cols)]).alias("row"),
-                         docs["lang"].cast("string").alias("lang"), text_of(docs["text"]).cast("binary").alias("t"))
-    row = packed.schema["row"].dataType.simpleString()
-    scored = packed.mapInArrow(run, f"row {row}, lang string, nll double, n_symbols long")
-    return j.decide(scored).filter("kept").select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(cols)])
+    blocks = (j := Judge(docs, labels, **limits)).blocks
+    scored = score(blocks, j.grams, blocks.columns).withColumn("lang", F.col(blocks.lang).cast("string"))
+    return j.decide(scored).filter("kept").select(*[F.col(c).alias(n) for c, n in zip(blocks.columns, blocks.names)])

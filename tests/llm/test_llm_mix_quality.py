@@ -102,46 +102,97 @@ def plain_kneser_ney(counts):
     return p
 
 
-def test_model_matches_the_recursion_and_sums_to_one(spark):
+def test_model_matches_the_recursion_and_sums_to_one(spark, monkeypatch):
     import math
-    import pyarrow as pa
+    monkeypatch.setattr(quality_lm, "SYMBOLS", 512)                 # every symbol below is under 512
     texts = [invented(80, i, 200).encode() for i in range(30)] + [b"ABC 123 !!!", "été à".encode()]
-    counts = Counter()
-    for _, _, code in quality_lm.ngram_codes(pa.array(texts[:25], pa.binary())):
-        counts.update(code.tolist())
-    all_ = set(counts)
-    for _, _, code in quality_lm.ngram_codes(pa.array(texts, pa.binary())):
-        all_ |= set(code.tolist())
-    some = [c >> 5 << 5 for c in list(all_)[:3]] + [31 << 15 | 30 << 10 | 29 << 5]     # contexts, the last unseen
+    counts = Counter(c for t in texts[:25] for code in quality_lm.ngram_codes(t) for c in code.tolist())
+    all_ = set(counts) | {c for t in texts for code in quality_lm.ngram_codes(t) for c in code.tolist()}
+    b = quality_lm.BITS
+    some = [c >> b << b for c in sorted(all_)[:3]] + [31 << 3 * b | 30 << 2 * b | 29 << b]     # contexts, the last unseen
     for c in some:
-        all_ |= {c | w for w in range(32)}
-    df = spark.createDataFrame([(c, counts[c], 1) for c in all_], "code int, n_trusted long, n_all long")
+        all_ |= {c | w for w in range(512)}
+    df = spark.createDataFrame([(c, counts[c]) for c in all_], "code long, n long")
     got = {r.code: r.logp for r in quality_lm.kneser_ney(df).collect()}
     p = plain_kneser_ney(counts)
     assert set(got) == all_ and all(abs(got[c] - math.log(p(c))) < 1e-9 for c in all_)
     for c in some:
-        assert abs(sum(math.exp(got[c | w]) for w in range(32)) - 1) < 1e-9
+        assert abs(sum(math.exp(got[c | w]) for w in range(512)) - 1) < 1e-9
 
 
 def test_codes_at_every_cut(monkeypatch):
-    import numpy as np
-    import pyarrow as pa
-    texts = ["", "ab", "", "Été 12, the end.", "x" * 40, ""]
+    texts = ["", "ab", "Été 12, the end.", "жизнь 人工智能 \U0001f600", "x" * 40]
 
     def plain(t):
-        s = [0, 0, 0, *quality_lm.CLASSES[list(t.encode())].tolist()] if t else [0, 0, 0]
-        return [s[i - 3] << 15 | s[i - 2] << 10 | s[i - 1] << 5 | s[i] for i in range(3, len(s))]
-
-    whole = pa.array(["zz", *texts, "yy"], pa.string())
-    for kind in (pa.binary(), pa.large_binary()):
-        for size in (1, 2, 3, 5, 7, 1000):
-            monkeypatch.setattr(quality_lm, "CHUNK", size)
-            got = [[] for _ in texts]
-            for first, row, code in quality_lm.ngram_codes(whole.cast(kind).slice(1, len(texts))):
-                for r, c in zip(row.tolist(), code.tolist()):
-                    got[first + r].append(c)
-            assert got == [plain(t) for t in texts]
-    assert list(quality_lm.ngram_codes(pa.array([], pa.binary()))) == [] and np.all(quality_lm.CLASSES < 32)
+        s, b = [0, 0, 0, *[int(quality_lm.SYMBOL[ord(c)]) for c in t]], quality_lm.BITS
+        return [s[i - 3] << 3 * b | s[i - 2] << 2 * b | s[i - 1] << b | s[i] for i in range(3, len(s))]
+
+    for size in (1, 2, 3, 5, 7, 1000):
+        monkeypatch.setattr(quality_lm, "CHUNK", size)
+        for t in texts:
+            assert [c for code in quality_lm.ngram_codes(t.encode()) for c in code.tolist()] == plain(t)
+        assert list(quality_lm.ngram_codes(None)) == [] and sum(len(c) for c in quality_lm.ngram_codes(b"a\xff\xfeb")) == 4
+    assert 0 <= quality_lm.SYMBOL.min() and quality_lm.SYMBOL.max() < quality_lm.SYMBOLS
+
+
+def plain_judgement(rows, good_ids):
+    """Scores and decisions by dictionaries: model of one half, quantiles of the trusted documents."""
+    import math
+
+    def codes(t):
+        return [c for code in quality_lm.ngram_codes((t or "").encode()) for c in code.tolist()]
+
+    counts = Counter(c for d, t, *_ in rows if good_ids.get(d) for c in codes(t))
+    p = plain_kneser_ney(counts)
+    nll = {d: (-sum(math.log(p(c)) for c in codes(t)), len(codes(t))) for d, t, *_ in rows}
+    means = {}
+    for lang in {r[2] for r in rows}:
+        mine = [nll[r[0]] for r in rows if r[2] == lang and r[0] in good_ids]
+        means[lang] = sum(a for a, _ in mine) / sum(n for _, n in mine)
+    score = {r[0]: (nll[r[0]][0] + quality_lm.PRIOR * means[r[2]]) / (nll[r[0]][1] + quality_lm.PRIOR) for r in rows}
+    kept = {}
+    for lang in means:
+        mine = sorted((score[r[0]], good_ids[r[0]]) for r in rows if r[2] == lang and r[0] in good_ids)
+        both, fresh = [s for s, _ in mine], [s for s, seen in mine if not seen]
+
+        def q(v, share):
+            return v[max(0, math.ceil(share * len(v)) - 1)]
+
+        lower = q(both, 0.002) - 0.05 - 2 * (q(both, 0.5) - q(both, 0.002)) / len(both) ** 0.5
+        upper = q(fresh, 0.998) + 0.05 + 2 * (q(fresh, 0.998) - q(fresh, 0.5)) / len(fresh) ** 0.5
+        kept |= {r[0]: lower <= score[r[0]] <= upper for r in rows if r[2] == lang}
+    return score, kept
+
+
+def test_scores_and_limits_match_brute_force_over_many_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(quality_lm, "BLOCK", 20_000)
+    good, bad = quality_rows()
+    rows = good[:120] + bad[:30]
+    ids = [d for d, *_ in good[:60]]
+    half = spark.createDataFrame([(d,) for d in ids], "doc_id long").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("s"))
+    score, kept = plain_judgement(rows, {r.doc_id: r.s for r in half.collect()})
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = quality_lm.classify(docs, spark.createDataFrame([(d, 1, 0) for d in ids], "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(rows) and all(abs(r.score - score[r.doc_id]) < 1e-9 and r.kept == kept[r.doc_id] for r in got)
+    assert quality_lm.Blocks(docs).table.select("b").distinct().count() > 3
+
+
+def test_gibberish_of_other_scripts_is_rejected(spark):
+    """Fluent-looking words of a fixed vocabulary against random letters of the same script, mixed languages."""
+    r = random.Random(5)
+    ru = ["жизнь", "человек", "время", "работа", "дорога", "история", "вопрос", "город", "слово", "друг", "новая", "большой", "через", "после"]
+    zh = ["我们", "今天", "工作", "时间", "问题", "学习", "中国", "城市", "历史", "生活", "朋友", "可以", "没有", "这个"]
+    rows, bad = [], []
+    for i in range(120):
+        rows.append((i, " ".join(r.choice(ru) for _ in range(60)), "ru", "s", 1))
+        rows.append((1000 + i, "".join(r.choice(zh) for _ in range(90)), "zh", "s", 1))
+    for i in range(40):
+        bad.append((2000 + i, " ".join("".join(r.choice("бвгджзклмнпрстфхцчшщ") for _ in range(6)) for _ in range(60)), "ru", "s", 1))
+        bad.append((3000 + i, "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(180)), "zh", "s", 1))
+    labels = spark.createDataFrame([(d, 1, 0) for d, *_ in rows if d % 1000 < 60], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.kept for x in quality_lm.classify(spark.createDataFrame(rows + bad, SCHEMA), labels).collect()}
+    assert sum(got[d] for d, *_ in rows) >= len(rows) - 3 and not any(got[d] for d, *_ in bad)
 
 
 def quality_rows():
