@@ -112,7 +112,7 @@ class Blocks:
         size = flat.agg(F.sum(F.octet_length(text))).first()[0] or 0
         buckets = min(MAX_BUCKETS, 1 + 2 * size // BLOCK)
         name = "lm_blocks_" + os.urandom(6).hex()
-        flat.mapInArrow(run, f"{schema}, b long").write.format("parquet").bucketBy(buckets, "b") \
+        flat.mapInArrow(run, f"{schema}, b long").write.format("parquet").option("compression", "zstd").bucketBy(buckets, "b") \
             .option("path", scratch_path(spark, "lm-blocks")).saveAsTable(name)
         self.table = spark.table(name)
 
