@@ -131,12 +131,18 @@ class Shard:
                 return
             size *= 2
 
-    def remove(self, key: str) -> bool:
-        if self.filter.contains(key) and key in self.keys:
-            del self.keys[key]
-            self.filter.delete(key)
+    def remove(self, key: str, n: int | None = None) -> bool:
+        """Take ``n`` rows of a live key away (None: all of them); its slot is freed with the last one."""
+        if not (self.filter.contains(key) and key in self.keys):
+            return False
+        row = self.keys[key]
+        if n is not None and n < row[1]:
+            row[1] -= n
+            row[2] = min(row[2], row[1])
             return True
-        return False
+        del self.keys[key]
+        self.filter.delete(key)
+        return True
 
 
 def digests(docs: DataFrame, n_shards_digits: int = 4) -> DataFrame:
@@ -222,14 +228,41 @@ class CuckooIndex:
 
     Each batch writes a new generation of all shards (keys and filter images)
     under ``path``, then the object points at it; a failed job leaves the last
-    generation as it was.
+    generation as it was.  Opened on a path that holds an index, the object
+    goes on with its newest finished generation and its number of shards.
     """
 
     SCHEMA = "shard int, filter binary, keys map<string, struct<keep: long, n: long, n_max: long>>"
 
     def __init__(self, spark: SparkSession, n_shards: int = MIN_SHARDS, path: str | None = None):
-        self.spark, self.n_shards, self.path, self.gen = spark, n_shards, path or scratch_path(spark, "cuckoo"), 0
-        spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").parquet(f"{self.path}/gen=0")
+        self.spark, self.path = spark, path or scratch_path(spark, "cuckoo")
+        stored = [self._stored(g) for g in self._generations()]
+        if any(stored):
+            # The newest finished generation; an unfinished one has no shard count yet.
+            self.gen, self.n_shards = max(x for x in stored if x)
+        else:
+            self.gen, self.n_shards = 0, n_shards
+            self._finish(spark.createDataFrame([], self.SCHEMA), 0)
+
+    def _generations(self) -> list[int]:
+        """Generations whose shards are written, in whatever store the path names."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(conf)
+        if not fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        return [int(x[5:]) for x in names if x.startswith("size=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}/_SUCCESS"))]
+
+    def _stored(self, gen: int) -> tuple[int, int] | None:
+        row = self.spark.read.schema("n_shards int").parquet(f"{self.path}/size={gen}").first()
+        return (gen, row.n_shards) if row else None
+
+    def _finish(self, shards: DataFrame, gen: int) -> None:
+        """Writes a generation, then its shard count, which makes it valid."""
+        shards.write.mode("overwrite").parquet(f"{self.path}/gen={gen}")
+        self.spark.createDataFrame([(self.n_shards,)], "n_shards int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/size={gen}")
+        self.gen = gen
 
     def shards(self) -> DataFrame:
         return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/gen={self.gen}")
@@ -247,19 +280,22 @@ class CuckooIndex:
                 if action == "insert":
                     s.add(k, int(i), int(n), int(m))
                 else:
-                    s.remove(k)
+                    s.remove(k, int(n))
             keys = {k: {"keep": v[0], "n": v[1], "n_max": v[2]} for k, v in s.keys.items()}
             return pd.DataFrame({"shard": [int(key[0])], "filter": [s.filter.to_bytes()], "keys": [keys]})
 
         out = self.shards().groupBy("shard").cogroup(self._batch(docs).groupBy("shard")).applyInPandas(run, self.SCHEMA)
-        out.write.mode("overwrite").parquet(f"{self.path}/gen={self.gen + 1}")
-        self.gen += 1
+        self._finish(out, self.gen + 1)
 
     def insert(self, docs: DataFrame) -> None:
         self._apply(docs, "insert")
 
     def delete(self, docs: DataFrame) -> None:
-        """Remove the texts of ``docs`` from the index (texts it doesn't hold are left alone)."""
+        """Take the rows of ``docs`` out of the index; a text is forgotten with its last row.
+
+        Texts that the index doesn't hold are left alone.  The stored largest
+        id of a text that still has rows is the largest that was inserted.
+        """
         self._apply(docs, "delete")
 
     def lookup(self, docs: DataFrame) -> DataFrame:

@@ -75,6 +75,22 @@ def test_index_batches(spark):
     assert found == {sha("a"): True, sha("b"): False, sha("c"): True, sha("d"): True, sha("e"): False}
 
 
+def test_index_counts_rows_and_reopens(spark, tmp_path):
+    df = lambda texts: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    path = str(tmp_path / "index")
+    index = cuckoo_dedup.CuckooIndex(spark, n_shards=4, path=path)
+    index.insert(df(["a", "A", "a", "b"]))
+    index.delete(df(["a"]))
+    again = cuckoo_dedup.CuckooIndex(spark, n_shards=9, path=path)
+    assert (again.gen, again.n_shards) == (2, 4)
+    probe = df(["a", "b"])
+    assert {r.key: r.found for r in again.lookup(probe).collect()} == {sha("a"): True, sha("b"): True}
+    again.delete(df(["a", "a", "b"]))
+    assert not any(r.found for r in cuckoo_dedup.CuckooIndex(spark, path=path).lookup(probe).collect())
+    spark.createDataFrame([], again.SCHEMA).write.parquet(f"{path}/gen=9")         # a generation that was never finished
+    assert cuckoo_dedup.CuckooIndex(spark, path=path).gen == 3
+
+
 def test_restrict_keeps_columns_and_counts(spark):
     from pyspark.sql import functions as F
     docs = with_clashes(edge_docs(spark))
