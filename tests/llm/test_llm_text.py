@@ -74,6 +74,56 @@ def test_classes_of_wrappers_speak_against_nothing(tree):
             assert main == [6, 50, 3, 40], (before, more, main)
 
 
+def _prose(n, name="prose"):
+    return " ".join(f"{name}{i % 23}" for i in range(n)) + "."
+
+
+ARTICLE = [_prose(n, f"t{n}x") for n in (57, 83, 11, 66, 74)]
+P = [f"<p>{t}</p>" for t in ARTICLE]
+NAV = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News today</a></li></ul></nav>'
+FOOT = "<footer><p>All rights kept by us</p></footer>"
+NAMED_PAGES = {
+    "widgets of a page builder": NAV + '<div class="elementor">' + "".join(
+        f'<div class="elementor-widget elementor-widget-text-editor"><div class="elementor-widget-container">{p}</div></div>' for p in P) + "</div>" + FOOT,
+    "widgets in an article": NAV + "<article>" + "".join(f'<div class="elementor-widget">{p}</div>' for p in P) + "</article>" + FOOT,
+    "a section on side effects": f'{NAV}<article>{P[0]}<section class="side-effects">{"".join(P[1:4])}</section>{P[4]}</article>{FOOT}',
+    "a section on related work": f'{NAV}<main>{P[0]}{P[1]}<section id="related-work">{"".join(P[2:])}</section></main>{FOOT}',
+    "a last paragraph after links": f'{NAV}<article>{"".join(P[:4])}<ul>' + "".join(f'<li><a href="/{i}">link number {i}</a></li>' for i in range(3)) + f"</ul>{P[4]}</article>{FOOT}",
+    "comments under responses": f'{NAV}<article>{"".join(P)}</article><div class="responses"><h3>Answers</h3><p>{_prose(44, "no")}</p><p>{_prose(71, "no")}</p></div>{FOOT}',
+    "responses inside the article": f'{NAV}<article>{"".join(P)}<section id="responses"><p>{_prose(38, "no")}</p><p>{_prose(29, "no")}</p></section></article>{FOOT}',
+    "an unmarked cookie box": f'<div><p>{_prose(21, "no")}</p><button>Accept all</button><button>No</button></div>{NAV}<article>{"".join(P)}</article>{FOOT}',
+    "an unmarked cookie box, no main tag": f'{NAV}<div><h1>t9 t9 t9 t9</h1>{"".join(P)}</div><div><p>{_prose(19, "no")}</p><button>Accept</button></div>{FOOT}',
+    "compound side names": f'<div class="site-header"><p>{_prose(6, "no")}</p></div><article>{"".join(P)}<div class="newsletter-signup"><p>{_prose(14, "no")}</p></div></article>'
+                           f'<div class="sidebar-left"><p>{_prose(22, "no")}</p></div><div id="comment-list"><p>{_prose(48, "no")}</p></div><div class="site-footer"><p>{_prose(9, "no")}</p></div>',
+}
+
+
+@pytest.mark.parametrize("case", NAMED_PAGES)
+def test_density_decides_beside_names(case, tree):
+    main = [b["text"] for b in html_text.blocks(f"<html><body>{NAMED_PAGES[case]}</body></html>") if html_text.is_main(b, tree)]
+    wanted = [t for t in main if t in ARTICLE]
+    assert wanted == ARTICLE
+    assert not [t for t in main if t.startswith("no") or "rights" in t or t == "Home"]
+
+
+def test_heading_ids_are_link_targets(tree):
+    page = f'<body>{NAV}<article><h1 id="search">Looking for things</h1>{P[0]}<h2 id="share-prices">What shares cost</h2>{P[1]}</article></body>'
+    assert [b["text"] for b in html_text.blocks(page) if html_text.is_main(b, tree)] == ["Looking for things", ARTICLE[0], "What shares cost", ARTICLE[1]]
+
+
+def test_the_tree_asks_for_words(tree):
+    asked = {html_text.FEATURES[node[0]] for node in tree if node[0] >= 0}
+    counts = {"words", "prose_near", "words_before", "words_after", "box_words"}
+    density = counts | {"links", "links_before", "links_after", "box_links", "box_share"}
+    assert len(asked & counts) >= 3 and len(asked & density) >= 6
+    assert html_text.FEATURES[tree[0][0]] not in ("side_tags", "side_names", "talk_names")
+
+
+def test_deep_nesting_is_linear():
+    deep = '<div class="ad">' * 20000 + "<p>a b c</p>" + "</div>" * 20000
+    assert [b["text"] for b in html_text.blocks(deep)] == ["a b c"]
+
+
 
 # --- chunks ------------------------------------------------------------------------------------
 
