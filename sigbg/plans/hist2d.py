@@ -85,7 +85,8 @@ def h9_kde_2d(spark, sf):
     return _rounded(hist2d.kde_2d(cand(spark, sf), "mbc", "deltae", 32), x=6, y=6, density=12)
 
 
-@register("h9_kde_2d_full", EVT.rstrip() + f""",
+def kde_full_sql(places: int) -> str:
+    return EVT.rstrip() + f""",
 d AS (SELECT CAST(value AS DOUBLE) AS _x, CAST(score AS DOUBLE) AS _y FROM evt WHERE NOT isnan(value) AND NOT isnan(score)),
 s AS (SELECT COUNT(*) AS n, min(_x) AS x0, max(_x) AS x1, min(_y) AS y0, max(_y) AS y1, var_samp(_x) AS vx, var_samp(_y) AS vy,
              covar_samp(_x, _y) AS c, pow(COUNT(*), -1.0::DOUBLE / 3.0) AS f FROM d),
@@ -93,13 +94,22 @@ k AS (SELECT *, vx * vy - c * c AS det FROM s),
 g AS (SELECT CAST(a.range AS INTEGER) AS i, CAST(b.range AS INTEGER) AS j, x0 + a.range * (x1 - x0) / 23.0 AS gx, y0 + b.range * (y1 - y0) / 23.0 AS gy,
              n, vy / det / f AS pa, -c / det / f AS pb, vx / det / f AS pc, sqrt(det) * f AS width FROM k, range(24) a, range(24) b)
 SELECT i, j, round(gx, 6) AS x, round(gy, 6) AS y,
-       round(SUM(exp(-0.5 * (pa * (gx - _x) * (gx - _x) + 2 * pb * (gx - _x) * (gy - _y) + pc * (gy - _y) * (gy - _y)))) / (n * 2 * pi() * width), 9) AS density
-FROM g, d GROUP BY i, j, gx, gy, n, width""")
+       round(SUM(exp(-0.5 * (pa * (gx - _x) * (gx - _x) + 2 * pb * (gx - _x) * (gy - _y) + pc * (gy - _y) * (gy - _y)))) / (n * 2 * pi() * width), {places}) AS density
+FROM g, d GROUP BY i, j, gx, gy, n, width"""
+
+
+@register("h9_kde_2d_full", kde_full_sql(9))
 def h9_kde_2d_full(spark, sf):
     """H9 with the full covariance of two strongly tied columns."""
     return _rounded(hist2d.kde_2d_full(evt(spark, sf), "value", "score", 24), x=6, y=6, density=9)
 
 
+@register("h9_kde_2d_boxes", kde_full_sql(6))
+def h9_kde_2d_boxes(spark, sf):
+    """H9 with the full covariance by box sums, within 1e-10 of the kernel's peak."""
+    return _rounded(hist2d.kde_2d_boxes(evt(spark, sf), "value", "score", 24, 1e-10), x=6, y=6, density=6)
+
+
 _H10 = CAND.rstrip() + ",\n" + hist_ctes("ha", "cand", "mbc", 40) + ",\n" + hist_ctes("hb", "cand", "deltae", 40) \
     + ",\n" + hex_sql("hx", "cand", "mbc", "deltae", 60) + ",\n" + kde2_sql("kd", "cand", "mbc", "deltae") + """
 SELECT 'hist' AS panel, 'mbc' AS x_var, 'mbc' AS y_var, bin AS i, 0 AS j,
