@@ -125,6 +125,37 @@ def s12_run_registry(spark, sf):
     return out.select(*[x for x in out.columns if x != "params"], F.col("params")["q_coef"].alias("q_coef"), F.col("params")["d_coef"].alias("d_coef"))
 
 
+_SEARCH_Q = ("0.02", "0.05", "0.1")
+
+
+@register("s12_search_registry", CAND + f""",
+p AS (SELECT * FROM (VALUES {', '.join(f"({i}::BIGINT, '{q}')" for i, q in enumerate(_SEARCH_Q))}) p(counter, q)),
+m AS (SELECT counter, q, labels, CAST(q AS DOUBLE) * l_quantity - 20.0::DOUBLE * l_discount AS z FROM cand, p),
+c AS (SELECT counter, q, z, SUM(labels)::BIGINT AS tp_s, SUM(1 - labels)::BIGINT AS fp_s FROM m GROUP BY ALL),
+r AS (SELECT *, SUM(tp_s) OVER (PARTITION BY counter ORDER BY z DESC ROWS UNBOUNDED PRECEDING) AS tp FROM c),
+a AS (SELECT counter, q, round(SUM(fp_s * (tp - tp_s / 2.0)) / (CAST(SUM(tp_s) AS DOUBLE) * SUM(fp_s)), 9) AS auc,
+             CAST(CAST(round(SUM(CASE WHEN z > 0 THEN fp_s ELSE tp_s END) / CAST(SUM(tp_s + fp_s) AS DOUBLE), 6) AS DECIMAL(9, 6)) AS VARCHAR) AS error
+      FROM r GROUP BY counter, q)
+SELECT 'q' || counter AS run, auc, error, CAST(1 AS BIGINT) AS best_iteration, counter, CAST(NULL AS BIGINT) AS seconds, CAST(1.0 AS DOUBLE) AS iterations,
+       q, '20.0' AS d, auc = MAX(auc) OVER () AS is_best FROM a""")
+def s12_search_registry(spark, sf):
+    """A search over the scorer's coefficient: one record a run, appended run by run, read back, the best one marked."""
+    c = cand(spark, sf)
+    path = scratch_path(spark, "s12-search")
+    for i, q in enumerate(_SEARCH_Q):
+        z = c.select("labels", (F.lit(float(q)) * F.col("l_quantity") - F.lit(20.0) * F.col("l_discount")).alias("score"))
+        wrong = F.avg(((F.col("score") > 0).cast("int") != F.col("labels")).cast("double"))
+        error = z.agg(F.round(wrong, 6).cast("decimal(9,6)").cast("string").alias("error"))
+        rec = curves.auc(z).select(F.lit(f"q{i}").alias("run"), F.round("auc", 9).alias("auc"), error.scalar().alias("error"),
+                                   F.lit(1).alias("best_iteration"), F.lit(i).alias("counter"), F.lit(1.0).alias("iterations"),
+                                   F.create_map(F.lit("q"), F.lit(q), F.lit("d"), F.lit("20.0")).alias("params"))
+        io.append_runs(rec, path, io.SEARCH_SCHEMA)
+    out = io.read_runs(spark, path, io.SEARCH_SCHEMA)
+    best = out.agg(F.max("auc")).scalar()
+    return out.select(*[x for x in out.columns if x != "params"], F.col("params")["q"].alias("q"), F.col("params")["d"].alias("d"),
+                      (F.col("auc") == best).alias("is_best"))
+
+
 _FEATS = ["l_quantity", "l_discount", "l_tax", "qty_tax"]
 _PREP_IS_TEST = f"{sql_hash_bucket(42, 'l_orderkey', 'l_linenumber', 'mbc')} >= 9000"
 
