@@ -2,12 +2,18 @@
 
 Features are cut once at quantiles into at most MAX_BINS bins; the binned rows
 are stored as packed blocks.  A pass over them adds up, for every open node of
-every model in training, gradients and hessians by feature and bin; blocks are
-added by (model, features) and only the best split of each node comes to the
-driver.  Many models - folds, draws, rungs of a search - grow in the same
-passes.  A model is its list of trees: what a row's margin is follows from it,
-so a lost executor recomputes its rows from the stored blocks, and training
-resumes where a list ends.
+every model in training, gradients and hessians by feature and bin, and only the
+best split of each node comes to the driver.  Many models - folds, draws, rungs
+of a search - grow in the same passes.  A model is its list of trees: what a
+row's margin is follows from it, so a lost executor recomputes its rows from the
+stored blocks, and training resumes where a list ends.
+
+A deep level's histograms are larger than the bins of its rows, so rows are kept
+together in groups of blocks, and the (model, features) of a pass are dealt over
+copies of every group until all cores have work.  Only groups are added by
+shuffle: its bytes grow with the number of groups - LEAST_BYTES of bins each
+where few models leave cores free, up to GROUP_BYTES where many fill them - and
+not with tasks or executors; there is no shuffle while one group holds all rows.
 
 A round needs one pass a level.  As thousands of short passes run over the same
 packed rows, they are RDD passes over NumPy blocks: a DataFrame pass with the
@@ -32,10 +38,14 @@ from .curves import auc as exact_auc
 #: Bins of a feature; the last one is for missing values.
 MAX_BINS = 256
 BLOCK_ROWS = 65_536
-#: Features of one partial histogram.
+#: Bins of a row group, with few models and with many (a scan of Spark gives 128 MB to a task).
+LEAST_BYTES = 8 * 2 ** 20
+GROUP_BYTES = 32 * 2 ** 20
+#: Features of one partial histogram, and models of a slice of a pass at most.
 CHUNK = 16
-#: Rounds between two stored sets of margins, and between two evaluations.
-STORE_ROUNDS = 16
+MODELS = 16
+#: Rounds between two sets of margins made from the stored blocks (in between each follows from the last), and between two evaluations.
+STORE_ROUNDS = 64
 EVAL_ROUNDS = 64
 PATIENCE = 256
 MIN_GAIN = 1e-6
@@ -62,15 +72,21 @@ class Tree:
 
     def place(self, bins: np.ndarray) -> np.ndarray:
         """The node that holds each row of ``bins`` (rows, features)."""
-        pos, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        while True:
-            f = self.feature[pos]
-            inner = f >= 0
-            if not inner.any():
-                return pos
-            b = bins[rows, np.maximum(f, 0)]
-            left = np.where(b == MAX_BINS - 1, self.missing_left[pos], b <= self.cut[pos])
-            pos = np.where(inner, 2 * pos + 2 - left, pos)
+        n, d = bins.shape
+        node, inner = np.arange(len(self.feature)), self.feature >= 0
+        # Where a row goes from node i: entry 2 i for right, 2 i + 1 for left; leaves keep it.
+        to = np.stack([np.where(inner, 2 * node + 2, node), np.where(inner, 2 * node + 1, node)], axis=1).ravel()
+        feature, missing = np.maximum(self.feature, 0).astype(np.int64), self.missing_left.any()
+        pos, flat, first = np.zeros(n, np.int64), bins.reshape(-1), np.arange(n) * d
+        for level in range((len(node) + 1).bit_length() - 2):
+            if not inner[2 ** level - 1:2 ** (level + 1) - 1].any():
+                break
+            b = flat.take(first + feature.take(pos))
+            left = b <= self.cut.take(pos)
+            if missing:
+                left |= (b == MAX_BINS - 1) & self.missing_left.take(pos)
+            pos = to.take(2 * pos + left)
+        return pos
 
     def output(self, bins: np.ndarray) -> np.ndarray:
         return self.value[self.place(bins)]
@@ -202,13 +218,12 @@ class _Growing:
         self.tree, self.open, self.depth = Tree.empty(int(model.params["max_depth"])), [0], 0
         self.features, self.dropped = model.features(round_), model.dropped(round_)
 
-    def task(self, stored: int) -> dict:
-        """What a pass needs to know: the trees since margins were stored, this tree so far, its open nodes."""
+    def task(self) -> dict:
+        """What a pass needs to know: this tree so far, its open nodes, the sample of rows and features."""
         m, p = self.model, self.model.params
         slot = np.full(len(self.tree.feature), -1)
         slot[self.open] = np.arange(len(self.open))
-        dart = p["booster"] == "dart"
-        return {"trees": m.trees[stored:], "weights": np.array(m.weights), "dropped": self.dropped, "dart": dart, "tree": self.tree, "slot": slot,
+        return {"weights": np.array(m.weights), "dropped": self.dropped, "dart": p["booster"] == "dart", "tree": self.tree, "slot": slot,
                 "features": self.features, "cuts": np.array([len(m.edges[f]) for f in self.features]), "hold": m.hold, "seed": m.seed, "round": self.round, "subsample": p["subsample"],
                 "lambda": p["lambda"], "least": max(float(p["min_child_weight"]), 0.0)}
 
@@ -228,46 +243,44 @@ class _Growing:
         return bool(nxt) and self.depth < p["max_depth"]
 
 
-def _margin(block: dict, state: np.ndarray, t: dict) -> np.ndarray:
-    """Margins of a round: stored ones (of a dart model: the trees' outputs) and the trees since, without the dropped."""
+def _margin(state: np.ndarray, t: dict) -> np.ndarray:
+    """Margins of a round: the stored ones; of a dart model the trees' outputs without the dropped."""
     if not t["dart"]:
-        out = state.copy()
-        for tree, w in zip(t["trees"], t["weights"][len(t["weights"]) - len(t["trees"]):]):
-            out += w * tree.output(block["bins"])
-        return out
+        return state
     w = t["weights"].copy()
     w[t["dropped"]] = 0.0
-    out = w[:len(state)] @ state if len(state) else np.zeros(len(block["y"]))
-    for tree, x in zip(t["trees"], w[len(state):]):
-        if x:
-            out += x * tree.output(block["bins"])
-    return out
+    return w @ state if len(state) else np.zeros(state.shape[1])
 
 
-def _histograms(blocks: Iterator, tasks: list[dict]) -> Iterator:
-    """((model, first feature), histogram) of a partition's rows."""
-    acc: dict = {}
-    for block, states in blocks:
-        for m, (t, state) in enumerate(zip(tasks, states)):
-            if t is None:
-                continue
-            slot = t["slot"][t["tree"].place(block["bins"])]
+def _histograms(blocks: Iterator, tasks: dict[int, dict], jobs: list[tuple]) -> Iterator:
+    """((model, first feature, end), histogram) of a group's rows for the models and shares of features in ``jobs``."""
+    held = [(unpack_block(raw), states) for raw, states in blocks]              # a group: its bytes are bounded
+    for m, part, parts in jobs:
+        t = tasks.get(m)
+        if t is None:
+            continue
+        k, n, rows = len(t["features"]), int(t["slot"].max()) + 1, []
+        lo, hi = k * part // parts, k * (part + 1) // parts
+        if lo == hi:
+            continue
+        for block, states in held:
+            slot = t["slot"].take(t["tree"].place(block["bins"]))
             use = (slot >= 0) & chosen(block["uid"], t["seed"], t["round"], t["subsample"])
             if t["hold"] is not None:
                 use &= block["fold"] != t["hold"]
-            if not use.any():
-                continue
-            p = sigmoid(_margin(block, state, t)[use])
-            y, w = block["y"][use], block["w"][use]
-            g, h = w * (p - y), w * p * (1.0 - p)
-            node, n = slot[use], int(t["slot"].max()) + 1
-            for c in range(0, len(t["features"]), CHUNK):
-                fs = t["features"][c:c + CHUNK]
-                at = ((node[:, None] * len(fs) + np.arange(len(fs))) * MAX_BINS + block["bins"][use][:, fs]).ravel()
-                size = n * len(fs) * MAX_BINS
-                hist = np.stack([np.bincount(at, np.repeat(x, len(fs)), size) for x in (g, h)]).reshape(2, n, len(fs), MAX_BINS)
-                acc[m, c] = acc[m, c] + hist if (m, c) in acc else hist
-    yield from acc.items()
+            at = np.flatnonzero(use)
+            if len(at):
+                p, y, w = sigmoid(_margin(states[m], t)[at]), block["y"][at], block["w"][at]
+                rows.append((block["bins"], at, slot[at] * MAX_BINS, w * (p - y), w * p * (1.0 - p)))
+        for c in range(lo, hi if rows else lo, CHUNK):
+            end = min(c + CHUNK, hi)
+            hist = np.zeros((2, n, end - c, MAX_BINS))
+            for bins, at, first, g, h in rows:
+                for j, f in enumerate(t["features"][c:end]):
+                    key = first + bins[:, f].take(at)
+                    for side, x in enumerate((g, h)):
+                        hist[side, :, j] += np.bincount(key, x, n * MAX_BINS).reshape(n, MAX_BINS)
+            yield (m, c, end), hist
 
 
 class Data:
@@ -285,8 +298,9 @@ class Data:
         rows = write_through(rows.filter("y IS NOT NULL AND x IS NOT NULL"), "boost-rows")
         self.edges = quantile_edges(rows.filter("t"), max_bins)
         self.blocks = write_through(pack_blocks(rows, self.edges), "boost-blocks")
-        rdd = self.blocks.select("block").rdd
+        rdd = self.blocks.select("block").rdd.map(lambda r: bytes(r[0]))
         self.rdd = rdd.coalesce(max(1, min(rdd.getNumPartitions(), self.blocks.count())))
+        self.bytes = rows.count() * len(self.edges)
 
     def staged(self, models: Sequence[Booster], first: int, last: int | None = None, held: bool = True) -> DataFrame:
         """(model, round, labels, weight, score): scores after every round from ``first`` on, of each model's held-out rows."""
@@ -320,41 +334,72 @@ class Data:
 
     def grow(self, models: Sequence[Booster], targets: Sequence[int]) -> None:
         """Adds rounds to each model until it has its target; all models share the passes."""
-        sc, done = self.spark.sparkContext, None
-        state, stored = None, [0] * len(models)
-        while any(len(m.trees) < n for m, n in zip(models, targets)):
-            if state is None or max(len(m.trees) - s for m, s in zip(models, stored)) >= STORE_ROUNDS:
-                shared = sc.broadcast([(m.trees, m.weights, m.params["booster"] == "dart") for m in models])
-                stored = [len(m.trees) for m in models]
-                new = self.rdd.map(lambda r, s=shared: _state(unpack_block(bytes(r[0])), s.value)).persist(StorageLevel.MEMORY_AND_DISK)
-                if done is not None:
-                    done.unpersist()
-                state = done = new
-            growing = [_Growing(m, len(m.trees)) if len(m.trees) < n else None for m, n in zip(models, targets)]
-            live = list(growing)
-            while any(live):
-                tasks = [g.task(s) if g else None for g, s in zip(live, stored)]
-                for i, best in self._level(state, tasks).items():
-                    live[i] = live[i] if live[i].level(best) else None
-                for i, t in enumerate(tasks):                 # no row left to train on: the node stays a leaf of 0
-                    if t is not None and live[i] is not None and live[i].depth == 0 and live[i].open == [0]:
-                        live[i] = None
-            for g in growing:
-                if g:
-                    g.model.add(g.tree, g.dropped)
-        if done is not None:
-            done.unpersist()
-
-    def _level(self, state, tasks: list[dict]) -> dict[int, np.ndarray]:
+        state, open_, deal, groups, age = None, [], [], 1, 0
+        while live := [i for i, (m, n) in enumerate(zip(models, targets)) if len(m.trees) < n]:
+            if state is None or live != open_ or age >= STORE_ROUNDS:
+                groups = self._groups(len(live))
+                open_, deal, age, source = live, self._deal(models, live, groups), 0, None
+            else:
+                source = state
+            old, state = state, self._states(models, deal, groups, source)
+            age += 1
+            growing = {i: _Growing(models[i], len(models[i].trees)) for i in live}
+            left = dict(growing)
+            while left:
+                tasks = {i: g.task() for i, g in left.items()}
+                best = self._level(state, tasks, deal, groups)
+                # Without a row left to train on, the node stays a leaf of 0.
+                left = {i: g for i, g in left.items() if i in best and g.level(best[i])}
+            if old is not None:
+                old.unpersist()
+            for g in growing.values():
+                g.model.add(g.tree, g.dropped)
+        if state is not None:
+            state.unpersist()
+
+    def _groups(self, models: int) -> int:
+        """Row groups of a pass: by bytes alone, fewer while models keep the cores busy."""
+        most, least = (-(-self.bytes // b) for b in (LEAST_BYTES, GROUP_BYTES))
+        return max(1, min(self.rdd.getNumPartitions(), most, max(least, -(-self.spark.sparkContext.defaultParallelism // models))))
+
+    def _deal(self, models: Sequence[Booster], live: list[int], groups: int) -> list[list[tuple]]:
+        """Slices of a pass, each with the (model, part, parts) whose features it adds up: even shares by depth."""
+        want = max(1, self.spark.sparkContext.defaultParallelism // groups, -(-len(live) // MODELS))
+        parts = max(1, min(-(-want // len(live)), len(self.edges)))
+        jobs = sorted(((int(models[i].params["max_depth"]), i, k) for i in live for k in range(parts)), reverse=True)
+        slices: list[list] = [[0, []] for _ in range(min(want, len(jobs)))]
+        for depth, i, k in jobs:
+            least = min(slices, key=lambda s: s[0])
+            least[0] += depth
+            least[1].append((i, k, parts))
+        return [s[1] for s in slices]
+
+    def _states(self, models: Sequence[Booster], deal: list[list[tuple]], groups: int, source):
+        """A copy of all groups for every slice: blocks and the margins of its models, from ``source`` and the last trees or from all."""
+        who = [sorted({i for i, *_ in jobs}) for jobs in deal]
+        last = -1 if source is not None else 0
+        shared = self.spark.sparkContext.broadcast({i: (models[i].trees[last:], models[i].weights[last:], models[i].params["booster"] == "dart")
+                                                    for w in who for i in w})
+
+        def task(p: int, blocks: Iterator) -> Iterator:
+            for b in blocks:
+                raw, states = (b, {}) if last == 0 else b
+                block = unpack_block(raw)
+                yield raw, {i: _state(block, *shared.value[i], states.get(i)) for i in who[p // groups]}
+
+        rdd = source if source is not None else self.spark.sparkContext.union([self.rdd.coalesce(groups)] * len(deal))
+        return rdd.mapPartitionsWithIndex(task).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _level(self, state, tasks: dict[int, dict], deal: list[list[tuple]], groups: int) -> dict[int, np.ndarray]:
         # What a pass needs travels with its tasks: a broadcast of its own would cost more than the pass.
-        parts = state.mapPartitions(lambda blocks: _histograms(blocks, tasks))
-        if state.getNumPartitions() > 1:
-            parts = parts.reduceByKey(lambda a, b: a + b, min(state.getNumPartitions(), 4 * sum(t is not None for t in tasks)))
+        parts = state.mapPartitionsWithIndex(lambda p, blocks: _histograms(blocks, tasks, deal[p // groups]))
+        if groups > 1:
+            parts = parts.reduceByKey(lambda a, b: a + b, min(state.getNumPartitions(), 4 * len(tasks)))
 
         def best(item):
-            (m, c), hist = item
+            (m, c, end), hist = item
             t = tasks[m]
-            return m, best_splits(hist, t["features"][c:c + CHUNK], t["cuts"][c:c + CHUNK], t["lambda"], t["least"])
+            return m, best_splits(hist, t["features"][c:end], t["cuts"][c:end], t["lambda"], t["least"])
 
         out: dict[int, np.ndarray] = {}
         for m, b in parts.map(best).collect():               # eight numbers a node and feature chunk
@@ -367,15 +412,16 @@ class Data:
         return out
 
 
-def _state(block: dict, models: list) -> tuple[dict, list[np.ndarray]]:
-    out = []
-    for trees, weights, dart in models:
-        outputs = [t.output(block["bins"]) for t in trees]
-        if dart:
-            out.append(np.array(outputs).reshape(len(trees), len(block["y"])))
-        else:
-            out.append(sum((w * o for w, o in zip(weights, outputs)), np.zeros(len(block["y"]))))
-    return block, out
+def _state(block: dict, trees: list[Tree], weights: list[float], dart: bool, before: np.ndarray | None) -> np.ndarray:
+    """Margins of a block's rows (of a dart model: each tree's outputs), from those before these trees."""
+    n = len(block["y"])
+    if dart:
+        new = np.array([t.output(block["bins"]) for t in trees]).reshape(len(trees), n)
+        return new if before is None else np.vstack([before, new])
+    out = np.zeros(n) if before is None else before
+    for t, w in zip(trees, weights):
+        out = out + w * t.output(block["bins"])
+    return out
 
 
 def quantile_edges(rows: DataFrame, max_bins: int = MAX_BINS) -> list[np.ndarray]:

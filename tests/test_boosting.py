@@ -150,3 +150,32 @@ def test_empty_and_one_class(spark):
     none = bo.Data(spark.createDataFrame([], schema), "k")
     m, _ = bo.train(none, {"max_depth": 2}, 1, patience=None)
     assert len(m.trees) == 1
+
+
+def _stages(spark, data, models, rounds):
+    """Stages of the jobs of a training, by job."""
+    spark.sparkContext.setJobGroup("boost-test", "")
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup("boost-test"))
+    data.grow(models, [rounds] * len(models))
+    jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup("boost-test")) - before
+    return [len(spark.sparkContext.statusTracker().getJobInfo(j).stageIds) for j in jobs]
+
+
+def test_histograms_move_by_row_groups_not_by_tasks(spark, monkeypatch):
+    df, rows = table(spark, n=300, parts=4)
+    params = [{"eta": 0.3, "max_depth": 3, "subsample": 0.8, "colsample_bytree": 0.8}, {"eta": 0.2, "max_depth": 2},
+              {"booster": "dart", "eta": 0.3, "max_depth": 2, "rate_drop": 0.5}]
+    data = bo.Data(df, "k", fold="fold", max_bins=16)
+    assert data.rdd.getNumPartitions() > 1
+    x = bo.to_bins(np.array([r[1] for r in rows]), data.edges)
+    new = lambda: [bo.Booster(p, data.edges, 42, 1) for p in params]
+    together = new()
+    assert set(_stages(spark, data, together, 3)) == {1}                  # one group of rows: no shuffle, however many tasks
+    monkeypatch.setattr(bo, "LEAST_BYTES", 1)
+    monkeypatch.setattr(bo, "GROUP_BYTES", 1)
+    monkeypatch.setattr(bo, "MODELS", 2)
+    monkeypatch.setattr(bo, "STORE_ROUNDS", 2)
+    apart = new()
+    assert set(_stages(spark, data, apart, 3)) == {2}                     # a group a partition, two slices of models
+    for a, b in zip(together, apart):
+        assert len(b.trees) == 3 and np.allclose(a.margins(x), b.margins(x)) and np.allclose(a.weights, b.weights)
