@@ -1,20 +1,26 @@
 """Array and nested-structure operators.
 
-All are higher-order array functions evaluated in the JVM per row; none of
-them moves data between rows except the character dictionary (A7), whose
-size is bounded by the alphabet and which is built by a partial
+All are higher-order array functions evaluated in the JVM per row, but for the
+texts of A7, whose characters are counted and looked up as code points in
+Arrow batches; none moves data between rows except the character dictionary
+(A7), whose size is bounded by the alphabet and which is built by a partial
 aggregation (each task emits only its distinct characters).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The largest code point.
+MAX_POINT = 0x10FFFF
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -111,32 +117,80 @@ def split_chars(text: Column) -> Column:
 def char_dictionary(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """Character -> index (dense, by code point order) with occurrence counts.
 
-    Characters are exploded per text (whole texts, by code point), reduced
-    with a partial aggregate, and indexed with ``dense_rank`` over the
-    distinct characters only -- a table bounded by the alphabet.
+    Tasks count the code points of their whole texts and give one row a
+    distinct character and batch, and those are indexed with ``dense_rank`` -
+    a table bounded by the alphabet.
     """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n: dict[int, int] = {}
+            for raw in b.column(0):
+                points = _code_points(raw)
+                if points.max() < 16 * len(points):
+                    k = np.bincount(points)
+                    found, k = np.flatnonzero(k), k[k > 0]
+                else:
+                    found, k = np.unique(points, return_counts=True)
+                for point, m in zip(found.tolist(), k.tolist()):
+                    n[point] = n.get(point, 0) + m
+            yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in n], pa.string()), pa.array(n.values(), pa.int64())], ["ch", "n"])
+
     t = texts.select(F.col(text_col).alias("_t")).filter(F.col("_t").isNotNull() & (F.length("_t") > 0))
-    chars = t.select(F.explode(split_chars(F.col("_t"))).alias("ch"))
-    counts = chars.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    counts = t.mapInArrow(count, "ch string, n long").groupBy("ch").agg(F.sum("n").alias("n"))
     # UTF-8 byte order (Spark's default string order) is code point order.
     w = Window.orderBy("ch")
     return counts.select("ch", (F.dense_rank().over(w) - 1).cast("int").alias("ix"), "n")
 
 
-def encode_text(texts: DataFrame, dictionary: DataFrame, text_col: str = "text", out: str = "codes") -> DataFrame:
-    """A7 encode: text -> array of indices via a map built from the dictionary.
+def _code_points(text: pa.StringScalar) -> np.ndarray:
+    return np.frombuffer(text.as_py().encode("utf-32-le"), np.uint32)
 
-    The map is a scalar subquery over the dictionary (bounded by the alphabet).
-    """
-    m = dictionary.agg(F.map_from_entries(F.collect_list(F.struct("ch", "ix"))).alias("m")).scalar()
-    t = F.col(text_col)
-    # The map is first bound to a column: subqueries may not sit inside a lambda.
-    return texts.withColumn("_m", m).withColumn(
-        out, F.transform(split_chars(t), lambda ch: F.element_at(F.col("_m"), ch))).drop("_m")
+
+def _entries(dictionary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and indices of a dictionary, one row a character: bounded by the alphabet."""
+    rows = dictionary.select("ch", "ix").filter("ch IS NOT NULL AND ix IS NOT NULL").collect()
+    return np.array([ord(r["ch"]) for r in rows], np.int64), np.array([r["ix"] for r in rows], np.int64)
+
+
+def encode_text(texts: DataFrame, dictionary: DataFrame, text_col: str = "text", out: str = "codes") -> DataFrame:
+    """A7 encode: text -> array of indices (null: a character without one), looked up by code point in one table."""
+    points, ix = _entries(dictionary)
+    table, known = np.zeros(MAX_POINT + 1, np.int32), np.zeros(MAX_POINT + 1, bool)
+    table[points], known[points] = ix, True
+    # Only as much of it as the alphabet needs goes to the tasks; the last entry stands for all beyond.
+    end = int(points.max(initial=-1)) + 1
+    table, known = table[:end + 1], known[:end + 1]
+
+    @F.arrow_udf("array<int>")
+    def run(v: pa.Array) -> pa.Array:
+        parts, ends = [np.zeros(0, np.int64)], [0]
+        for raw in v:
+            if raw.is_valid:
+                parts.append(np.minimum(_code_points(raw), end))
+            ends.append(ends[-1] + (len(parts[-1]) if raw.is_valid else 0))
+        at = np.concatenate(parts)
+        codes = pa.array(table.take(at), mask=~known.take(at))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), codes, mask=v.is_null())
+
+    return texts.withColumn(out, run(F.col(text_col)))
 
 
 def decode_text(codes: DataFrame, dictionary: DataFrame, codes_col: str = "codes", out: str = "text") -> DataFrame:
-    """A7 decode: array of indices -> text; the inverse of ``encode_text``."""
-    m = dictionary.agg(F.map_from_entries(F.collect_list(F.struct("ix", "ch"))).alias("m")).scalar()
-    return codes.withColumn("_m", m).withColumn(
-        out, F.array_join(F.transform(F.col(codes_col), lambda ix: F.element_at(F.col("_m"), ix)), "")).drop("_m")
+    """A7 decode: array of indices -> text; the inverse of ``encode_text``; unknown indices give nothing."""
+    points, ix = _entries(dictionary)
+    order = np.argsort(ix)
+    points, ix = np.append(points[order], 0), np.append(ix[order], np.iinfo(np.int64).max)
+
+    @F.arrow_udf("string")
+    def run(v: pa.Array) -> pa.Array:
+        values, ends = v.flatten(), np.append(0, np.cumsum(v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        here = values.is_valid().to_numpy(zero_copy_only=False)
+        c = values.fill_null(0).to_numpy(zero_copy_only=False)
+        back = []
+        for i, valid in enumerate(v.is_valid().to_pylist()):
+            part = c[ends[i]:ends[i + 1]][here[ends[i]:ends[i + 1]]]
+            at = np.searchsorted(ix, part)
+            back.append(points[at[ix[at] == part]].astype("<u4").tobytes().decode("utf-32-le") if valid else None)
+        return pa.array(back, pa.string())
+
+    return codes.withColumn(out, run(F.col(codes_col).cast("array<int>")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, sql_hash_bucket
 from ..operators import nested
+from ..session import write_through
 from ..sources.fixtures import CAND_SQL, EVT_SQL, VEC_SQL, cand, evt, vec, with_views
 from ..sources.tables import read_table
 from .registry import register
@@ -101,7 +102,7 @@ SELECT src, id, turn, COUNT(*) AS n_codes, CAST(SUM(ix * (pos % 97 + 1)) AS BIGI
 FROM c JOIN d USING (ch) GROUP BY src, id, turn""")
 def a7_encode_check(spark, sf):
     """Both text tables, encoded and decoded again; the sum weighs codes by their place."""
-    dic = nested.char_dictionary(_texts(spark, sf))
+    dic = write_through(nested.char_dictionary(_texts(spark, sf)), "char-dictionary")     # read twice
     docs = read_table(spark, sf, "documents", ["doc_id", "text"]).select(
         F.lit("documents").alias("src"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("turn"), "text")
     conv = read_table(spark, sf, "conversations", ["conv_id", "turn", "text"]).select(

@@ -334,3 +334,23 @@ def test_shard_failures_are_loud(spark, tmp_path):
         shards.read_shards(spark, path, 3).collect()
     with pytest.raises(Exception, match="mounted filesystem"):
         shards.write_shards(df, "hdfs://host/x")
+
+
+def test_char_codes_by_code_point(spark):
+    from sigbg.operators import nested
+    texts = [(1, "abba\n\0"), (2, "\U0001F600é a"), (3, ""), (4, None), (5, "zz" * 50), (6, "￿\U00010000")]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    dic = nested.char_dictionary(df)
+    want = sorted({c for _, t in texts for c in t or ""})
+    assert [(r.ch, r.ix, r.n) for r in dic.orderBy("ix").collect()] == [(c, i, sum((t or "").count(c) for _, t in texts)) for i, c in enumerate(want)]
+    enc = nested.decode_text(nested.encode_text(df, dic), dic, out="back")
+    for r in enc.collect():
+        assert r.codes == (None if r.text is None else [want.index(c) for c in r.text]) and r.back == r.text
+    part = dic.filter("ch IN ('a', 'z')")                                 # a character without an index: null, and nothing on the way back
+    got = {r.id: (r.codes, r.back) for r in nested.decode_text(nested.encode_text(df, part), part, out="back").collect()}
+    assert got[1] == ([want.index("a"), None, None, want.index("a"), None, None], "aa") and got[3] == ([], "") and got[4] == (None, None)
+    empty = dic.limit(0)
+    assert {(None if r.codes is None else tuple(r.codes), r.back) for r in nested.decode_text(nested.encode_text(df.filter("id = 5 OR id IS NULL"), empty), empty, out="back").collect()} == {((None,) * 100, "")}
+    # No row a character, and no walk through the alphabet for each of them.
+    assert "Generate" not in dic._jdf.queryExecution().executedPlan().toString()
+    assert "element_at" not in enc._jdf.queryExecution().executedPlan().toString()
