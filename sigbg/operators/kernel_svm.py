@@ -7,8 +7,9 @@ machine whose kernel error falls as 1 / sqrt(D).
 
 Machines with the squared hinge loss 1/2 |w|^2 + C sum max(0, 1 - y f(x))^2 are
 solved by Newton steps: a pass adds up, for every machine, the D x D matrix and
-the gradient of the rows inside the margin; partial sums are added by machine
-and solved in the tasks, and only the D + 1 weights come to the driver.  All
+the gradient of the rows inside the margin; a task's sums (half of the symmetric
+matrix) are added by machine and solved in the tasks, and only the D + 1 weights
+come to the driver.  All
 machines of a grid - widths, penalties, splits - share the passes, and a width's
 features are computed once a block for all its machines.
 """
@@ -86,25 +87,28 @@ class Rows:
         self.d = rows.agg(F.max(F.size("x"))).first()[0] or 0
         self.table = rows
 
-    def passes(self, fn, schema: str) -> DataFrame:
-        """``fn(x, y, t)`` over blocks of rows: missing components are 0."""
+    def passes(self, fn, schema: str, end=None) -> DataFrame:
+        """``fn(x, y, t, kept)`` over blocks of rows: missing components are 0; ``end(kept)`` gives what a task has kept."""
         d = self.d
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: dict = {}
             for batch in batches:
                 for first in range(0, batch.num_rows, BLOCK_ROWS):
                     b = batch.slice(first, BLOCK_ROWS)
                     t = np.array(b.column(2).to_pylist(), dtype=np.int8).reshape(b.num_rows, -1)
-                    yield from fn(np.nan_to_num(matrix(b.column(0), d)), b.column(1).to_numpy(zero_copy_only=False), t)
+                    yield from fn(np.nan_to_num(matrix(b.column(0), d)), b.column(1).to_numpy(zero_copy_only=False), t, kept)
+            if end:
+                yield from end(kept)
 
         return self.table.mapInArrow(task, schema)
 
 
 def _parts(fourier: FourierMap, machines: Sequence[Machine]):
-    """A pass's sums: for each open machine the matrix, the gradient and the loss of the rows inside its margin."""
+    """A pass's sums: for each open machine the matrix and the gradient of the rows inside its margin, once a task."""
     widths = sorted({m.gamma for m in machines if not m.done})
 
-    def run(x: np.ndarray, y: np.ndarray, t: np.ndarray):
+    def run(x: np.ndarray, y: np.ndarray, t: np.ndarray, kept: dict):
         sign = 2.0 * y - 1.0
         for g in widths:
             z = fourier(x, g)
@@ -115,30 +119,44 @@ def _parts(fourier: FourierMap, machines: Sequence[Machine]):
                 gap = 1.0 - sign * (z @ m.weights)
                 near = use & (gap > 0)
                 zn = z[near]
-                sums = np.concatenate([(zn.T @ zn).ravel(), zn.T @ sign[near]])
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["machine", "sums"])
+                a, b = zn.T @ zn, zn.T @ sign[near]
+                if i in kept:
+                    kept[i][0] += a
+                    kept[i][1] += b
+                else:
+                    kept[i] = [a, b]
+        yield from ()
 
-    return run
+    def end(kept: dict):
+        for i, (a, b) in kept.items():
+            sums = np.concatenate([a[np.triu_indices(len(a))], b])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["machine", "sums"])
+
+    return run, end
 
 
 def fit(rows: Rows, fourier: FourierMap, machines: list[Machine], steps: int = STEPS) -> None:
     """Newton steps until the weights of every machine stand still."""
     n = len(fourier.b) + 1
+    half = n * (n + 1) // 2
 
     def solve(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(n * n + n)
+        total = np.zeros(half + n)
         for raw in table.column("sums"):
             total += np.frombuffer(raw.as_py(), np.float64)
-        m = machines[key[0].as_py()]
+        m, a = machines[key[0].as_py()], np.zeros((n, n))
+        a[np.triu_indices(n)] = total[:half]
+        a = a + np.triu(a, 1).T
         penalty = np.eye(n)
         penalty[-1, -1] = 1e-8                                # the offset is not held down
-        w = np.linalg.lstsq(penalty + 2 * m.c * total[:n * n].reshape(n, n), 2 * m.c * total[n * n:], rcond=None)[0]
+        w = np.linalg.lstsq(penalty + 2 * m.c * a, 2 * m.c * total[half:], rcond=None)[0]
         return pa.table({"machine": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([w.tobytes()], pa.binary())})
 
     for step in range(steps):
         if all(m.done for m in machines):
             return
-        sums = rows.passes(_parts(fourier, machines), "machine int, sums binary")
+        run, end = _parts(fourier, machines)
+        sums = rows.passes(run, "machine int, sums binary", end)
         for r in sums.groupBy("machine").applyInArrow(solve, "machine int, w binary").collect():
             m, w = machines[r["machine"]], np.frombuffer(bytes(r["w"]), np.float64)
             # Half steps late in the run end cycles between two sets of rows inside the margin.
@@ -149,7 +167,7 @@ def fit(rows: Rows, fourier: FourierMap, machines: list[Machine], steps: int = S
 
 def decisions(rows: Rows, fourier: FourierMap, machines: Sequence[Machine], held: bool = True) -> DataFrame:
     """(machine, labels, score): decision values of the rows that each machine left out (all rows without ``held``)."""
-    def run(x: np.ndarray, y: np.ndarray, t: np.ndarray):
+    def run(x: np.ndarray, y: np.ndarray, t: np.ndarray, _: dict):
         for g in sorted({m.gamma for m in machines}):
             z = fourier(x, g)
             for i, m in enumerate(machines):
