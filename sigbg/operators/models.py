@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Model
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LinearSVC,
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import hash_hex
-from ..session import write_through
+from ..session import scratch_path, write_through
 from .curves import auc as exact_auc
 
 # Default and deep boosted-tree settings and the ranges of the random search.
@@ -148,19 +149,29 @@ def grid_search_svc(spark: SparkSession, df: DataFrame, key: str, c_range: Seque
     C becomes ``regParam = 1 / (C n)``.
     """
     from .sample import stratified_splits
-    splits = write_through(stratified_splits(df, label, key, n_splits, test_size, seed), "svc-splits")
-    jobs = [(c, i) for c in c_range for i in range(n_splits)]
+    path = scratch_path(spark, "svc-splits")
+    stratified_splits(df.select(*dict.fromkeys([*([key] if isinstance(key, str) else key), "fvec", label])), label, key, n_splits, test_size, seed) \
+        .write.partitionBy("repeat", "is_test").parquet(path)                # a fit reads its own rows only
+    splits = spark.read.parquet(path)
     sizes = {r["repeat"]: r["count"] for r in splits.filter("is_test = 0").groupBy("repeat").count().collect()}
+    jobs, scored = [(c, i) for c in c_range for i in range(n_splits)], []
 
-    def run(job):
+    def fit(job):
         c, i = job
         est = LinearSVC(featuresCol="fvec", labelCol=label, regParam=1.0 / (c * sizes[i]), maxIter=max_iter)
-        m = est.fit(splits.filter((F.col("repeat") == i) & (F.col("is_test") == 0)))
-        s = m.transform(splits.filter((F.col("repeat") == i) & (F.col("is_test") == 1)))
-        return exact_auc(s.withColumn("score", vector_to_array("rawPrediction").getItem(1)), label=label).first()["auc"]
+        return est.fit(splits.filter((F.col("repeat") == i) & (F.col("is_test") == 0)))
 
     with ThreadPoolExecutor(max_workers=workers) as ex:
-        scores = list(ex.map(run, jobs))
+        models = dict(zip(jobs, ex.map(fit, jobs)))
+    for i in range(n_splits):
+        s = splits.filter((F.col("repeat") == i) & (F.col("is_test") == 1)).select("fvec", label)
+        for k, c in enumerate(c_range):
+            s = models[c, i].setRawPredictionCol(f"_r{k}").setPredictionCol(f"_p{k}").transform(s).drop(f"_p{k}")
+        each = [F.struct(F.lit(float(c)).alias("C"), F.lit(i).alias("split"), vector_to_array(f"_r{k}").getItem(1).alias("score")) for k, c in enumerate(c_range)]
+        scored.append(s.select(label, F.inline(F.array(*each))))
+    # One table and one curve computation for all machines.
+    got = {(r["C"], r["split"]): r["auc"] for r in exact_auc(reduce(DataFrame.unionByName, scored), label=label, by=["C", "split"]).collect()}
+    scores = [got[j] for j in jobs]
     out = [(float(c), n_splits, sum(a for a, (d, _) in zip(scores, jobs) if d == c) / n_splits) for c in c_range]
     return spark.createDataFrame(out, "C double, n_splits int, mean_auc double")
 
