@@ -37,3 +37,23 @@ def test_newton_finds_the_minimum(spark):
         assert ((z @ m.weights > 0) == y).mean() > 0.9
     got = ks.decisions(rows, fourier, machines).toPandas()
     assert sorted(got[got.machine == 1].score.round(6)) == pytest.approx(sorted((z @ machines[1].weights).round(6)))
+
+
+def test_a_task_sends_one_sum_a_machine(spark):
+    r = np.random.default_rng(4)
+    x, y = r.normal(size=(120, 2)), np.arange(120) % 2
+    df = spark.createDataFrame([([float(a) for a in v], int(c)) for v, c in zip(x, y)], "features array<double>, labels int").repartition(2)
+    rows, fourier = ks.Rows(df, "features", "labels"), ks.FourierMap.draw(2, 8)
+    machines = [ks.Machine(0.5, c, 0, np.zeros(9)) for c in (0.1, 10.0)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")       # many blocks a task
+    try:
+        run, end = ks._parts(fourier, machines)
+        got = rows.passes(run, "machine int, sums binary", end).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) <= len(machines) * rows.table.rdd.getNumPartitions()
+    z = fourier(x, 0.5)
+    want = np.concatenate([(z.T @ z)[np.triu_indices(9)], z.T @ (2.0 * y - 1)])
+    for i in range(2):
+        assert np.allclose(sum(np.frombuffer(bytes(g.sums), np.float64) for g in got if g.machine == i), want)

@@ -47,3 +47,22 @@ def test_fit_mixture_and_class_weights(spark):
         .toPandas().set_index("labels")
     assert cw.loc[0, "w"] == 1.0
     assert abs(cw.loc[1, "w"] - cw.loc[0, "n"] / cw.loc[1, "n"]) < 1e-12
+
+
+def test_svc_grid_scores_all_machines_at_once(spark, monkeypatch):
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import vector_to_array
+    from sigbg.operators import sample as smp
+    calls = []
+    monkeypatch.setattr(mdl, "exact_auc", lambda *a, **k: calls.append(1) or curves.auc(*a, **k))
+    v = mdl.with_vector(spark.createDataFrame([(i, [float(i % 7), float(i * i % 11)], int(i % 7 + i % 3 > 4)) for i in range(90)],
+                                              "k long, features array<double>, labels int"))
+    got = {r["C"]: r["mean_auc"] for r in mdl.grid_search_svc(spark, v, "k", (0.1, 10.0), n_splits=2, max_iter=5).collect()}
+    assert len(calls) == 1 and set(got) == {0.1, 10.0}
+    s, aucs = smp.stratified_splits(v, "labels", "k", 2, 0.25, 28), []
+    for i in range(2):
+        train = s.filter((F.col("repeat") == i) & (F.col("is_test") == 0))
+        m = LinearSVC(featuresCol="fvec", labelCol="labels", regParam=1.0 / (10.0 * train.count()), maxIter=5).fit(train)
+        t = m.transform(s.filter((F.col("repeat") == i) & (F.col("is_test") == 1)))
+        aucs.append(curves.auc(t.withColumn("score", vector_to_array("rawPrediction").getItem(1))).first()["auc"])
+    assert abs(got[10.0] - sum(aucs) / 2) < 1e-9
